@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import language_id, mixing, sharding, token_counts
+from arborlake.llm import exact_dedup, language_id, mixing, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = {
         "op2_language_id": language_id.query,
         "op3_mixing": mixing.query,
+        "op4_simhash": simhash.components,
+        "op7_exact_dedup": exact_dedup.groups,
         "op8_token_counts": token_counts.count_tokens,
         "op10_sharding": sharding.assign,
     }
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op3_mixing": mixing.ORACLE_SQL, "op10_sharding": sharding.oracle_sql()}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL, "op10_sharding": sharding.oracle_sql()}
