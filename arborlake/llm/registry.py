@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import exact_dedup, language_id, mixing, sharding, simhash, token_counts
+from arborlake.llm import exact_dedup, fingerprints, language_id, license_scan, mixing, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language_id.query,
         "op3_mixing": mixing.query,
         "op4_simhash": simhash.components,
+        "op6_fingerprints": fingerprints.query,
         "op7_exact_dedup": exact_dedup.groups,
         "op8_token_counts": token_counts.count_tokens,
+        "op9_license_scan": license_scan.scan,
         "op10_sharding": sharding.assign,
     }
     return {name: lambda spark, sf_dir, f=f: f(_documents(spark, sf_dir)) for name, f in operators.items()}

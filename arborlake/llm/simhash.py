@@ -89,8 +89,12 @@ class BlockTree:
         return index, leaf, home
 
 
-def trees(radius: int = RADIUS, blocks: int = BLOCKS, depth: int = 26) -> list[BlockTree]:
-    """One tree for each block; the blocks cover all 64 bits."""
+def trees(radius: int = RADIUS, blocks: int = BLOCKS, depth: int | None = None) -> list[BlockTree]:
+    """One tree for each block; the blocks cover all 64 bits.
+
+    Each level multiplies the leaves that a query visits, unless its radius in the block is 0; then trees are deep.
+    """
+    depth = depth or (5 if radius // blocks else 26)
     edges = [64 * i // blocks for i in range(blocks + 1)]
     return [BlockTree(a, b - a, radius // blocks, depth) for a, b in zip(edges, edges[1:], strict=False)]
 
