@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import exact_dedup, fingerprints, language_id, license_scan, mixing, sharding, simhash, token_counts
+from arborlake.llm import exact_dedup, fingerprints, language_id, license_scan, mixing, sentencepiece_codec, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": language_id.query,
         "op3_mixing": mixing.query,
         "op4_simhash": simhash.components,
+        "op5_sentencepiece": sentencepiece_codec.query,
         "op6_fingerprints": fingerprints.query,
         "op7_exact_dedup": exact_dedup.groups,
         "op8_token_counts": token_counts.count_tokens,

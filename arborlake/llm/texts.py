@@ -50,4 +50,5 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(kept + made, names=schema.names)
                 low = high
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    # the text stands last, also where it is kept
+    return docs.select(*[F.col(name) for name in keep], F.col("text").alias("_text")).mapInArrow(run, schema)

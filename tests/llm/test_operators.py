@@ -435,3 +435,86 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{j: 100 for j in range(100, 160)}, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def brute_viterbi(word, scores, ids, byte_ids):
+    """Best segmentation of one word, from scratch."""
+    from arborlake.llm.sentencepiece_codec import BYTE_SCORE
+
+    best = [(0.0, ())]
+    for end in range(1, len(word) + 1):
+        options = []
+        for begin in range(end - 1, -1, -1):
+            piece = word[begin:end]
+            if piece in scores:
+                options.append((best[begin][0] + scores[piece], best[begin][1] + (ids[piece],)))
+            elif begin == end - 1:
+                raw = piece.encode()
+                options.append((best[begin][0] + BYTE_SCORE * len(raw), best[begin][1] + tuple(byte_ids[b] for b in raw)))
+        best.append(max(options, key=lambda o: o[0]))
+    return best[-1][1]
+
+
+def test_sentencepiece_is_optimal_and_round_trips(docs, edge):
+    import public_tokenizers
+    import sentencepiece
+
+    from arborlake.llm import sentencepiece_codec
+    from arborlake.llm.pieces import marked_words, vocabulary
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocab, scores, model = vocabulary(path), sentencepiece_codec.scores(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    memo = {}
+
+    def brute(text):
+        out = []
+        for w in marked_words(text):
+            if w not in memo:
+                memo[w] = brute_viterbi(w, scores, vocab.ids, vocab.byte_ids)
+            out += memo[w]
+        return out
+
+    for table in (docs.limit(60), edge):
+        text = {r["doc_id"]: r["text"] for r in table.collect()}
+        for r in sentencepiece_codec.query(table).collect():
+            assert r["round_trip"]
+            if text[r["doc_id"]] is None:
+                assert r["ids"] is None and r["n_tokens"] == 0
+                continue
+            assert r["n_tokens"] == len(r["ids"])
+            assert model.decode(r["ids"]) == text[r["doc_id"]]
+            if len(text[r["doc_id"]]) < 20_000:
+                assert r["ids"] == brute(text[r["doc_id"]])
+
+
+def test_sentencepiece_odd_texts(spark):
+    import random
+
+    from arborlake.llm import sentencepiece_codec
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab  \n\té中\U0001f600<s>0a'.é▁x") for _ in range(r.randint(0, 50))) for _ in range(300)] + ["z" * 3000, " " * 50]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sentencepiece_codec.query(rows).collect()
+    assert len(got) == len(texts) and all(x["round_trip"] for x in got)
+    assert sentencepiece_codec.decode(spark.createDataFrame([([3 + 0xFF],)], "ids array<int>")).first()["decoded"] is None
+
+
+def test_pipeline(spark, tmp_path, docs, edge):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "mixing", "sentencepiece"]
+    for at, table in (("docs", docs), ("edge", edge.select("doc_id", "text", "lang", "source"))):
+        table.write.parquet(str(tmp_path / at / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / at)).collect()
+        texts = {r["doc_id"]: r["text"] for r in table.collect()}
+        kept = {r["doc_id"] for r in out}
+        assert kept and all(r["text"] == texts[r["doc_id"]] for r in out)
+        # no two of what is left are linked, and each dropped text has a copy or a reason
+        prints = {d: brute_simhash(texts[d]) for d in kept}
+        assert all((prints[a] ^ prints[b]).bit_count() > 4 for a in prints for b in prints if a < b)
+        for before, (name, stage) in zip([table, None, None, None], corpus_pipeline.STAGES[:3], strict=False):
+            assert stage(spark, table, "").columns == table.columns
+    empty = spark.createDataFrame([], docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").collect() == []
