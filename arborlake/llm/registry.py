@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import exact_dedup, fingerprints, language_id, license_scan, mixing, sentencepiece_codec, sharding, simhash, token_counts
+from arborlake.llm import exact_dedup, fingerprints, language_id, license_scan, mixing, sentencepiece_codec, sharding, simhash, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator, over the whole of documents."""
     operators = {
+        "op1_substring_dedup": substring_dedup.query,
         "op2_language_id": language_id.query,
         "op3_mixing": mixing.query,
         "op4_simhash": simhash.components,

@@ -320,10 +320,11 @@ def test_license_rules(spark):
     from arborlake.llm import license_scan
 
     assert len(license_scan.rules()) >= 200
+    assert license_scan.gate_words() == ["attribution", "bsd", "cc", "cc0", "creative", "licen", "public", "spdx", "wtfpl"]
     cases = {
         "Licensed under the Apache License, Version 2.0.": "apache,apache-2.0", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "cc by, cc-by cc-by-sa 4.0": "cc-by,cc-by-sa-4.0",
         "GNU General Public License, version 3 or later": "gpl,gpl-3.0", "the admit license": "", "mit license mit license": "mit", "GNU Lesser General Public License v2.1": "lgpl-2.1",
-        "gnué general public license": "", "the unlicense": "unlicense",
+        "gnué general public license": "", "the unlicense": "unlicense", "CC0 1.0": "cc0-1.0", "MIT no attribution": "mit-0", "in the public domain": "public-domain", "the accby bacc by": "",
     }
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in license_scan.scan(rows).collect()}
@@ -379,10 +380,14 @@ def test_fingerprints(which, request):
 
 def test_bucket_collisions_are_told_apart(spark):
     from arborlake.llm import fingerprints
+    from arborlake.session import checkpoint
 
     keyed = spark.createDataFrame([(1, "a"), (2, "A "), (3, "b"), (4, "c")], "key long, text string")
-    bucketed = keyed.select("key", fingerprints.digest(fingerprints.canonical(F.col("text"))).alias("bucket"))
-    assert fingerprints.odd_ones(keyed, bucketed).collect() == []
+    assert fingerprints.odd_ones(keyed, fingerprints.duplicates(fingerprints.buckets(keyed))).collect() == []
+    # texts that share a bucket by force: 3 is the first, 4 differs from it
+    forced = fingerprints.buckets(keyed).where("key >= 3").withColumn("bucket", F.lit("0" * 32))
+    odd = fingerprints.odd_ones(keyed, checkpoint(fingerprints.duplicates(forced))).collect()
+    assert [(r["key"], r["own"]) for r in odd] == [(4, "0" * 32 + "-" + hashlib.sha256(b"c").hexdigest())]
 
 
 def test_sharding(edge, nothing):
@@ -497,6 +502,8 @@ def test_sentencepiece_odd_texts(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sentencepiece_codec.query(rows).collect()
     assert len(got) == len(texts) and all(x["round_trip"] for x in got)
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(rows, ("text",))).collect()
+    assert all(x["decoded"] == x["text"].replace("▁", " ") for x in back)
     assert sentencepiece_codec.decode(spark.createDataFrame([([3 + 0xFF],)], "ids array<int>")).first()["decoded"] is None
 
 
@@ -518,3 +525,80 @@ def test_pipeline(spark, tmp_path, docs, edge):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").collect() == []
+
+
+def brute_cut(rows):
+    """Every 50-byte string by the smallest document that has it."""
+    seen, out = {}, defaultdict(set)
+    for doc, text in sorted(rows, key=lambda r: r[0]):
+        for i in range(len(text) - 49):
+            seen.setdefault(text[i : i + 50], doc)
+    for doc, text in rows:
+        gone, last = bytearray(len(text)), 0
+        for i in range(len(text) - 49):
+            if seen[text[i : i + 50]] < doc:
+                for j in range(max(i, last), i + 50):
+                    gone[j] = 1
+                last = i + 50
+        kept = bytes(b for b, g in zip(text, gone, strict=True) if not g)
+        spans = sum(1 for i in range(len(gone)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out[doc].add((len(text), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "edge"])
+def test_substring_dedup(which, request):
+    from arborlake.llm import substring_dedup
+
+    table = request.getfixturevalue(which)
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in table.collect()]
+    expected = brute_cut(rows)
+    got = substring_dedup.cut(table, 60_000).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r)[1:5] in expected[r["doc_id"]]
+        assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"]
+
+
+def test_substring_dedup_hard_texts(spark):
+    """Periodic, short-alphabet and zero bytes, overlapping copies, repeated doc_ids and a null one."""
+    import random
+
+    from arborlake.llm import substring_dedup
+
+    r = random.Random(11)
+    words = ["".join(r.choice("ab") for _ in range(r.randint(1, 4))) for _ in range(12)]
+    pool = [" ".join(r.choice(words) for _ in range(40)) for _ in range(6)]
+    texts = ["a" * 120, "a" * 49, "a" * 50, "ab" * 70, "ba" * 60, "\x00" * 130, "é" * 60, "é" * 25, ""] + ["".join(r.choice(pool)[r.randint(0, 20) :] for _ in range(4)) for _ in range(60)]
+    rows = [(i * 3 % 71 if i % 9 else i, t) for i, t in enumerate(texts)]
+    rows += [(500, pool[0] + "x" * 60), (500, pool[1] + "y" * 60), (501, "x" * 80), (501, "x" * 80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_cut([(d, t.encode()) for d, t in rows])
+    for chars in (700, 10**9):
+        got = substring_dedup.query(table, chars).collect()
+        assert len(got) == len(rows)
+        assert all(tuple(x)[1:5] in expected[x["doc_id"]] for x in got), chars
+    with_null = spark.createDataFrame([(None, "q" * 60), (1, "q" * 60)], "doc_id long, text string")
+    assert sorted((x["doc_id"] or 0, x["n_removed"]) for x in substring_dedup.query(with_null).collect()) == [(0, 0), (1, 60)]
+    assert substring_dedup.query(table.where("false")).collect() == []
+
+
+def test_loser_tree():
+    import random
+
+    from arborlake.llm.substring_dedup import loser_tree_merge
+
+    r = random.Random(1)
+    for _ in range(200):
+        runs = []
+        for _ in range(r.randint(1, 9)):
+            strings = sorted(bytes(r.choice(b"ab\x00") for _ in range(r.randint(0, 6))) for _ in range(r.randint(0, 12)))
+            lcps = [0] * min(1, len(strings))
+            for a, b in zip(strings, strings[1:], strict=False):
+                lcps.append(next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b))))
+            runs.append((lcps, strings))
+        which, index, lcp = loser_tree_merge(runs)
+        merged = [runs[w][1][i] for w, i in zip(which, index, strict=True)]
+        assert merged == sorted(s for _, x in runs for s in x)
+        for a, b, n in zip(merged, merged[1:], lcp[1:], strict=False):
+            assert n == next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
