@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arborlake.plans import graph_queries
+
+MODULES = (graph_queries,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query behind entry()."""
-    raise NotImplementedError
+    """The query behind entry(): a batched call neighbourhood."""
+    return graph_queries.call_neighborhood(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
