@@ -110,22 +110,29 @@ def follow(docs: DataFrame) -> DataFrame:
     return rows.select("key", F.col("before.key").alias("before"), F.floor(F.col("before.n") / 2).cast("int").alias("need"), "times")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(key, fingerprint) of each row, with byte comparison inside equal buckets."""
-    keyed = _keyed(docs)
-    bucketed = keyed.select("key", digest(canonical(F.col("text"))).alias("bucket"))
-    return bucketed.join(odd_ones(keyed, bucketed), ["key", "bucket"], "left").select("key", F.coalesce("own", "bucket").alias("fingerprint")).distinct()
+def _hash_is(th: Column) -> Column:
+    # no plain equality: a join would take it for a key and deal out the texts anew
+    return th.bitwiseXOR(F.xxhash64("text")) == 0
 
 
-def odd_ones(keyed: DataFrame, bucketed: DataFrame) -> DataFrame:
-    """(key, bucket, own) for rows that differ from the first document of their bucket: own is a fingerprint of their own."""
+def duplicates(bucketed: DataFrame) -> DataFrame:
+    """(key, th, bucket, leads) for rows whose bucket holds several documents; leads marks the smallest key in it."""
     first = bucketed.groupBy("bucket").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # spread anew, so that the join has an exchange on both sides and a hot bucket's rows can be split
-    members = bucketed.join(first.repartition("first", "bucket"), "bucket").select("key", "bucket", "first").distinct()
-    forms = keyed.join(members, "key").withColumn("form", canonical(F.col("text"))).where(digest(F.col("form")) == F.col("bucket")).select("key", "bucket", "first", "form")
-    reps = forms.where(F.col("key") == F.col("first")).groupBy("bucket").agg(F.min("form").alias("rep"))
-    compared = forms.select("key", "bucket", "form").join(reps.repartition("rep"), "bucket").where(F.col("form") != F.col("rep"))
-    return compared.select("key", "bucket", F.concat_ws("-", "bucket", F.sha2(F.encode("form", "UTF-8"), 256)).alias("own")).distinct()
+    return bucketed.join(first.repartition("first", "bucket"), "bucket").select("key", "th", "bucket", (F.col("key") == F.col("first")).alias("leads")).distinct()
+
+
+def odd_ones(keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, th, bucket, own) for rows that differ, byte by byte, from the first document of their bucket: own is a fingerprint of their own."""
+    forms = keyed.join(members, "key").where(_hash_is(F.col("th"))).select("key", "th", "bucket", "leads", canonical(F.col("text")).alias("form"))
+    reps = forms.where("leads").groupBy("bucket").agg(F.min("form").alias("rep"))
+    compared = forms.select("key", "th", "bucket", "form").join(reps.repartition("rep"), "bucket").where(~F.col("form").eqNullSafe(F.col("rep")))
+    return compared.select("key", "th", "bucket", F.concat_ws("-", "bucket", F.sha2(F.encode("form", "UTF-8"), 256)).alias("own")).distinct()
+
+
+def buckets(keyed: DataFrame) -> DataFrame:
+    """(key, th, bucket) of each row: its digest, and a hash of its text that tells rows of one key apart."""
+    return keyed.select("key", F.xxhash64("text").alias("th"), digest(canonical(F.col("text"))).alias("bucket"))
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -136,23 +143,26 @@ def query(docs: DataFrame) -> DataFrame:
     one row is its own next document; an empty table gives an empty result.
     """
     keyed = _keyed(docs)
-    chain = checkpoint(follow(docs))
-    bucketed = checkpoint(keyed.select("key", digest(canonical(F.col("text"))).alias("bucket")))
-    odd = checkpoint(odd_ones(keyed, bucketed))
-    heads = keyed.join(chain.select("key", "before", "need"), "key")
-    heads = heads.select(F.col("before").alias("key"), F.col("key").alias("next"), F.expr("left(text, need)").alias("head"), digest(canonical(F.col("text"))).alias("next_bucket"))
+    bucketed = checkpoint(buckets(keyed))
+    own = bucketed.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("th", "bucket"))).alias("buckets"))
+    chain = checkpoint(follow(docs).join(own, "key"))
+    members = checkpoint(duplicates(bucketed))
+    mine = F.element_at("buckets", F.xxhash64("text"))
+    # one exchange of texts by key serves the byte comparison, the heads and the rows themselves
+    odd = odd_ones(keyed, members)
+    heads = keyed.join(chain.select("key", "before", "need", "buckets"), "key")
+    heads = heads.select(F.col("before").alias("key"), F.col("key").alias("next"), F.expr("left(text, need)").alias("head"), F.xxhash64("text").alias("next_th"), mine.alias("next_bucket"))
     if not chain.where("times > 1").isEmpty():
-        heads = heads.groupBy("key", "next").agg(F.min(F.struct("head", "next_bucket")).alias("x")).select("key", "next", "x.*")
-    rows = keyed.join(heads, "key")
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("n", n).withColumn("edited", F.concat(F.expr("left(text, n - floor(n / 2))"), F.expr("left(head, cast(floor(n / 2) as int))")))
-    rows = rows.select("key", "next", "n", "next_bucket", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"))
-    rows = rows.select("key", "next", "n", "next_bucket", "edited_sha256", digest(F.col("form")).alias("bucket"), digest(F.col("edited_form")).alias("edited_bucket"), (F.col("form") == F.col("edited_form")).alias("same"))
-    if not odd.isEmpty():
-        rows = rows.join(odd, ["key", "bucket"], "left").join(odd.select(F.col("key").alias("next"), F.col("bucket").alias("next_bucket"), F.col("own").alias("next_own")), ["next", "next_bucket"], "left")
-    else:
-        rows = rows.withColumn("own", F.lit(None).cast("string")).withColumn("next_own", F.lit(None).cast("string"))
+        heads = heads.groupBy("key", "next").agg(F.min(F.struct("head", "next_th", "next_bucket")).alias("x")).select("key", "next", "x.*")
+    rows = keyed.join(heads.join(chain.select("key", "buckets"), "key"), "key")
+    rows = rows.withColumn("n", F.char_length("text")).withColumn("edited", F.concat(F.expr("left(text, n - floor(n / 2))"), F.expr("left(head, cast(floor(n / 2) as int))")))
+    rows = rows.select("key", F.xxhash64("text").alias("th"), mine.alias("bucket"), "next", "next_th", "next_bucket", "n", "text", "edited", canonical(F.col("edited")).alias("edited_form"))
+    rows = rows.withColumn("edited_bucket", digest(F.col("edited_form")))
+    same = F.when(F.col("edited_bucket") == F.col("bucket"), F.col("edited_form") == canonical(F.col("text"))).otherwise(False)
+    rows = rows.select("key", "th", "bucket", "next", "next_th", "next_bucket", "n", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "edited_bucket", same.alias("same"))
+    rows = rows.join(odd, ["key", "th", "bucket"], "left")
+    of_next = odd.select(F.col("key").alias("next"), F.col("th").alias("next_th"), F.col("bucket").alias("next_bucket"), F.col("own").alias("next_own"))
+    rows = rows.join(of_next, ["next", "next_th", "next_bucket"], "left")
     mine, other = F.coalesce("own", "bucket"), F.coalesce("next_own", "next_bucket")
     edited = F.when(F.col("same"), mine).otherwise(F.when(F.col("edited_bucket") == F.col("bucket"), F.concat(F.col("edited_bucket"), F.lit("-edited"))).otherwise(F.col("edited_bucket")))
     back = F.when(F.col("key") == -(2**63), None).otherwise(F.col("key")).cast(docs.schema["doc_id"].dataType)
