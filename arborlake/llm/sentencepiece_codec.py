@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import math
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,8 @@ OFFSET = 2.7
 #: Score of each byte of a character outside the vocabulary.
 BYTE_SCORE = -25.0
 #: Words whose ids are remembered between slices of one task.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
+_NO_PIECE = object()
 
 
 @functools.lru_cache(maxsize=4)
@@ -40,47 +42,66 @@ def scores(path: str) -> dict[str, float]:
     return {piece: -math.log(ranks[s] + OFFSET) - total for piece, s in vocab.scores.items()}
 
 
+@functools.lru_cache(maxsize=4)
+def prefixes(path: str) -> dict[str, float | None]:
+    """Every prefix of a piece, with the piece's score if it is one itself."""
+    found: dict[str, float | None] = {}
+    for piece, score in scores(path).items():
+        found[piece] = score
+        for end in range(1, len(piece)):
+            found.setdefault(piece[:end], None)
+    return found
+
+
 class Encoder:
     """Encodes texts under one vocabulary, remembering words."""
 
     def __init__(self, path: str):
         self.vocab: Vocabulary = vocabulary(path)
-        self.scores = scores(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.prefixes = prefixes(path)
+        self.known: dict[str, bytes] = {}
 
     def solve(self, words: list[str]) -> None:
         """Ids of distinct words that are not known yet. Of equal scores, the one with the shorter last piece stays."""
-        get, longest, ids, known = self.scores.get, self.vocab.longest, self.vocab.ids, self.known
-        best, back, last = [0.0], [0], ""
+        get, ids, byte_ids, known = self.prefixes.get, self.vocab.ids, self.vocab.byte_ids, self.known
+        # by length of prefix: its best score, where its last piece begins, and where pieces that go on may begin
+        best, back, begins, last = [0.0], [0], [()], ""
         for word in sorted(words):
             depth, most = 0, min(len(word), len(last))
             while depth < most and word[depth] == last[depth]:
                 depth += 1
-            del best[depth + 1 :], back[depth + 1 :]
+            del best[depth + 1 :], back[depth + 1 :], begins[depth + 1 :]
+            open_ = begins[depth]
             for end in range(depth + 1, len(word) + 1):
-                top, start = -math.inf, -1
-                for begin in range(end - 1, max(end - longest, 0) - 1, -1):
-                    score = get(word[begin:end])
-                    if score is not None and best[begin] + score > top:
-                        top, start = best[begin] + score, begin
-                if start < 0 or word[end - 1] not in ids:
+                top, start, going = -math.inf, -1, []
+                for begin in (end - 1, *open_):
+                    score = get(word[begin:end], _NO_PIECE)
+                    if score is not _NO_PIECE:
+                        going.append(begin)
+                        if score is not None and best[begin] + score > top:
+                            top, start = best[begin] + score, begin
+                if word[end - 1] not in ids:
                     unknown = best[end - 1] + BYTE_SCORE * len(word[end - 1].encode())
                     if unknown > top:
                         top, start = unknown, end - 1
                 best.append(top)
                 back.append(start)
-            cuts, end = [], len(word)
+                begins.append(going)
+                open_ = going
+            found, end = [], len(word)
             while end:
-                cuts.append((back[end], end))
-                end = back[end]
-            found: list[int] = []
-            for begin, end in reversed(cuts):
+                begin = back[end]
                 piece = ids.get(word[begin:end])
-                found += [piece] if piece is not None else [self.vocab.byte_ids[b] for b in word[begin:end].encode()]
-            known[word], last = tuple(found), word
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and where each text's ids begin and end."""
+                if piece is not None:
+                    found.append(piece)
+                else:
+                    found += [byte_ids[b] for b in reversed(word[begin:end].encode())]
+                end = begin
+            found.reverse()
+            known[word], last = array("i", found).tobytes(), word
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as 32-bit numbers."""
         words = [marked_words(text) for text in texts]
         used = set(chain.from_iterable(words))
         new = [w for w in used if w not in self.known]
@@ -88,15 +109,23 @@ class Encoder:
             self.known = {w: self.known[w] for w in used if w in self.known}
         self.solve(new)
         get = self.known.__getitem__
-        parts = [np.fromiter(chain.from_iterable(map(get, ws)), np.int32) for ws in words]
-        return np.concatenate([np.zeros(0, np.int32), *parts]), np.cumsum([0, *map(len, parts)])
+        return [b"".join(map(get, ws)) for ws in words]
+
+
+def decode_ids(ids: list[int], table: tuple[bytes, ...]) -> str | None:
+    """The text of ids without the space that encoding puts in front; null if its bytes are not UTF-8."""
+    try:
+        return b"".join(map(table.__getitem__, ids)).removeprefix(b" ").decode()
+    except UnicodeDecodeError:
+        return None
 
 
-def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | None = None, name: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | None = None, name: str = "ids", check: str | None = None) -> DataFrame:
     """keep and the ids of each whole text, in one pass without a shuffle.
 
-    A null text has null ids, an empty one none. Repeated rows give repeated results; an empty table gives an empty
-    result. The model's path must hold the file on every executor.
+    A null text has null ids, an empty one none. With `check`, a column of that name says whether decoding the ids
+    gives the text back. Repeated rows give repeated results; an empty table gives an empty result. The model's path
+    must hold the file on every executor.
     """
     path = model or default_model()
 
@@ -104,22 +133,27 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | No
         encoder = Encoder(path)
 
         def step(texts: list[str | None]) -> list[pa.Array]:
-            ids, bounds = encoder.encode(texts)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            missing = np.array([t is None for t in texts])
-            if missing.any():
-                lists = pa.array([None if gone else ids for gone, ids in zip(missing, lists.to_pylist(), strict=True)], pa.list_(pa.int32()))
-            return [lists]
+            found = encoder.encode(texts)
+            ids = np.frombuffer(b"".join(found), np.int32)
+            bounds = np.cumsum([0, *(len(x) // 4 for x in found)])
+            gone = np.array([t is None for t in texts], bool)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids), mask=pa.array(gone))
+            if not check:
+                return [lists]
+            table = encoder.vocab.decoded
+            same = [t is None or decode_ids(array("i", x).tolist(), table) == t.replace(MARK, " ") for t, x in zip(texts, found, strict=True)]
+            return [lists, pa.array(same, pa.bool_())]
 
         return step
 
-    return map_texts(docs, list(keep), [T.StructField(name, T.ArrayType(T.IntegerType()))], start, 2_000_000)
+    fields = [T.StructField(name, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else [])
+    return map_texts(docs, list(keep), fields, start)
 
 
 def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """rows with the text of their ids in a new column; null for null ids or bytes that are not UTF-8.
 
-    The space in front that encoding adds is dropped. A literal mark in a text comes back as the space it stands for.
+    A literal mark in a text comes back as the space it stands for.
     """
     path = model or default_model()
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
@@ -128,15 +162,7 @@ def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", name: st
     def run(batches):
         table = vocabulary(path).decoded
         for batch in batches:
-            column = batch.column(at)
-            values, offsets, valid = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_pylist()
-            out = []
-            for i in range(len(column)):
-                raw = b"".join(map(table.__getitem__, values[offsets[i] : offsets[i + 1]].tolist())) if valid[i] else None
-                try:
-                    out.append(None if raw is None else raw.removeprefix(b" ").decode())
-                except UnicodeDecodeError:
-                    out.append(None)
+            out = [None if x is None else decode_ids(x, table) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -144,6 +170,5 @@ def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", name: st
 
 def query(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip): every whole text encoded, and whether decoding gives it back."""
-    rows = decode(encode(docs, ("doc_id", "text")))
-    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit(MARK), F.lit(" ")))
-    return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    rows = encode(docs, check="round_trip")
+    return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
