@@ -14,7 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from arborlake.functions.text import log_fields
 
 EVENT_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()), T.StructField("value", T.DoubleType())])
-STATE = "status string, value double, n long, errors long, last_seq long"
+RESULT = "key string, status string, value double, n long, errors long, last_seq long"
+STATE = "status string, status_seq long, value double, value_seq long, n long, errors long, last_seq long"
 
 
 def snapshot(events: DataFrame) -> DataFrame:
@@ -24,27 +25,22 @@ def snapshot(events: DataFrame) -> DataFrame:
 
 
 def _reduce(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, value, n, errors, last = state.get if state.exists else (None, None, 0, 0, -1)
+    # for each field its last value and the seq it came with, so that late events count but overwrite nothing newer
+    status, status_seq, value, value_seq, n, errors, last = state.get if state.exists else (None, -1, None, -1, 0, 0, -1)
     for frame in frames:
-        frame = frame.sort_values("seq")
-        # an event that comes late, with a lower seq, counts but does not overwrite
-        for field, current in (("status", status), ("value", value)):
-            fresh = frame.loc[frame[field].notna() & (frame["seq"] > last), field]
-            if len(fresh):
-                current = fresh.iloc[-1]
-            if field == "status":
-                status = current
-            else:
-                value = None if current is None else float(current)
-        n, errors = n + len(frame), errors + int((frame["status"] == "error").sum())
-        last = max(last, int(frame["seq"].max()))
-    state.update((status, value, n, errors, last))
+        for event_status, event_value, seq in zip(frame["status"], frame["value"], frame["seq"].tolist(), strict=True):
+            if isinstance(event_status, str) and seq >= status_seq:
+                status, status_seq = event_status, seq
+            if event_value is not None and not pd.isna(event_value) and seq >= value_seq:
+                value, value_seq = float(event_value), seq
+            n, errors, last = n + 1, errors + (event_status == "error"), max(last, seq)
+    state.update((status, status_seq, value, value_seq, n, errors, last))
     yield pd.DataFrame([{"key": key[0], "status": status, "value": value, "n": n, "errors": errors, "last_seq": last}])
 
 
 def reduce_stream(events: DataFrame) -> DataFrame:
     """A stream of (key, seq, status, value) as a stream of each key's state after every batch that touches it."""
-    return events.groupBy("key").applyInPandasWithState(_reduce, f"key string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(_reduce, RESULT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
