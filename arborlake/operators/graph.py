@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.session import checkpoint
+from arborlake.session import broadcast_if_small, checkpoint
 
 #: The edge types of each kind of traversal.
 CALL_EDGES = ("CALLS", "CALLS_INDIRECT", "STATEMENT_CALLS")
@@ -60,10 +60,10 @@ def make_graph(nodes: DataFrame, edges: DataFrame) -> Graph:
     """
     values = [c for c in nodes.columns if c != "id"]
     merged = nodes.groupBy("id").agg(*[F.min(c).alias(c) for c in values])
-    unique = edges.select("src", "dst", "type").distinct()
-    ends = merged.select("id")
-    kept = unique.join(ends, unique["src"] == ends["id"], "left_semi")
-    kept = kept.join(ends, kept["dst"] == ends["id"], "left_semi")
+    # by dst, then by src: the distinct rows after that are already together
+    ends, rows = merged.select("id"), edges.select("src", "dst", "type")
+    kept = rows.join(ends, rows["dst"] == ends["id"], "left_semi")
+    kept = kept.join(ends, kept["src"] == ends["id"], "left_semi").distinct()
     return Graph(merged, kept.select(edge_id(F.col("src"), F.col("type"), F.col("dst")).alias("edge_id"), "src", "dst", "type"))
 
 
@@ -96,27 +96,28 @@ def adjacency(edges: DataFrame, direction: str = "both", types: Iterable[str] |
 def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int = 1, types: Iterable[str] | None = None, direction: str = "both") -> DataFrame:
     """(target, node, depth): what each target's seeds (target, node) reach in at most depth steps, at its least depth.
 
-    One shuffle join a step, of the frontier only; what has been reached is cut from lineage.
+    Each step joins the frontier with the edges, by broadcast while both the frontier and what has been reached are
+    small, by shuffle beyond that. The edges are read once a step, so give edges that are written out.
     """
-    ways = adjacency(edges, direction, types).select("node", "other").distinct()
-    reached = seeds.select("target", "node").distinct().withColumn("depth", F.lit(0))
+    ways = adjacency(edges, direction, types).select("node", "other")
+    reached = checkpoint(seeds.select("target", "node").distinct().withColumn("depth", F.lit(0)))
     frontier = reached
     for step in range(1, depth + 1):
-        found = frontier.join(ways, "node").select("target", F.col("other").alias("node")).distinct()
-        frontier = checkpoint(found.join(reached, ["target", "node"], "left_anti").withColumn("depth", F.lit(step)))
+        found = ways.join(broadcast_if_small(frontier.select("target", "node")), "node").select("target", F.col("other").alias("node")).distinct()
+        frontier = checkpoint(found.join(broadcast_if_small(reached.select("target", "node")), ["target", "node"], "left_anti").withColumn("depth", F.lit(step)))
         reached = reached.unionByName(frontier)
     return reached
 
 
 def neighborhood_edges(edges: DataFrame, reached: DataFrame, depth: int, types: Iterable[str] | None = None, direction: str = "both") -> DataFrame:
     """(target, edge_id) of edges followed from a node of less than full depth; edges between nodes of full depth are not."""
-    inner = reached.where(F.col("depth") < depth).select("target", "node")
+    inner = broadcast_if_small(reached.where(F.col("depth") < depth).select("target", "node"))
     return adjacency(edges, direction, types).join(inner, "node").select("target", "edge_id").distinct()
 
 
 def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(target, edge_id, src, dst, type) of edges with both ends among the nodes (target, node) of one target."""
-    ends = nodes.select("target", "node").distinct()
+    ends = broadcast_if_small(nodes.select("target", "node").distinct())
     starts = edges.join(ends, edges["src"] == ends["node"]).drop("node")
     return starts.join(ends.withColumnRenamed("node", "dst"), ["target", "dst"], "left_semi").select("target", "edge_id", "src", "dst", "type")
 
@@ -187,16 +188,21 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6, types: Ite
     ways = adjacency(edges, direction, types)
     wanted = pairs.select("source", "goal").distinct()
     reached = wanted.select("source", F.col("source").alias("node")).distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "edge_id": F.lit(None).cast("string")})
-    frontier = reached
+    frontier = reached = checkpoint(reached)
     for step in range(1, most + 1):
-        found = frontier.select("source", "node").join(ways, "node").select("source", F.col("other").alias("node"), F.struct(F.col("node").alias("parent"), "edge_id").alias("via"))
-        found = found.groupBy("source", "node").agg(F.min("via").alias("via")).join(reached, ["source", "node"], "left_anti")
+        # a source whose goals are all reached searches no further
+        waiting = checkpoint(wanted.join(reached.select("source", F.col("node").alias("goal")), ["source", "goal"], "left_anti").select("source").distinct())
+        if waiting.isEmpty():
+            break
+        frontier = frontier.join(broadcast_if_small(waiting), "source", "left_semi")
+        found = ways.join(broadcast_if_small(checkpoint(frontier.select("source", "node"))), "node").select("source", F.col("other").alias("node"), F.struct(F.col("node").alias("parent"), "edge_id").alias("via"))
+        found = found.groupBy("source", "node").agg(F.min("via").alias("via")).join(broadcast_if_small(reached.select("source", "node")), ["source", "node"], "left_anti")
         frontier = checkpoint(found.select("source", "node", F.lit(step).alias("depth"), "via.parent", "via.edge_id"))
         reached = reached.unionByName(frontier)
     at = wanted.withColumn("node", F.col("goal")).join(reached, ["source", "node"]).select("source", "goal", "depth", "node", "parent", "edge_id")
     parts = [at]
     for _ in range(most):
-        up = at.where(F.col("parent").isNotNull()).select("source", "goal", F.col("parent").alias("node"))
+        up = checkpoint(at).where(F.col("parent").isNotNull()).select("source", "goal", F.col("parent").alias("node"))
         at = up.join(reached, ["source", "node"]).select("source", "goal", "depth", "node", "parent", "edge_id")
         parts.append(at)
     path = reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -33,6 +34,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, else as it is, to be joined by shuffle. Counts rows, so give it something written out."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
