@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.llm.texts import word_count
+from arborlake.session import broadcast_if_small, checkpoint
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Weight at the start and at the end of training for each of WEIGHTS, relative to the mean; linear in between.
@@ -81,7 +82,7 @@ def plan(
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("place"))
     targets = source_targets(sizes, weights, share, max_repeats).withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
     rows = sizes.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    rows = rows.join(targets.drop("source"), "source_key")
+    rows = rows.join(broadcast_if_small(checkpoint(targets.drop("source"))), "source_key")
     buckets = F.ceil(F.col("n_docs") / F.lit(bucket_rows))
     rows = rows.withColumn("bucket", F.floor(F.col("place") / F.lit(float(HASH_RANGE)) * buckets))
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
