@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborlake.operators.select import blank_to_null, group_key
+from arborlake.operators.windows import global_rank
 
 MISSING_SAMPLES = 10**12
 
@@ -33,8 +34,7 @@ def registry_rollup(registry: DataFrame, splits: list[str]) -> DataFrame:
 def scan_order(pairs: DataFrame, samples: str = "samples", url: str = "project_url", ties: tuple[str, ...] = ("project", "idx")) -> DataFrame:
     """pairs with `place`: few samples first, unknown numbers last, hosted repositories before others, then ties."""
     hosted = F.when(F.contains(F.lower(F.coalesce(url, F.lit(""))), F.lit("github.com")), 0).otherwise(1)
-    order = Window.orderBy(F.coalesce(samples, F.lit(MISSING_SAMPLES)), hosted, *ties)
-    return pairs.withColumn("place", F.row_number().over(order))
+    return global_rank(pairs, [F.coalesce(samples, F.lit(MISSING_SAMPLES)), hosted, *ties])
 
 
 def candidate_order(usable: Column, score: Column, *rest: Column) -> list[Column]:

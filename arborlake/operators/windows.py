@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.session import checkpoint
+
 
 def previous(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """rows with the value of the row before in its group."""
@@ -37,6 +39,20 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, value: li
     return found.select(*left.columns, *[F.col(f"_last.{v}").alias(f"asof_{v}") for v in value])
 
 
+def global_rank(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
+    """rows with their place in a total order, from 1. Ranges are sorted by themselves; only a count for each range meets in one place.
+
+    Rows that are equal in all of order share out their places in any way.
+    """
+    ranged = checkpoint(rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_part", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    # as many rows as the sort had ranges
+    placed = ranged.join(F.broadcast(bases), "_part")
+    return placed.withColumn(name, F.col("_base") + F.col("_at") - F.col("_first") + 1).select(*rows.columns, name)
+
+
 def seconds(time: Column) -> Column:
     """A timestamp as whole seconds."""
     return F.unix_seconds(time.cast("timestamp"))

@@ -36,14 +36,25 @@ def _targets(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.createDataFrame([(i, i) for i in ids], "target string, node string")
 
 
-def _customers(graph: g.Graph, last: int) -> DataFrame:
-    return graph.nodes.where((F.col("type") == "Customer") & (F.substring("id", 2, 20).cast("long") <= last)).select(F.col("id").alias("target"), F.col("id").alias("node"))
+def _all(graph: g.Graph, *types: str) -> DataFrame:
+    """Every node of the types as a target of its own."""
+    return graph.nodes.where(F.col("type").isin(*types)).select(F.col("id").alias("target"), F.col("id").alias("node"))
 
 
 def call_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and parts within two steps of each of the first 300 customers."""
+    """Orders and parts within two steps of every customer, in one job."""
     graph = saved(spark, sf_dir)
-    return g.neighborhood(graph.edges, _customers(graph, 300), 2, ("PLACED", "CONTAINS"), "out")
+    return g.neighborhood(graph.edges, _all(graph, "Customer"), 2, ("PLACED", "CONTAINS"), "out")
+
+
+def _from_all(f, *types: str):
+    """A query that runs f(edges, targets) for all nodes of the types."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = saved(spark, sf_dir)
+        return f(graph.edges, _all(graph, *types))
+
+    return run
 
 
 def _bfs(seeds: str, depth: int, ways: str, types: str = "") -> str:
@@ -55,7 +66,7 @@ m AS (SELECT target, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY
 _OUT = "(SELECT src AS node, dst AS other, edge_id, type FROM edges)"
 _IN = "(SELECT dst AS node, src AS other, edge_id, type FROM edges)"
 _CALLS = "'PLACED', 'CONTAINS'"
-_FIRST = "SELECT id, id, 0 FROM nodes WHERE type = 'Customer' AND CAST(substr(id, 2) AS BIGINT) <= 300"
+_CUSTOMERS = "SELECT id, id, 0 FROM nodes WHERE type = 'Customer'"
 _TWO = "SELECT * FROM (VALUES ('C1', 'C1', 0), ('S3', 'S3', 0))"
 
 
@@ -86,7 +97,7 @@ def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = graph.nodes.select("id", "name", F.when(F.col("type") == "Supplier", "LocalVariable").when(F.col("type") == "Customer", "GlobalVariable").otherwise(F.col("type")).alias("type"))
     home = graph.edges.where("type = 'HAS_SUPPLIER'").select(F.col("dst").alias("id"), F.col("src").alias("function"))
     nodes = nodes.join(home, "id", "left")
-    names = nodes.where("id IN ('S1', 'S2', 'C7')").select(F.col("id").alias("target"), F.coalesce("function", F.lit("N0")).alias("function"), F.col("name").alias("symbol"))
+    names = nodes.where("type IN ('LocalVariable', 'GlobalVariable')").select(F.col("id").alias("target"), F.coalesce("function", F.lit("N0")).alias("function"), F.col("name").alias("symbol"))
     return g.neighborhood(graph.edges, g.variable_seeds(nodes, names), 1)
 
 
@@ -112,15 +123,15 @@ QUERIES = {
     "degree_by_type": _components_of_calls,
     "edge_dedup": lambda s, d: star(s, d).edges.where("type = 'SUPPLIES'").select("edge_id", "src", "dst"),
     "dangling_edge_filter": lambda s, d: g.make_graph(star(s, d).nodes.where("type <> 'Part'"), star(s, d).edges).edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")),
-    "neighborhood_d1": lambda s, d: g.neighborhood(saved(s, d).edges, _two(s), 1),
+    "neighborhood_d1": _from_all(lambda edges, targets: g.neighborhood(edges, targets, 1), "Customer", "Supplier"),
     "neighborhood_d2": lambda s, d: _d2(s, d)[1],
     "neighborhood_edges_d2": lambda s, d: (lambda x: g.neighborhood_edges(x[0].edges, x[1], 2))(_d2(s, d)),
     "neighborhood_induced_d2": lambda s, d: (lambda x: g.induced_edges(x[0].edges, x[1]))(_d2(s, d)),
     "neighborhood_limited": _limited,
-    "call_neighborhood_in": lambda s, d: g.neighborhood(saved(s, d).edges, _targets(s, "P1", "P2"), 2, ("PLACED", "CONTAINS"), "in"),
-    "callers": lambda s, d: g.callers(star(s, d).edges, _targets(s, "P1", "P2", "O5"), ("PLACED", "CONTAINS")),
-    "callees": lambda s, d: g.callees(star(s, d).edges, _targets(s, "C1", "O5", "P1"), ("PLACED", "CONTAINS")),
-    "incident_edges": lambda s, d: g.incident_edges(star(s, d).edges, _targets(s, "C1", "N3")),
+    "call_neighborhood_in": _from_all(lambda edges, targets: g.neighborhood(edges, targets, 2, ("PLACED", "CONTAINS"), "in"), "Part"),
+    "callers": _from_all(lambda edges, targets: g.callers(edges, targets, ("PLACED", "CONTAINS")), "Part", "Order"),
+    "callees": _from_all(lambda edges, targets: g.callees(edges, targets, ("PLACED", "CONTAINS")), "Customer", "Order", "Part"),
+    "incident_edges": _from_all(g.incident_edges, "Customer", "Nation"),
     "variable_flow_fallback": _flow,
     "shortest_path_length": _path_lengths,
     "slice_trim_topk": _trim,
@@ -129,24 +140,23 @@ QUERIES = {
 _WEIGHT_SQL = "CASE n.type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 20 END"
 _WITH = f"WITH RECURSIVE {GRAPH_SQL}"
 SQL = {
-    "call_neighborhood": f"{_WITH}, {_bfs(_FIRST, 2, _OUT, _CALLS)} SELECT * FROM m",
+    "call_neighborhood": f"{_WITH}, {_bfs(_CUSTOMERS, 2, _OUT, _CALLS)} SELECT * FROM m",
     "node_type_counts": f"WITH {GRAPH_SQL} SELECT type, count(*) AS n FROM nodes GROUP BY type",
     "edge_type_counts": f"WITH {GRAPH_SQL} SELECT type, count(*) AS n FROM edges GROUP BY type",
     "degree_top_nodes": f"WITH {GRAPH_SQL} SELECT node AS id, count(*) AS degree FROM ways GROUP BY node ORDER BY degree DESC, id LIMIT 25",
     "degree_by_type": f"WITH {GRAPH_SQL}, d AS (SELECT node, count(*) AS degree FROM ways GROUP BY node) SELECT type, count(*) AS n, CAST(sum(degree) AS BIGINT) AS ends, max(degree) AS most FROM d JOIN nodes ON id = node GROUP BY type",
     "edge_dedup": "SELECT substr(sha1(src || '|SUPPLIES|' || dst), 1, 16) AS edge_id, src, dst FROM (SELECT DISTINCT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst FROM lineitem) WHERE src IN (SELECT 'S' || s_suppkey FROM supplier) AND dst IN (SELECT 'P' || p_partkey FROM part)",
     "dangling_edge_filter": f"WITH {GRAPH_SQL} SELECT type, count(*) AS n FROM edges WHERE src NOT LIKE 'P%' AND dst NOT LIKE 'P%' GROUP BY type",
-    "neighborhood_d1": f"{_WITH}, {_bfs(_TWO, 1, 'ways')} SELECT * FROM m",
+    "neighborhood_d1": f"""{_WITH}, {_bfs("SELECT id, id, 0 FROM nodes WHERE type IN ('Customer', 'Supplier')", 1, 'ways')} SELECT * FROM m""",
     "neighborhood_d2": f"{_WITH}, {_bfs(_TWO, 2, 'ways')} SELECT * FROM m",
     "neighborhood_edges_d2": f"{_WITH}, {_bfs(_TWO, 2, 'ways')} SELECT DISTINCT m.target, w.edge_id FROM m JOIN ways w ON w.node = m.node WHERE m.depth < 2",
     "neighborhood_induced_d2": f"{_WITH}, {_bfs(_TWO, 2, 'ways')} SELECT a.target, e.edge_id, e.src, e.dst, e.type FROM edges e JOIN m a ON a.node = e.src JOIN m b ON b.node = e.dst AND b.target = a.target",
     "neighborhood_limited": f"{_WITH}, {_bfs(_TWO, 2, 'ways')}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY depth, node) AS p FROM m) WHERE p <= 40), x AS (SELECT a.target, count(*) AS c FROM edges e JOIN k a ON a.node = e.src JOIN k b ON b.node = e.dst AND b.target = a.target GROUP BY a.target) SELECT k.target, count(*) AS n_nodes, coalesce(any_value(x.c), 0) AS n_edges FROM k LEFT JOIN x ON x.target = k.target GROUP BY k.target",
-    "call_neighborhood_in": f"{_WITH}, {_bfs('SELECT * FROM (VALUES (' + chr(39) + 'P1' + chr(39) + ', ' + chr(39) + 'P1' + chr(39) + ', 0), (' + chr(39) + 'P2' + chr(39) + ', ' + chr(39) + 'P2' + chr(39) + ', 0))', 2, _IN, _CALLS)} SELECT * FROM m",
-    "callers": f"WITH {GRAPH_SQL} SELECT DISTINCT dst AS target, src AS node FROM edges WHERE dst IN ('P1', 'P2', 'O5') AND type IN ({_CALLS})",
-    "callees": f"WITH {GRAPH_SQL} SELECT DISTINCT src AS target, dst AS node FROM edges WHERE src IN ('C1', 'O5', 'P1') AND type IN ({_CALLS})",
-    "incident_edges": f"WITH {GRAPH_SQL} SELECT DISTINCT node AS target, edge_id FROM ways WHERE node IN ('C1', 'N3')",
-    "variable_flow_fallback": f"""WITH {GRAPH_SQL}, w AS (SELECT 'S' || s_suppkey AS target, 'N' || s_nationkey AS function, s_name AS symbol FROM supplier WHERE s_suppkey IN (1, 2)
-UNION ALL SELECT 'C' || c_custkey, 'N0', c_name FROM customer WHERE c_custkey = 7),
+    "call_neighborhood_in": f"""{_WITH}, {_bfs("SELECT id, id, 0 FROM nodes WHERE type = 'Part'", 2, _IN, _CALLS)} SELECT * FROM m""",
+    "callers": f"WITH {GRAPH_SQL} SELECT DISTINCT dst AS target, src AS node FROM edges WHERE (dst LIKE 'P%' OR dst LIKE 'O%') AND type IN ({_CALLS})",
+    "callees": f"WITH {GRAPH_SQL} SELECT DISTINCT src AS target, dst AS node FROM edges WHERE (src LIKE 'C%' OR src LIKE 'O%' OR src LIKE 'P%') AND type IN ({_CALLS})",
+    "incident_edges": f"WITH {GRAPH_SQL} SELECT DISTINCT node AS target, edge_id FROM ways WHERE node LIKE 'C%' OR node LIKE 'N%'",
+    "variable_flow_fallback": f"""WITH {GRAPH_SQL}, w AS (SELECT 'S' || s_suppkey AS target, 'N' || s_nationkey AS function, s_name AS symbol FROM supplier UNION ALL SELECT 'C' || c_custkey, 'N0', c_name FROM customer),
 l AS (SELECT w.target, 'S' || s_suppkey AS node FROM w JOIN supplier ON s_name = w.symbol AND 'N' || s_nationkey = w.function),
 s AS (SELECT * FROM l UNION SELECT w.target, 'C' || c_custkey FROM w JOIN customer ON c_name = w.symbol WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.target = w.target))
 SELECT target, node, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT target, node, 0 AS depth FROM s UNION ALL SELECT s.target, ways.other, 1 FROM s JOIN ways ON ways.node = s.node) GROUP BY target, node""",

@@ -42,7 +42,7 @@ def _(spark, d):
     return inventory.registry_rollup(table(spark, d, "customer").select(F.col("c_mktsegment").alias("project"), (F.col("c_nationkey") % 4).alias("label"), split.alias("split")), ["train", "test"])
 
 
-@_query("scan_order", "SELECT s_suppkey AS idx, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN s_nationkey % 4 > 0 THEN s_nationkey END, 1000000000000), CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END, s_name, s_suppkey) AS INTEGER) AS place FROM supplier")
+@_query("scan_order", "SELECT s_suppkey AS idx, row_number() OVER (ORDER BY coalesce(CASE WHEN s_nationkey % 4 > 0 THEN s_nationkey END, 1000000000000), CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END, s_name, s_suppkey) AS place FROM supplier")
 def _(spark, d):
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_name").alias("project"), F.when(F.col("s_nationkey") % 4 > 0, F.col("s_nationkey")).alias("samples"), F.when(F.col("s_suppkey") % 3 == 0, "https://GitHub.com/x").alias("project_url"))
     return inventory.scan_order(rows).select("idx", "place")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import rules, text
@@ -228,10 +228,10 @@ def _(spark, d):
     return select.lookup(table(spark, d, "supplier"), known, ["s_name", "s_nationkey"], "k", ["v"]).select("s_suppkey", "v")
 
 
-@_query("seeded_shuffle", "SELECT p_partkey, row_number() OVER (ORDER BY sha1(p_partkey || '|7'), p_partkey) AS place FROM (SELECT p_partkey FROM part ORDER BY sha1(p_partkey || '|7'), p_partkey LIMIT 100)")
+@_query("seeded_shuffle", "SELECT p_partkey, row_number() OVER (ORDER BY sha1(p_partkey || '|7'), p_partkey) AS place FROM part")
 def _(spark, d):
-    top = select.shuffle(table(spark, d, "part").select("p_partkey"), "p_partkey", 7).limit(100)
-    return top.select("p_partkey", F.row_number().over(Window.orderBy(F.sha1(F.concat_ws("|", F.col("p_partkey").cast("string"), F.lit("7"))), "p_partkey")).cast("long").alias("place"))
+    order = [F.sha1(F.concat_ws("|", F.col("p_partkey").cast("string"), F.lit("7"))), F.col("p_partkey")]
+    return windows.global_rank(select.shuffle(table(spark, d, "part").select("p_partkey"), "p_partkey", 7), order)
 
 
 def _predictions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -280,10 +280,10 @@ def _(spark, d):
     return evaluate.live_metrics(rows)
 
 
-@_query("submission_score", f"WITH c AS (SELECT count(*) AS n, count(*) FILTER (quality = toxic) AS correct FROM labels WHERE doc_id % 2 = 0) SELECT c.*, {_div('correct', 'n')} AS accuracy FROM c")
+@_query("submission_score", f"WITH c AS (SELECT count(*) AS n, count(*) FILTER (quality = toxic) AS correct FROM labels JOIN documents USING (doc_id) WHERE lang = 'en') SELECT c.*, {_div('correct', 'n')} AS accuracy FROM c")
 def _(spark, d):
     rows = table(spark, d, "labels")
-    return evaluate.submission_score(rows.select(F.col("doc_id").alias("sample_id"), F.col("quality").alias("label")), rows.where("doc_id % 2 = 0").select(F.col("doc_id").alias("sample_id"), F.col("toxic").alias("prediction")))
+    return evaluate.submission_score(rows.select(F.col("doc_id").alias("sample_id"), F.col("quality").alias("label")), rows.join(table(spark, d, "documents").where("lang = 'en'"), "doc_id", "left_semi").select(F.col("doc_id").alias("sample_id"), F.col("toxic").alias("prediction")))
 
 
 @_query("usage_summary", f"WITH u AS (SELECT conv_id % 5 AS g, length(text) AS p, CASE WHEN role = 'user' THEN NULL ELSE turn END AS c, role = 'user' AS e FROM conversations), a AS (SELECT g, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(coalesce(c, 0)) AS BIGINT) AS completion_tokens, CAST(sum(p + coalesce(c, 0)) AS BIGINT) AS total_tokens, CAST(sum(p * 2) AS BIGINT) AS cost, bool_and(e) AS estimated, count(*) AS n FROM u GROUP BY g) SELECT a.*, {_div('total_tokens', 'n')} AS avg_tokens, {_div('cost', 'n')} AS avg_cost FROM a")
