@@ -152,8 +152,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, lang_pred and score for every row, from the whole text alone.
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """keep and, under `names`, the predicted language and its score for every row, from the whole text alone.
 
     A null text, an empty one or one without a letter is NONE with score 0, and so is everything if nothing was
     learned. Repeated rows give repeated results; an empty table gives an empty result. The model travels with the
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
         return step
 
-    return map_texts(docs, list(keep), [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], start)
+    return map_texts(docs, list(keep), [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())], start)
 
 
 def query(docs: DataFrame) -> DataFrame:

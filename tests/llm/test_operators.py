@@ -522,6 +522,10 @@ def test_pipeline(spark, tmp_path, docs, edge):
         assert all((prints[a] ^ prints[b]).bit_count() > 4 for a in prints for b in prints if a < b)
         for before, (name, stage) in zip([table, None, None, None], corpus_pipeline.STAGES[:3], strict=False):
             assert stage(spark, table, "").columns == table.columns
+    clash = edge.withColumns({"ids": F.lit(1), "lang_pred": F.lit("x")})
+    assert corpus_pipeline.identify_language(spark, clash, "").columns == clash.columns
+    assert corpus_pipeline.encode_pieces(spark, clash, "").columns == [*clash.columns, "_ids"]
+    assert corpus_pipeline.encode_pieces(spark, clash, "").count() == clash.count()
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").collect() == []
