@@ -20,14 +20,20 @@ from arborlake.llm import exact_dedup, language_id, mixing, sentencepiece_codec,
 MIN_SCORE = 0.05
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, with bars in front if docs has it."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; lang is the predicted one. The model learns from the labels in docs."""
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    rows = language_id.predict(docs, model, tuple(docs.columns))
-    if "lang_pred" in docs.columns or "score" in docs.columns:
-        raise ValueError("documents must not have columns named lang_pred or score")
-    rows = rows.where((F.col("lang_pred") != language_id.NONE) & (F.col("score") >= MIN_SCORE))
-    return rows.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    lang, score = _free(docs, "lang_pred"), _free(docs, "score")
+    rows = language_id.predict(docs, model, tuple(docs.columns), (lang, score))
+    rows = rows.where((F.col(lang) != language_id.NONE) & (F.col(score) >= MIN_SCORE))
+    return rows.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their pieces."""
-    return sentencepiece_codec.encode(docs, (*[c for c in docs.columns if c != "text"], "text"))
+    return sentencepiece_codec.encode(docs, tuple(docs.columns), name=_free(docs, "ids"))
 
 
 STAGES = [
