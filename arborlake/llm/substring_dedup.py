@@ -32,12 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.session import checkpoint
+from arborlake.session import broadcast_if_small, checkpoint
 
 LENGTH = 50
 ANCHOR = 20
-#: Characters of text in a run, on average, and hash ranges for each run.
+#: Characters of text in a run, on average, and for each hash range. Each run sends a message to each range, so both
+#: should grow with the square root of a corpus of many terabytes, as far as memory allows.
 RUN_CHARS = 6_000_000
+RANGE_CHARS = 4_000_000
 HASH_BITS = 56
 TOP = np.uint64(2**64 - 1)
 
@@ -202,11 +204,11 @@ def anchors(text: np.ndarray, starts: np.ndarray, length: int = LENGTH, k: int =
 class Run:
     """The texts of a run that stand for themselves, in order of doc_id, in slices with their anchors."""
 
-    def __init__(self, frame: pd.DataFrame, copies: set[int], slice_bytes: int = 1 << 20):
+    def __init__(self, frame: pd.DataFrame, slice_bytes: int = 1 << 20):
         frame = frame.sort_values(["doc_id", "text"], kind="stable")
         self.ids = frame["doc_id"].tolist()
         self.texts = [t.encode() for t in frame["text"].tolist()]
-        self.copy = [d in copies for d in self.ids]
+        self.copy = frame["is_copy"].tolist()
         self.slice_bytes = slice_bytes
 
     def slices(self) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -298,11 +300,8 @@ class Suffixes:
         # for each anchor of the run: its row, its place in the text, and its string's number
         self.rows, self.places, self.number = rows[order], places[order], np.cumsum(new) - 1
 
-    def of_range(self, part: int, parts: int) -> np.ndarray:
-        """Numbers of the strings of one hash range, in sorted order."""
-        return np.flatnonzero(self.parts(parts) == part)
-
     def parts(self, parts: int) -> np.ndarray:
+        """The hash range of each string."""
         edges = np.array([(i << HASH_BITS) // parts for i in range(1, parts)], np.uint64)
         return np.searchsorted(edges, self.hashes, "right")
 
@@ -367,28 +366,21 @@ def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     count = max(1, math.ceil(size / run_chars))
-    parts = 4 * count
+    parts = max(1, math.ceil(size / min(RANGE_CHARS, run_chars)))
     rows = _runs(docs, count)
     # all texts but the smallest doc_id of equal ones; equal doc_ids keep theirs
     copies = rows.where(F.octet_length("text") >= LENGTH).select("run", "doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"))
     first = copies.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = copies.join(first.repartition("first", "sha"), "sha").where("doc_id <> first").select("run", "doc_id", "sha").distinct()
+    copies = copies.join(broadcast_if_small(checkpoint(first)), "sha").where("doc_id <> first").select("run", "doc_id", "sha").distinct()
     copies = checkpoint(copies)
     by_run = rows.groupBy("run")
 
     def make(frame: pd.DataFrame, marks: pd.DataFrame) -> Run:
-        # a repeated doc_id may be a copy in one of its texts only
-        if len(frame) and len(marks):
-            known = set(zip(marks["doc_id"], marks["sha"], strict=True))
-            ids = {d for d, _ in known}
-            is_copy = [d in ids and (d, hashlib.sha256(t.encode()).hexdigest()) in known for d, t in zip(frame["doc_id"], frame["text"], strict=True)]
-            frame = frame.assign(is_copy=is_copy)
-        else:
-            frame = frame.assign(is_copy=False)
-        frame = frame.sort_values(["doc_id", "text"], kind="stable")
-        run = Run(frame, set())
-        run.copy = frame["is_copy"].tolist()
-        return run
+        # a repeated doc_id may be a copy in one of its texts only, so a digest decides
+        known = set(zip(marks["doc_id"], marks["sha"], strict=True))
+        ids = {d for d, _ in known}
+        is_copy = [d in ids and (d, hashlib.sha256(t.encode()).hexdigest()) in known for d, t in zip(frame["doc_id"], frame["text"], strict=True)]
+        return Run(frame.assign(is_copy=is_copy))
 
     def send_hashes(frame: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         hashes, several = make(frame, marks).hashes()
@@ -406,7 +398,7 @@ def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
         every = np.concatenate([h for h, _ in got])
         distinct, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
         shared = times > 1
-        np.logical_or.at(shared, inverse, np.concatenate([s for _, s in got]))
+        shared[inverse[np.concatenate([s for _, s in got])]] = True
         blobs, at = [], 0
         for hashes, _ in got:
             yes = hashes[shared[inverse[at : at + len(hashes)]]]
@@ -420,7 +412,7 @@ def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
     def suffixes(frame: pd.DataFrame, marks: pd.DataFrame) -> tuple[Run, Suffixes]:
         run = make(frame, told(marks, 0))
         hashes = told(marks, 1).sort_values("part")
-        marked = np.concatenate([np.zeros(0, np.uint64), *(_unpack_hashes(b, int(n))[0] for b, n in zip(hashes["blob"], hashes["n"], strict=True))])
+        marked = np.concatenate([np.zeros(0, np.uint64), *(_unpack_hashes(b, n)[0] for b, n in zip(hashes["blob"], hashes["n"], strict=True))])
         return run, Suffixes(run, marked)
 
     def send_suffixes(frame: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
@@ -444,6 +436,9 @@ def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
         blobs = [zstandard.compress(bits[a:b].astype("<u4").tobytes(), 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         return pd.DataFrame({"run": frame["run"].to_numpy(), "part": frame["part"].to_numpy(), "n": frame["n"].to_numpy(), "blob": blobs})
 
+    def sizes_of(run: Run, rows: np.ndarray) -> np.ndarray:
+        return np.fromiter(map(len, run.texts), np.int64, len(run.texts))[rows]
+
     def finish(frame: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         run, s = suffixes(frame, marks)
         owner, bits = s.parts(parts), np.zeros(len(s.docs), np.uint32)
@@ -455,34 +450,37 @@ def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
             # where several texts of the run have a string, all but the smallest doc lose it
             later = ids[s.rows] > s.docs[s.number]
             marks_of = np.where(later, np.uint32((1 << (LENGTH - ANCHOR + 1)) - 1), marks_of)
-        by_row = np.argsort(s.rows, kind="stable")
-        bounds = np.searchsorted(s.rows[by_row], np.arange(len(ids) + 1))
+        # where a removed string begins, over the run's texts end to end; each lies inside its text
+        ends = np.cumsum([0, *map(len, run.texts)])
+        begins = np.zeros(int(ends[-1]) + 1, bool)
+        hit = marks_of > 0
+        at, place, mark = ends[s.rows[hit]], s.places[hit], marks_of[hit]
+        for t in range(LENGTH - ANCHOR + 1) if len(at) else ():
+            here = (mark >> np.uint32(t) & 1) == 1
+            # a string that is equal in a smaller document of the run may be cut short here
+            here &= (place >= t) & (place - t + LENGTH <= sizes_of(run, s.rows[hit]))
+            begins[(at + place - t)[here]] = True
+        count = np.cumsum(begins[:-1], dtype=np.int32)
+        cover = count > 0
+        cover[LENGTH:] = count[LENGTH:] > count[:-LENGTH]
+        del count
         out = []
         for i, raw in enumerate(run.texts):
-            gone = np.zeros(len(raw) + 1, np.int32)
+            mine = cover[ends[i] : ends[i + 1]]
             if run.copy[i] and len(raw) >= LENGTH:
-                gone[0], gone[-1] = 1, -1
+                kept, spans = b"", 1
+            elif mine.any():
+                spans = int(mine[0]) + int((mine[1:] & ~mine[:-1]).sum())
+                kept = np.frombuffer(raw, np.uint8)[~mine].tobytes()
             else:
-                mine = by_row[bounds[i] : bounds[i + 1]]
-                place, mark = s.places[mine], marks_of[mine]
-                hit = mark > 0
-                place, mark = place[hit], mark[hit]
-                for t in range(LENGTH - ANCHOR + 1) if len(place) else ():
-                    begin = place[(mark >> np.uint32(t) & 1) == 1] - t
-                    begin = begin[(begin >= 0) & (begin + LENGTH <= len(raw))]
-                    np.add.at(gone, begin, 1)
-                    np.add.at(gone, begin + LENGTH, -1)
-            cover = np.cumsum(gone[:-1]) > 0
-            spans = int(cover[:1].sum() + (cover[1:] & ~cover[:-1]).sum())
-            kept = np.frombuffer(raw, np.uint8)[~cover].tobytes() if spans else raw
+                kept, spans = raw, 0
             out.append((run.ids[i], len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     sent = "part int, run int, n long, blob binary"
     told_back = "run int, part int, n long, blob binary"
-    empty = F.lit(None)
-    copy_marks = copies.select("run", F.lit(0).alias("kind"), empty.cast("int").alias("part"), empty.cast("long").alias("n"), empty.cast("binary").alias("blob"), "doc_id", "sha")
-    as_marks = lambda df, kind: df.select("run", F.lit(kind).alias("kind"), "part", "n", "blob", empty.cast("long").alias("doc_id"), empty.cast("string").alias("sha"))
+    copy_marks = copies.select("run", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("blob"), "doc_id", "sha")
+    as_marks = lambda df, kind: df.select("run", F.lit(kind).alias("kind"), "part", "n", "blob", F.lit(0).cast("long").alias("doc_id"), F.lit("").alias("sha"))
     hashes = by_run.cogroup(copies.groupBy("run")).applyInPandas(send_hashes, sent)
     shared = checkpoint(hashes.groupBy("part").applyInPandas(answer, told_back))
     marks = copy_marks.unionByName(as_marks(shared, 1))
