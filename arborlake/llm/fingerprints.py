@@ -17,7 +17,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.session import checkpoint
+from arborlake.session import broadcast_if_small, checkpoint
 
 SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
 #: Characters that lower() leaves in normal form: ASCII and the small letters of Latin-1 with the sharp s done apart.
@@ -118,8 +118,7 @@ def _hash_is(th: Column) -> Column:
 def duplicates(bucketed: DataFrame) -> DataFrame:
     """(key, th, bucket, leads) for rows whose bucket holds several documents; leads marks the smallest key in it."""
     first = bucketed.groupBy("bucket").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # spread anew, so that the join has an exchange on both sides and a hot bucket's rows can be split
-    return bucketed.join(first.repartition("first", "bucket"), "bucket").select("key", "th", "bucket", (F.col("key") == F.col("first")).alias("leads")).distinct()
+    return bucketed.join(broadcast_if_small(checkpoint(first)), "bucket").select("key", "th", "bucket", (F.col("key") == F.col("first")).alias("leads")).distinct()
 
 
 def odd_ones(keyed: DataFrame, members: DataFrame) -> DataFrame:
@@ -127,7 +126,9 @@ def odd_ones(keyed: DataFrame, members: DataFrame) -> DataFrame:
     forms = keyed.join(members, "key").where(_hash_is(F.col("th"))).select("key", "th", "bucket", "leads", canonical(F.col("text")).alias("form"))
     reps = forms.where("leads").groupBy("bucket").agg(F.min("form").alias("rep"))
     compared = forms.select("key", "th", "bucket", "form").join(reps.repartition("rep"), "bucket").where(~F.col("form").eqNullSafe(F.col("rep")))
-    return compared.select("key", "th", "bucket", F.concat_ws("-", "bucket", F.sha2(F.encode("form", "UTF-8"), 256)).alias("own")).distinct()
+    own = compared.select("key", "th", "bucket", F.concat_ws("-", "bucket", F.sha2(F.encode("form", "UTF-8"), 256)).alias("own"))
+    # dealt anew before copies go: else that would rest on the join's partitions, which then could not be split
+    return own.repartition("key").distinct()
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
