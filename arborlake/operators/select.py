@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.session import checkpoint
+
 TEST, TRAIN = "test", "train"
 
 
@@ -146,7 +148,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], on: str, values:
 
     Keys are exploded with their priority, so there is one join whatever their number.
     """
-    wanted = rows.withColumn("_row", F.monotonically_increasing_id())
+    # written out, so that both uses below see the same row numbers whatever rows come from
+    wanted = checkpoint(rows.withColumn("_row", F.monotonically_increasing_id()))
     tried = wanted.select("_row", F.posexplode(F.array(*[F.col(k).cast("string") for k in keys])).alias("_rank", on))
     found = tried.join(table.select(on, F.struct(*values).alias("_v")), on).groupBy("_row").agg(F.min_by("_v", "_rank").alias("_v"))
     return reduce(lambda df, v: df.withColumn(v, F.col(f"_v.{v}")), values, wanted.join(found, "_row", "left")).drop("_row", "_v")
