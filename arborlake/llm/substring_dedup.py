@@ -16,6 +16,10 @@ Rows of documents are dealt to runs by doc_id, and each run's texts go through t
    of the anchors, name all strings of LENGTH bytes, and the smallest doc_id of each is set against the suffix's own.
 3. Each run gets LENGTH - ANCHOR + 1 bits for each of its suffixes and cuts the bytes out of its texts.
 
+A hot anchor, such as those at the ends of a line that very many texts share, may have a different suffix in each of
+them, and all would meet in one range. The strings of LENGTH bytes around hot anchors are therefore sent one by one,
+each as a suffix of its own that goes to the range of its own hash, so that only equal ones meet.
+
 Copies of a whole text are told apart first, by digest: the smallest doc_id stands for them, and the others lose
 every byte. Within a run, equal suffixes are sent once, with their smallest doc_id.
 """
@@ -41,6 +45,8 @@ ANCHOR = 20
 RUN_CHARS = 6_000_000
 RANGE_CHARS = 4_000_000
 HASH_BITS = 56
+#: An anchor that stands in so many texts of one run is hot, in all runs.
+HOT_TEXTS = 32
 TOP = np.uint64(2**64 - 1)
 
 
@@ -230,29 +236,30 @@ class Run:
         found, hashes = anchors(raw, starts)
         return list(rows), raw, starts, found, hashes >> np.uint64(64 - HASH_BITS)
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The run's distinct hashes, sorted, and whether several of its texts have them."""
+    def hashes(self, hot_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The run's distinct hashes, sorted, and whether several, and whether hot_texts of its texts have them."""
         pairs = []
         for rows, _, starts, found, hashes in self.slices():
             owner = np.array(rows)[np.searchsorted(starts, found, "right") - 1]
             pairs.append(np.unique(np.stack([hashes, owner.astype(np.uint64)], axis=1), axis=0))
         if not pairs:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
+            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
         distinct, times = np.unique(np.concatenate([p[:, 0] for p in pairs]), return_counts=True)
-        return distinct, times > 1
+        return distinct, times > 1, times >= hot_texts
 
 
-def _pack_hashes(hashes: np.ndarray, several: np.ndarray) -> bytes:
+def _pack_hashes(hashes: np.ndarray, several: np.ndarray, hot: np.ndarray) -> bytes:
     deltas = np.diff(hashes, prepend=np.uint64(0)).astype(np.uint64)
     # byte planes: the high ones are nearly empty
     planes = np.ascontiguousarray(deltas.view(np.uint8).reshape(-1, 8).T).tobytes()
-    return zstandard.compress(planes + np.packbits(several).tobytes(), 1)
+    return zstandard.compress(planes + np.packbits(np.concatenate([several, hot])).tobytes(), 1)
 
 
-def _unpack_hashes(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpack_hashes(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
     deltas = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(deltas, dtype=np.uint64), np.unpackbits(raw[8 * n :], count=n).astype(bool)
+    flags = np.unpackbits(raw[8 * n :], count=2 * n).astype(bool)
+    return np.cumsum(deltas, dtype=np.uint64), flags[:n], flags[n:]
 
 
 def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -264,13 +271,16 @@ def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
 class Suffixes:
     """The marked anchors of a run: their suffixes and the reversed strings in front of them, sorted, equal ones once."""
 
-    def __init__(self, run: Run, marked: np.ndarray):
+    def __init__(self, run: Run, marked: np.ndarray, hot: np.ndarray):
         ahead = LENGTH - ANCHOR
         rights, lefts, right_n, left_n, docs, hashes, rows, places = ([] for _ in range(8))
         for which, raw, starts, found, found_hashes in run.slices():
             at = np.searchsorted(marked, found_hashes)
             hit = (at < len(marked)) & (marked[np.minimum(at, max(len(marked) - 1, 0))] == found_hashes) if len(marked) else np.zeros(len(found), bool)
-            found, found_hashes = found[hit], found_hashes[hit]
+            found, found_hashes, at = found[hit], found_hashes[hit], at[hit]
+            is_hot = hot[at] if len(at) else np.zeros(0, bool)
+            self._add_windows(found[is_hot], which, raw, starts, rights, lefts, right_n, left_n, hashes, rows, places)
+            found, found_hashes = found[~is_hot], found_hashes[~is_hot]
             owner = np.searchsorted(starts, found, "right") - 1
             n_right = np.minimum(starts[owner + 1] - found, LENGTH)
             n_left = np.minimum(found - starts[owner], ahead)
@@ -300,6 +310,30 @@ class Suffixes:
         # for each anchor of the run: its row, its place in the text, and its string's number
         self.rows, self.places, self.number = rows[order], places[order], np.cumsum(new) - 1
 
+    @staticmethod
+    def _add_windows(found, which, raw, starts, rights, lefts, right_n, left_n, hashes, rows, places) -> None:
+        """Add each string of LENGTH bytes that holds one of the anchors `found`, as a suffix with nothing in front."""
+        ahead = LENGTH - ANCHOR
+        begin = np.unique((found[:, None] - np.arange(ahead + 1)).ravel())
+        begin = begin[(begin >= 0) & (begin + LENGTH <= len(raw))]
+        owner = np.searchsorted(starts, begin, "right") - 1
+        inside = begin + LENGTH <= starts[owner + 1]
+        begin, owner = begin[inside], owner[inside]
+        if not len(begin):
+            return
+        right = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[begin].copy()
+        padded = np.zeros((len(right), 56), np.uint8)
+        padded[:, :LENGTH] = right
+        own = np.zeros(len(right), np.uint64)
+        for word in np.ascontiguousarray(padded).view("<u8").astype(np.uint64).T:
+            own = (own ^ word) * np.uint64(0x9E3779B97F4A7C15)
+            own ^= own >> np.uint64(29)
+        for target, value in (
+            (rights, right), (lefts, np.zeros((len(right), ahead), np.uint8)), (right_n, np.full(len(right), LENGTH)), (left_n, np.zeros(len(right), np.int64)),
+            (hashes, own >> np.uint64(64 - HASH_BITS)), (rows, np.array(which)[owner]), (places, begin - starts[owner]),
+        ):
+            target.append(value)
+
     def parts(self, parts: int) -> np.ndarray:
         """The hash range of each string."""
         edges = np.array([(i << HASH_BITS) // parts for i in range(1, parts)], np.uint64)
@@ -356,7 +390,7 @@ def _runs(docs: DataFrame, count: int) -> DataFrame:
     return docs.select(F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias("run"), key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
+def cut(docs: DataFrame, run_chars: int = RUN_CHARS, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row: what is left after removing each byte
     covered by a string of LENGTH bytes that also starts in a document with a smaller doc_id.
 
@@ -383,27 +417,30 @@ def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
         return Run(frame.assign(is_copy=is_copy))
 
     def send_hashes(frame: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        hashes, several = make(frame, marks).hashes()
+        hashes, several, hot = make(frame, marks).hashes(hot_texts)
         bounds = _ranges(hashes, parts)
         out = [(p, a, b) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
         number = int(frame["run"].iloc[0]) if len(frame) else 0
         return pd.DataFrame({
             "part": [p for p, _, _ in out], "run": number, "n": [b - a for _, a, b in out],
-            "blob": [_pack_hashes(hashes[a:b], several[a:b]) for _, a, b in out],
+            "blob": [_pack_hashes(hashes[a:b], several[a:b], hot[a:b]) for _, a, b in out],
         }).astype({"part": "int32", "run": "int32", "n": "int64"})
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("run")
         got = [_unpack_hashes(b, n) for b, n in zip(frame["blob"], frame["n"], strict=True)]
-        every = np.concatenate([h for h, _ in got])
+        every = np.concatenate([h for h, _, _ in got])
         distinct, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
         shared = times > 1
-        shared[inverse[np.concatenate([s for _, s in got])]] = True
+        shared[inverse[np.concatenate([s for _, s, _ in got])]] = True
+        hot = np.zeros(len(distinct), bool)
+        hot[inverse[np.concatenate([h for _, _, h in got])]] = True
         blobs, at = [], 0
-        for hashes, _ in got:
-            yes = hashes[shared[inverse[at : at + len(hashes)]]]
+        for hashes, _, _ in got:
+            mine = inverse[at : at + len(hashes)]
+            yes, which = hashes[shared[mine]], mine[shared[mine]]
             at += len(hashes)
-            blobs.append((len(yes), _pack_hashes(yes, np.zeros(len(yes), bool))))
+            blobs.append((len(yes), _pack_hashes(yes, shared[which], hot[which])))
         return pd.DataFrame({"run": frame["run"].to_numpy(), "part": frame["part"].to_numpy(), "n": [n for n, _ in blobs], "blob": [b for _, b in blobs]})
 
     def told(marks: pd.DataFrame, kind: int) -> pd.DataFrame:
@@ -412,8 +449,9 @@ def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
     def suffixes(frame: pd.DataFrame, marks: pd.DataFrame) -> tuple[Run, Suffixes]:
         run = make(frame, told(marks, 0))
         hashes = told(marks, 1).sort_values("part")
-        marked = np.concatenate([np.zeros(0, np.uint64), *(_unpack_hashes(b, n)[0] for b, n in zip(hashes["blob"], hashes["n"], strict=True))])
-        return run, Suffixes(run, marked)
+        got = [_unpack_hashes(b, n) for b, n in zip(hashes["blob"], hashes["n"], strict=True)]
+        marked, hot = (np.concatenate([np.zeros(0, kind), *(x[i] for x in got)]) for i, kind in ((0, np.uint64), (2, bool)))
+        return run, Suffixes(run, marked, hot)
 
     def send_suffixes(frame: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         _, s = suffixes(frame, marks)
@@ -449,7 +487,8 @@ def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
         if len(s.number):
             # where several texts of the run have a string, all but the smallest doc lose it
             later = ids[s.rows] > s.docs[s.number]
-            marks_of = np.where(later, np.uint32((1 << (LENGTH - ANCHOR + 1)) - 1), marks_of)
+            every = (np.uint64(2) << s.left_n.astype(np.uint64)) - np.uint64(1)
+            marks_of = np.where(later, every.astype(np.uint32)[s.number], marks_of)
         # where a removed string begins, over the run's texts end to end; each lies inside its text
         ends = np.cumsum([0, *map(len, run.texts)])
         begins = np.zeros(int(ends[-1]) + 1, bool)
@@ -493,6 +532,6 @@ def cut(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
     return out.withColumn("doc_id", back)
 
 
-def query(docs: DataFrame, run_chars: int = RUN_CHARS) -> DataFrame:
+def query(docs: DataFrame, run_chars: int = RUN_CHARS, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """The report without the bytes."""
-    return cut(docs, run_chars).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut(docs, run_chars, hot_texts).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

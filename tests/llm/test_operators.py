@@ -557,7 +557,7 @@ def test_substring_dedup(which, request):
     table = request.getfixturevalue(which)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in table.collect()]
     expected = brute_cut(rows)
-    got = substring_dedup.cut(table, 60_000).collect()
+    got = substring_dedup.cut(table, 60_000, 3).collect()
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r)[1:5] in expected[r["doc_id"]]
@@ -578,10 +578,10 @@ def test_substring_dedup_hard_texts(spark):
     rows += [(500, pool[0] + "x" * 60), (500, pool[1] + "y" * 60), (501, "x" * 80), (501, "x" * 80)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute_cut([(d, t.encode()) for d, t in rows])
-    for chars in (700, 10**9):
-        got = substring_dedup.query(table, chars).collect()
+    for chars, hot in ((700, 32), (10**9, 32), (700, 2), (3000, 4), (10**9, 2)):
+        got = substring_dedup.query(table, chars, hot).collect()
         assert len(got) == len(rows)
-        assert all(tuple(x)[1:5] in expected[x["doc_id"]] for x in got), chars
+        assert all(tuple(x)[1:5] in expected[x["doc_id"]] for x in got), (chars, hot)
     with_null = spark.createDataFrame([(None, "q" * 60), (1, "q" * 60)], "doc_id long, text string")
     assert sorted((x["doc_id"] or 0, x["n_removed"]) for x in substring_dedup.query(with_null).collect()) == [(0, 0), (1, 60)]
     assert substring_dedup.query(table.where("false")).collect() == []
