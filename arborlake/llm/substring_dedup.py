@@ -234,6 +234,10 @@ class Run:
         raw = np.frombuffer(b"".join(self.texts[i] for i in rows), np.uint8)
         starts = np.cumsum([0, *(len(self.texts[i]) for i in rows)])
         found, hashes = anchors(raw, starts)
+        # anchors have small hashes, as the smallest of many; mixed anew, they spread evenly over the ranges
+        hashes *= np.uint64(0x94D049BB133111EB)
+        hashes ^= hashes >> np.uint64(31)
+        hashes *= np.uint64(0xD6E8FEB86659FD93)
         return list(rows), raw, starts, found, hashes >> np.uint64(64 - HASH_BITS)
 
     def hashes(self, hot_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
