@@ -257,9 +257,10 @@ def _rate_sql(e: str) -> str:
     return f"{_div('(tp + tn)', '(tp + tn + fp + fn)', e)} AS accuracy, {_div('tp', '(tp + fp)', e)} AS precision, {_div('tp', '(tp + fn)', e)} AS recall, {_div('(2 * tp)', '(2 * tp + fp + fn)', e)} AS f1"
 
 
-@_query("outcomes", f"WITH {OUTCOMES} SELECT sample_id, truth, pred, outcome FROM o")
+@_query("outcomes", f"WITH {OUTCOMES} SELECT sample_id, truth, CASE WHEN pred IS NULL THEN 'none' WHEN pred THEN 'yes' ELSE 'no' END AS pred, outcome FROM o")
 def _(spark, d):
-    return evaluate.outcomes(*_predictions(spark, d))
+    rows = evaluate.outcomes(*_predictions(spark, d))
+    return rows.withColumn("pred", F.when(F.col("pred").isNull(), "none").when(F.col("pred"), "yes").otherwise("no"))
 
 
 @_query("binary_metrics_strict", f"WITH {OUTCOMES}, c AS (SELECT {_COUNTS} FROM o) SELECT c.*, tp + tn + fp + fn AS n_valid, tp + tn + fp + fn + invalid + missing AS n_total, {_rate_sql('0.0')}, {_div('tn', '(tn + fp)')} AS specificity, {_div('(tp + tn)', '(tp + tn + fp + fn + invalid + missing)')} AS accuracy_all, {_div('fp', '(fp + tn)')} AS false_positive_rate, {_div('fn', '(fn + tp)')} AS false_negative_rate, ({_div('tp', '(tp + fn)')} + {_div('tn', '(tn + fp)')}) / 2 AS balanced_accuracy FROM c")
