@@ -2,7 +2,7 @@
 
 Stages run in order; each is written as Parquet and reread as the next one's input. Language ID drops documents in
 which no language can be told, exact dedup keeps the largest doc_id of equal texts, near-dedup the smallest doc_id of
-each group of linked fingerprints, mixing repeats or leaves out documents until each source meets its target and puts
+each group of texts linked by similar sets of five-word shingles, mixing repeats or leaves out documents until each source meets its target and puts
 them in training order, and encoding adds the ids of the pieces.
 """
 
@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.llm import exact_dedup, language_id, mixing, sentencepiece_codec, simhash
+from arborlake.llm import exact_dedup, language_id, mixing, near_copies, sentencepiece_codec
 
 #: Least share of the evidence that the predicted language must have; a text with no evidence at all has score 0.
 MIN_SCORE = 0.05
@@ -42,8 +42,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document for each group of near copies, the one with the smallest doc_id."""
-    return simhash.dedup(docs)
+    """One document for each group of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id."""
+    return near_copies.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
