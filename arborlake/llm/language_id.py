@@ -31,6 +31,10 @@ MIN_RATE = 1e-5
 #: Least share relative to the language where the n-gram is most common.
 RELATIVE = 0.2
 MAX_LANGUAGES = 1024
+#: Evidence that names a language: so large a share of a text's distinct n-grams, and so many standard deviations of the
+#: filter's false positives. On held-out labels of sf0.01 the least share is 0.37; with the text's language not learned,
+#: the median is below 0.09 and the most 0.30.
+MIN_SHARE, MIN_SIGMAS = 0.2, 5.0
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -87,6 +91,28 @@ class Model:
         best = int(counts.argmax())
         return self.languages[best], float(counts[best] / total)
 
+    def evident(self, text: str | None, piece: int = 1 << 20) -> str:
+        """The language that most of the text's distinct n-grams speak for, NONE unless they do so by MIN_SHARE and MIN_SIGMAS.
+
+        Neither depends on the number of languages, and repeating a text's n-grams does not add to them.
+        """
+        if not text or not self.languages or not _LETTER.search(text):
+            return NONE
+        keys, bits = np.sort(grams(text)), np.zeros(len(self.languages))
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+        for low in range(0, len(keys), piece):
+            masks = self.lookup(keys[low : low + piece])
+            for plane in range(masks.shape[1]):
+                seen = np.bincount(masks[:, plane], minlength=256)
+                for bit in range(min(8, len(self.languages) - 8 * plane)):
+                    bits[8 * plane + bit] += seen[_HAS[bit]].sum()
+        above = bits - len(keys) * self.false_rate
+        net = above / (1 - self.false_rate)
+        best = int(net.argmax())
+        noise = np.sqrt(len(keys) * self.false_rate[best] * (1 - self.false_rate[best]))
+        enough = net[best] > 0 and net[best] >= MIN_SHARE * len(keys) and above[best] >= MIN_SIGMAS * noise
+        return self.languages[best] if enough else NONE
+
 
 _HAS = [np.flatnonzero(np.arange(256) >> bit & 1) for bit in range(8)]
 
@@ -173,6 +199,17 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     return map_texts(docs, list(keep), [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())], start)
 
 
+def evident(docs: DataFrame, model: Model, keep: tuple[str, ...], name: str) -> DataFrame:
+    """keep and, under `name`, the language that a row's text gives enough evidence of, else NONE."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        found = sent.value.evident
+        return lambda texts: [pa.array([found(t) for t in texts], pa.string())]
+
+    return map_texts(docs, list(keep), [T.StructField(name, T.StringType())], start)
+
+
 def query(docs: DataFrame) -> DataFrame:
     """Predictions for every document by a model of the documents that are not held out."""
     model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from arborlake.llm import exact_dedup, language_id, mixing, near_copies, sentencepiece_codec
 
-#: Least share of the evidence that the predicted language must have; a text with no evidence at all has score 0.
-MIN_SCORE = 0.05
-
 
 def _free(docs: DataFrame, name: str) -> str:
     """The name, with bars in front if docs has it."""
@@ -28,11 +25,10 @@ def _free(docs: DataFrame, name: str) -> str:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; lang is the predicted one. The model learns from the labels in docs."""
+    """Documents whose text gives enough evidence of a language; lang is that language. The model learns from the labels in docs."""
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    lang, score = _free(docs, "lang_pred"), _free(docs, "score")
-    rows = language_id.predict(docs, model, tuple(docs.columns), (lang, score))
-    rows = rows.where((F.col(lang) != language_id.NONE) & (F.col(score) >= MIN_SCORE))
+    lang = _free(docs, "lang_pred")
+    rows = language_id.evident(docs, model, tuple(docs.columns), lang).where(F.col(lang) != language_id.NONE)
     return rows.withColumn("lang", F.col(lang)).select(*docs.columns)
 
 
