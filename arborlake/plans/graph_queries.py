@@ -109,6 +109,33 @@ def _trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.trim(graph, reached.select("target", "node"), 50, WEIGHTS)
 
 
+def _calls_d2(spark: SparkSession, sf_dir: str) -> tuple[g.Graph, DataFrame]:
+    """What every customer and every order reach in two steps over orders and parts, with only the edges of those steps."""
+    graph = saved(spark, sf_dir)
+    graph = g.Graph(graph.nodes, graph.edges.where(F.col("type").isin("PLACED", "CONTAINS")))
+    return graph, checkpoint(g.neighborhood(graph.edges, _all(graph, "Customer", "Order"), 2, direction="out"))
+
+
+def _limited_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, reached = _calls_d2(spark, sf_dir)
+    nodes, edges = g.limited_induced(graph.edges, reached, 40)
+    return nodes.groupBy("target").agg(F.count(F.lit(1)).alias("n_nodes")).join(edges.groupBy("target").agg(F.count(F.lit(1)).alias("n_edges")), "target", "left").select("target", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+def _trim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph, reached = _calls_d2(spark, sf_dir)
+    return g.trim(graph, reached.select("target", "node"), 50, WEIGHTS)
+
+
+def _path_lengths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from every order's customer to each part of the order."""
+    edges = checkpoint(saved(spark, sf_dir).edges.where(F.col("type").isin("PLACED", "CONTAINS")))
+    placed = edges.where("type = 'PLACED'").select(F.col("src").alias("source"), F.col("dst").alias("order"))
+    held = edges.where("type = 'CONTAINS'").select(F.col("src").alias("order"), F.col("dst").alias("goal"))
+    path = g.shortest_paths(edges, checkpoint(placed.join(held, "order").select("source", "goal").distinct()), 4, direction="out")
+    return path.groupBy("source", "goal").agg(F.max("step").alias("length"))
+
+
 def _components_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = star(spark, sf_dir)
     hub = g.degree(graph.edges).join(graph.nodes.select("id", "type"), "id")
@@ -135,6 +162,13 @@ QUERIES = {
     "variable_flow_fallback": _flow,
     "shortest_path_length": _path_lengths,
     "slice_trim_topk": _trim,
+    # the same operators from whole tables of targets, which recursive SQL is too slow for
+    "neighborhood_d2_all": lambda s, d: _calls_d2(s, d)[1],
+    "neighborhood_edges_d2_all": lambda s, d: (lambda x: g.neighborhood_edges(x[0].edges, x[1], 2, direction="out"))(_calls_d2(s, d)),
+    "neighborhood_induced_d2_all": lambda s, d: (lambda x: g.induced_edges(x[0].edges, x[1]))(_calls_d2(s, d)),
+    "neighborhood_limited_all": _limited_all,
+    "slice_trim_topk_all": _trim_all,
+    "shortest_path_length_all": _path_lengths_all,
 }
 
 _WEIGHT_SQL = "CASE n.type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 20 END"
