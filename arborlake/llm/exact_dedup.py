@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.llm.texts import keep_marked
 from arborlake.session import checkpoint
 
 BLOCK_BYTES = 16_384
@@ -81,8 +82,8 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, salts: int = SAL
 def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, salts: int = SALTS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row; of equal texts the largest doc_id stays.
 
-    Null texts equal empty ones. Rows that repeat a doc_id and its text count in group_size and are all kept if it is
-    the largest. A null doc_id is below all others. Only doc_id and text are read. An empty table gives an empty result.
+    Null texts equal empty ones. A very long text is many blocks, which are named wherever they are. Rows that repeat a
+    doc_id and its text count in group_size and are all kept if it is the largest. A null doc_id is below all others. Only doc_id and text are read. An empty table gives an empty result.
     """
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     rows = identities(docs.select("doc_id", "text"), block_bytes, salts, {"text_sha256": F.sha2(text, 256)})
@@ -96,10 +97,14 @@ def groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, salts: int = SALTS)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id stays, one doc_id for each text; columns are unchanged."""
-    dropped = groups(docs).where("NOT kept").select(F.col("doc_id").alias("_dropped_id"), F.col("text_sha256").alias("_sha")).distinct()
-    text = F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_dropped_id")) & (text == F.col("_sha")), "left_anti")
+    """One row of docs for each text, with the largest doc_id of those; columns are unchanged.
+
+    A null text equals the empty one. Of several rows with the largest doc_id and the text, any one stays, so a table
+    united with itself loses its copies. A text may have all its doc_ids null; then one of its rows stays.
+    """
+    digest = F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)
+    found = groups(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("mark")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return keep_marked(docs, checkpoint(found.where("NOT kept OR n > 1").drop("n")), digest)
 
 
 ORACLE_SQL = """

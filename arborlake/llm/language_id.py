@@ -10,46 +10,53 @@ false-positive rate before the largest decides.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlake.llm.texts import map_texts
+from arborlake.llm.texts import free_name, map_texts
+from arborlake.session import checkpoint
 
 NONE = "und"
 N = 5
 HASHES = 3
 #: A language learns from about so many documents, chosen by hash; a language with fewer gives all.
 SAMPLE_PER_LANGUAGE = 2000
-#: Least share of a language's n-grams, so a language has at most 1 / MIN_RATE of them and the filter a bounded size.
+#: Least share of a language's n-grams, so a language has at most 1 / MIN_RATE of them; more where there are very many languages.
 MIN_RATE = 1e-5
+#: Slots for each n-gram of the language that has most, and bytes of the whole filter, whatever the number of languages.
+SLOTS_PER_GRAM, MAX_BYTES = 32, 1 << 26
+#: Bytes of text whose n-grams are held at once.
+PIECE = 1 << 20
 #: Least share relative to the language where the n-gram is most common.
 RELATIVE = 0.2
-MAX_LANGUAGES = 1024
 #: Evidence that names a language: so large a share of a text's distinct n-grams, and so many standard deviations of the
 #: filter's false positives. On held-out labels of sf0.01 the least share is 0.37; with the text's language not learned,
 #: the median is below 0.09 and the most 0.30.
 MIN_SHARE, MIN_SIGMAS = 0.2, 5.0
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def grams(text: str) -> np.ndarray:
-    """The text's n-grams as integers, one for each byte position; a text is framed by spaces."""
+def grams(text: str, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """The text's n-grams as integers, one for each byte position, in arrays of at most `piece`; a text is framed by spaces."""
     raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
-    count = len(raw) - N + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(count, np.uint64)
-    for i in range(N):
-        out <<= np.uint64(8)
-        out |= raw[i : i + count]
-    return out
+    for low in range(0, len(raw) - N + 1, piece):
+        count = min(piece, len(raw) - N + 1 - low)
+        out = np.zeros(count, np.uint64)
+        for i in range(N):
+            out <<= np.uint64(8)
+            out |= raw[low + i : low + i + count]
+        yield out
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of one of Unicode's letter categories."""
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass
@@ -69,20 +76,26 @@ class Model:
             found = found & self.slots[(keys * np.uint64(m)) >> shift]
         return found
 
-    def counts(self, text: str, piece: int = 1 << 20) -> np.ndarray:
+    def tally(self, keys: np.ndarray) -> np.ndarray:
+        """How many of the n-grams each language may hold."""
+        masks, bits = self.lookup(keys), np.zeros(len(self.languages))
+        for plane in range(masks.shape[1]):
+            seen = np.bincount(masks[:, plane], minlength=256)
+            for bit in range(min(8, len(self.languages) - 8 * plane)):
+                bits[8 * plane + bit] = seen[_HAS[bit]].sum()
+        return bits
+
+    def counts(self, text: str) -> np.ndarray:
         """Corrected number of the text's n-grams in each language."""
-        keys, bits = grams(text), np.zeros(len(self.languages))
-        for low in range(0, len(keys), piece):
-            masks = self.lookup(keys[low : low + piece])
-            for plane in range(masks.shape[1]):
-                seen = np.bincount(masks[:, plane], minlength=256)
-                for bit in range(min(8, len(self.languages) - 8 * plane)):
-                    bits[8 * plane + bit] += seen[_HAS[bit]].sum()
-        return np.maximum(bits - len(keys) * self.false_rate, 0) / (1 - self.false_rate)
+        total, bits = 0, np.zeros(len(self.languages))
+        for keys in grams(text):
+            total += len(keys)
+            bits += self.tally(keys)
+        return np.maximum(bits - total * self.false_rate, 0) / (1 - self.false_rate)
 
     def decide(self, text: str | None) -> tuple[str, float]:
         """Language and score; ties go to the language that is first by name, no evidence to the usual one with score 0."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not self.languages or not has_letter(text):
             return NONE, 0.0
         counts = self.counts(text)
         total = counts.sum()
@@ -91,21 +104,19 @@ class Model:
         best = int(counts.argmax())
         return self.languages[best], float(counts[best] / total)
 
-    def evident(self, text: str | None, piece: int = 1 << 20) -> str:
+    def evident(self, text: str | None, piece: int = PIECE) -> str:
         """The language that most of the text's distinct n-grams speak for, NONE unless they do so by MIN_SHARE and MIN_SIGMAS.
 
         Neither depends on the number of languages, and repeating a text's n-grams does not add to them.
         """
-        if not text or not self.languages or not _LETTER.search(text):
+        if not self.languages or not has_letter(text):
             return NONE
-        keys, bits = np.sort(grams(text)), np.zeros(len(self.languages))
-        keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+        keys = np.zeros(0, np.uint64)
+        for some in grams(text, piece):
+            keys = np.union1d(keys, some)
+        bits = np.zeros(len(self.languages))
         for low in range(0, len(keys), piece):
-            masks = self.lookup(keys[low : low + piece])
-            for plane in range(masks.shape[1]):
-                seen = np.bincount(masks[:, plane], minlength=256)
-                for bit in range(min(8, len(self.languages) - 8 * plane)):
-                    bits[8 * plane + bit] += seen[_HAS[bit]].sum()
+            bits += self.tally(keys[low : low + piece])
         above = bits - len(keys) * self.false_rate
         net = above / (1 - self.false_rate)
         best = int(net.argmax())
@@ -117,17 +128,17 @@ class Model:
 _HAS = [np.flatnonzero(np.arange(256) >> bit & 1) for bit in range(8)]
 
 
-def build(languages: list[str], usual: int, rows: list[tuple[int, list[int]]]) -> Model:
-    """The filter over rows of (n-gram, indexes of its languages)."""
-    size = 1 << max(10, int(8 * len(rows)).bit_length())
+def build(languages: list[str], usual: int, keys: np.ndarray, which: np.ndarray) -> Model:
+    """The filter over pairs of an n-gram and the index of one of its languages."""
+    most = int(np.bincount(which, minlength=1).max()) if len(which) else 0
+    size = 1 << max(10, int(SLOTS_PER_GRAM * most).bit_length())
     planes = max(1, -(-len(languages) // 8))
+    while size * planes > 2 * MAX_BYTES and size > 1024:
+        size //= 2
     slots = np.zeros((size, planes), np.uint8)
     shift = np.uint64(64 - size.bit_length() + 1)
-    if rows:
-        keys = np.array([r[0] for r in rows], np.uint64).repeat([len(r[1]) for r in rows])
-        which = np.concatenate([np.array(r[1], np.int64) for r in rows])
-        for m in _MULTIPLIERS[:HASHES]:
-            np.bitwise_or.at(slots, ((keys * np.uint64(m)) >> shift, which >> 3), (1 << (which & 7)).astype(np.uint8))
+    for m in _MULTIPLIERS[:HASHES]:
+        np.bitwise_or.at(slots, ((keys * np.uint64(m)) >> shift, which >> 3), (1 << (which & 7)).astype(np.uint8))
     fill = np.array([(slots[:, i >> 3] >> (i & 7) & 1).mean() for i in range(len(languages))])
     return Model(languages, usual, slots, np.minimum(fill**HASHES, 0.99))
 
@@ -135,42 +146,48 @@ def build(languages: list[str], usual: int, rows: list[tuple[int, list[int]]]) -
 def train(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, min_rate: float = MIN_RATE, relative: float = RELATIVE) -> Model:
     """Learn from (doc_id, text, lang); rows with null text or null lang teach nothing.
 
-    n-gram counts are summed in Spark. The driver gets one row for each language and one for each kept n-gram, at
-    most languages / min_rate.
+    n-gram counts are summed in Spark. The driver gets two rows for each language and 16 bytes for each kept pair of
+    n-gram and language. With many languages the least rate grows with their number, so that neither these pairs nor
+    the filter outgrow MAX_BYTES.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return build([], 0, [])
-    chance = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["count"])))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.element_at(chance, F.col("lang"))
-    rows = labelled.where(drawn)
+        return build([], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    min_rate = max(min_rate, SLOTS_PER_GRAM * max(1, -(-len(languages) // 8)) / MAX_BYTES)
+    spark = labelled.sparkSession
+    # one short row for each language
+    shares = spark.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in sizes], "lang string, chance double")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.col("chance")
+    rows = labelled.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text")
 
     def start():
         def step(texts: list[str | None]) -> list[pa.Array]:
-            out = []
+            keys, counts, sizes = [], [], []
             for text in texts:
-                keys, count = np.unique(grams(text or ""), return_counts=True)
-                out.append([{"g": g, "n": n} for g, n in zip(keys.astype(np.int64).tolist(), count.tolist(), strict=True)])
-            return [pa.array(out, pa.list_(pa.struct([("g", pa.int64()), ("n", pa.int64())])))]
+                found, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                for some in grams(text or ""):
+                    found, inverse = np.unique(np.concatenate([found, some]), return_inverse=True)
+                    n = np.bincount(inverse, np.concatenate([n, np.ones(len(some), np.int64)])).astype(np.int64)
+                keys.append(found.astype(np.int64))
+                counts.append(n)
+                sizes.append(len(found))
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], ["g", "n"])
+            return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pairs)]
 
         return step
 
     kind = T.ArrayType(T.StructType([T.StructField("g", T.LongType()), T.StructField("n", T.LongType())]))
     counted = map_texts(rows, ["lang"], [T.StructField("grams", kind)], start).select("lang", F.explode("grams").alias("x"))
-    counted = counted.groupBy("lang", F.col("x.g").alias("gram")).agg(F.sum("x.n").alias("n"))
-    totals = map_texts(rows, ["lang"], [T.StructField("total", T.LongType())], lambda: lambda texts: [pa.array([len(grams(t or "")) for t in texts], pa.int64())])
-    totals = {r["lang"]: r["total"] for r in totals.groupBy("lang").agg(F.sum("total").alias("total")).collect()}
-    total = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(float(max(totals.get(name) or 0, 1))))])
-    rated = counted.where(F.col("n") > 1).withColumn("rate", F.col("n") / F.element_at(total, F.col("lang"))).where(F.col("rate") >= min_rate)
-    index = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
-    by_gram = rated.groupBy("gram").agg(F.collect_list(F.struct("rate", F.element_at(index, F.col("lang")).alias("i"))).alias("all"), F.max("rate").alias("top"))
-    kept = by_gram.select("gram", F.filter("all", lambda x: x["rate"] >= F.col("top") * relative)["i"].alias("which"))
-    found = sorted((r["gram"], sorted(r["which"])) for r in kept.collect())
-    return build(languages, languages.index(sizes[0]["lang"]), found)
+    counted = checkpoint(counted.groupBy("lang", F.col("x.g").alias("gram")).agg(F.sum("x.n").alias("n")))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+    rated = counted.where(F.col("n") > 1).join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= min_rate)
+    top = F.max("rate").over(Window.partitionBy("gram"))
+    kept = rated.withColumn("top", top).where(F.col("rate") >= F.col("top") * relative)
+    index = spark.createDataFrame(list(enumerate(languages)), "i int, lang string")
+    found = kept.join(F.broadcast(index), "lang").select("gram", "i").orderBy("gram", "i").toArrow()
+    return build(languages, languages.index(sizes[0]["lang"]), found["gram"].to_numpy().view(np.uint64), found["i"].to_numpy().astype(np.int64))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -182,9 +199,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     """keep and, under `names`, the predicted language and its score for every row, from the whole text alone.
 
     A null text, an empty one or one without a letter is NONE with score 0, and so is everything if nothing was
-    learned. Repeated rows give repeated results; an empty table gives an empty result. The model travels with the
-    task; its size is bounded by languages / MIN_RATE.
+    learned. A very long text is read in pieces of its bytes. Repeated rows give repeated results; an empty table
+    gives an empty result. A name that keep has already gets bars in front. The broadcast model has at most
+    2 * MAX_BYTES.
     """
+    names = tuple(free_name(list(keep), n) for n in names)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from arborlake.llm.texts import word_count
+from arborlake.llm.texts import free_name, word_count
 from arborlake.session import broadcast_if_small, checkpoint
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -19,8 +20,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 SHARE = 1.5
 MAX_REPEATS = 2
-BUCKET_ROWS = 4096
-HASH_RANGE = 2**60
+#: Rows that are the same in every column beyond which one stands for all.
+HOT = 4096
 
 
 def _pick(values: tuple[float, ...], index: Column) -> Column:
@@ -60,36 +61,54 @@ def inverse_demand(fraction: Column, start: Column, end: Column) -> Column:
     return 2 * wanted / (start + F.sqrt(F.greatest(start * start + 2 * slope * wanted, F.lit(0.0))))
 
 
+def _whole(docs: DataFrame) -> list[Column]:
+    """128 bits of a row's whole content, so that rows equal in them are the same in every column."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in docs.schema]
+    return [F.xxhash64(*plain), F.xxhash64(F.lit("second"), *plain)]
+
+
 def plan(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     schedules: tuple[tuple[float, float], ...] = SCHEDULES,
     share: float = SHARE,
     max_repeats: int = MAX_REPEATS,
-    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, positions (one for each time it is taken).
 
     A null text has size 0; a null source is a source of its own, last in order. Documents of size 0 are taken with
-    the offset they stand at and count no words. Repeated rows and ties in the shuffled order stand side by side and
-    each row counts. An empty table gives an empty result. A copy of a document is taken if at least half of it lies
-    below the target, so a source misses its target by at most half a document.
+    the offset they stand at and count no words. A very long text is one document like any other. Repeated rows and
+    ties in the shuffled order stand side by side and each row counts. An empty table gives an empty result. A copy of
+    a document is taken if at least half of it lies below the target, so a source misses its target by at most half a
+    document.
+    """
+    return _plan(docs.select("doc_id", "source", "text"), weights, schedules, share, max_repeats).drop("one", "two")
+
+
+def _plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=SHARE, max_repeats=MAX_REPEATS) -> DataFrame:
+    """plan() with the identity (one, two) of each row. Texts are read once.
 
-    Offsets are prefix sums in two levels: hash-range buckets of about bucket_rows rows, so no task holds a whole
-    source, then rows inside a bucket.
+    Offsets are prefix sums in two levels: rows are dealt to ranges of (source, place), each with a number of its own
+    so that a place which very many rows share is split too, and sums of a range's sources give its base.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("place"))
-    targets = source_targets(sizes, weights, share, max_repeats).withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    rows = sizes.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    rows = rows.join(broadcast_if_small(checkpoint(targets.drop("source"))), "source_key")
-    buckets = F.ceil(F.col("n_docs") / F.lit(bucket_rows))
-    rows = rows.withColumn("bucket", F.floor(F.col("place") / F.lit(float(HASH_RANGE)) * buckets))
-    before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
-    sums = sums.select("source_key", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("base"))
-    rows = rows.join(sums, ["source_key", "bucket"])
-    inside = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    one, two = _whole(docs)
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))
+    sizes = docs.select(
+        "doc_id", "source", key.alias("source_key"), word_count(F.col("text")).alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("place"),
+        one.alias("one"), two.alias("two"), F.monotonically_increasing_id().alias("row"),
+    )
+    sizes = checkpoint(sizes)
+    targets = source_targets(sizes, weights, share, max_repeats)
+    targets = checkpoint(targets.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))).drop("source"))
+    order = ["source_key", "place", "doc_id", "size", "one", "two", "row"]
+    rows = checkpoint(sizes.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sums = rows.groupBy("source_key", "part").agg(F.sum("size").alias("part_size"))
+    before = Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as there are ranges and sources
+    sums = sums.select("source_key", "part", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("base"))
+    rows = rows.join(broadcast_if_small(checkpoint(sums)), ["source_key", "part"]).join(broadcast_if_small(targets), "source_key")
+    inside = Window.partitionBy("source_key", "part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("offset", F.col("base") + F.sum("size").over(inside) - F.col("size"))
     start, end = (_pick(tuple(s[i] for s in schedules), F.pmod(F.col("kind"), F.lit(len(schedules)))) for i in (0, 1))
 
@@ -99,17 +118,38 @@ def plan(
     copies = F.filter(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: middle(e) <= F.col("target"))
     fraction = lambda e: F.when(F.col("target") > 0, middle(e) / F.col("target")).otherwise(0.0)
     positions = F.transform(copies, lambda e: inverse_demand(fraction(e), start, end))
-    return rows.select("doc_id", "source", "size", "source_size", "target", positions.alias("positions"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", positions.alias("positions"), "one", "two")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs in training order, each as often as it is taken; the columns of docs are unchanged.
 
-    Rows are matched to their plan by doc_id; rows that repeat a doc_id share the first plan row of that doc_id.
+    A row is matched to its own plan by all its columns. Rows that are the same in all of them are matched one to one;
+    of more than HOT such rows one stands for all, as nothing tells them apart, and is written once for each place.
     """
-    taken = plan(docs, **options).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.first("positions").alias("_positions"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id"))).withColumn("_position", F.explode("_positions"))
-    return rows.repartitionByRange(F.col("_position"), F.col("doc_id")).sortWithinPartitions("_position", "doc_id").select(*docs.columns)
+    planned = checkpoint(_plan(docs, **options))
+    names = [free_name(docs.columns, n) for n in ("one", "two", "shares", "share", "all", "at", "positions", "position")]
+    one, two, shares, share, every, at, positions, position = names
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = _whole(docs)
+    rows = docs.select(*columns, key[0].alias(one), key[1].alias(two))
+    mine = planned.select(F.col("one").alias(one), F.col("two").alias(two), F.col("positions").alias(positions))
+    times = mine.groupBy(one, two).agg(F.count(F.lit(1)).alias("n"))
+    hot = checkpoint(times.where(F.col("n") > HOT).select(one, two, F.ceil(F.col("n") / HOT).cast("int").alias(shares)))
+    crowded = not hot.isEmpty()
+    usual = mine.join(broadcast_if_small(hot), [one, two], "left_anti") if crowded else mine
+    usual = usual.groupBy(one, two).agg(F.array_sort(F.collect_list(positions)).alias(every))
+    # the join leaves equal rows side by side, so numbering them takes neither exchange nor sort
+    number = F.row_number().over(Window.partitionBy(one, two).orderBy(one, two))
+    taken = rows.join(usual, [one, two]).withColumn(at, number).select(*columns, F.explode(F.element_at(every, F.col(at))).alias(position))
+    if crowded:
+        # at most a row for each HOT rows of the corpus, so it is broadcast only if that is few
+        few = rows.join(broadcast_if_small(hot), [one, two]).groupBy(one, two).agg(F.any_value(F.struct(*columns)).alias("row"), F.any_value(shares).alias(shares))
+        few = few.select("row", one, two, F.explode(F.sequence(F.lit(0), F.col(shares) - 1)).alias(share))
+        many = mine.withColumn(at, F.monotonically_increasing_id()).join(broadcast_if_small(hot), [one, two]).withColumn(share, F.pmod(F.xxhash64(at), F.col(shares)).cast("int"))
+        crowd = few.join(many.select(one, two, share, positions), [one, two, share]).select("row.*", F.explode(positions).alias(position))
+        taken = taken.unionByName(crowd)
+    return taken.repartitionByRange(F.col(position), F.col("doc_id")).sortWithinPartitions(position, "doc_id").select(*columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

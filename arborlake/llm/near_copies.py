@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlake.llm.components import connected_components
-from arborlake.llm.simhash import _LOWER, RADIUS, SEED, shard_links
-from arborlake.llm.texts import map_texts
+from arborlake.llm.simhash import RADIUS, SEED, _mark, majority, one_of_each, shard_links, shingle_hashes
+from arborlake.llm.texts import keep_marked, map_texts
 from arborlake.session import broadcast_if_small, checkpoint
 
 SHINGLE = 5
@@ -41,17 +41,9 @@ MOST = 1_000_000
 PARITIES = 8
 
 
-def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+def hashes(text: str | None) -> np.ndarray:
     """The hash of each word shingle of a text; fewer words than a shingle are one, no word gives none."""
-    words = text.encode().translate(_LOWER).split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts, stops = np.r_[0, ends[:-shingle]].tolist(), (ends[shingle - 1 :] - 1).tolist()
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, SHINGLE)])
 
 
 def distinct(found: np.ndarray) -> np.ndarray:
@@ -60,14 +52,6 @@ def distinct(found: np.ndarray) -> np.ndarray:
     return found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found
 
 
-def _majority(found: np.ndarray) -> int:
-    """The SimHash of the hashes."""
-    counts = np.zeros(64, np.int64)
-    for low in range(0, len(found), 65_536):
-        counts += np.unpackbits(found[low : low + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(found), bitorder="little").tobytes(), "little")
-
-
 def _parities(grams: np.ndarray) -> np.ndarray:
     """For each of 64 * PARITIES classes of hashes, whether the set has an odd number of them.
 
@@ -121,7 +105,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, fp, size, odd0.., prefix): digest, size and parities of a text's set, its fingerprint and its first shingles."""
+    """(doc_id, mark, key, fp, size, odd0.., prefix): a hash of the text, then digest, size and parities of a text's set, its fingerprint and its first shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs))
     p, q = FOUR_FIFTHS
 
@@ -137,7 +121,7 @@ def prints(docs: DataFrame) -> DataFrame:
 
         def step(texts: list[str | None]) -> list[pa.Array]:
             every = [hashes(t) for t in texts]
-            found, fps = [distinct(e) for e in every], np.array([_majority(e) for e in every], np.uint64).view(np.int64)
+            found, fps = [distinct(e) for e in every], np.array([majority([e]) for e in every], np.uint64).view(np.int64)
             odd = np.array([_parities(g) for g in found], np.int64).reshape(-1, PARITIES)
             ints = [[_key(g) for g in found], fps, [len(g) for g in found], *(np.ascontiguousarray(odd[:, i]) for i in range(PARITIES))]
             return [*(pa.array(x, pa.int64()) for x in ints), _lists([first(g) for g in found])]
@@ -145,7 +129,7 @@ def prints(docs: DataFrame) -> DataFrame:
         return step
 
     fields = [T.StructField(n, T.LongType()) for n in ("key", "fp", "size", *_ODD)] + [T.StructField("prefix", _LONGS)]
-    return map_texts(docs, ["doc_id"], fields, start)
+    return map_texts(docs.select("doc_id", "text", _mark().alias("mark")), ["doc_id", "mark"], fields, start)
 
 
 def _by_gram(rows: DataFrame, solve, schema: str) -> DataFrame:
@@ -234,9 +218,9 @@ def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id) for every row with a doc_id; keep_id is the smallest doc_id reachable by links.
+    """(doc_id, mark, group) for every row with a doc_id; rows of one group are linked. mark is a hash of the row's text.
 
-    Texts without a word are copies of each other. Rows that repeat a doc_id with different texts link those texts.
+    Texts without a word are copies of each other. A doc_id with several texts has each in the group of that text.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     rows = checkpoint(prints(docs))
@@ -251,17 +235,15 @@ def components(docs: DataFrame) -> DataFrame:
     parts = connected_components(links).withColumnRenamed("node", "key")
     grouped = shared.drop("first").join(parts.repartition("component", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     more = confirmed(docs, points, _by_gram(grouped, _across, "a long, b long"))
-    again = rows.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("doc_id", "a")
-    repeats = rows.join(again, "doc_id").select("a", F.col("key").alias("b")).where("a <> b")
-    parts = checkpoint(connected_components(links.unionByName(more).unionByName(repeats))).withColumnRenamed("node", "key")
-    named = points.join(parts, "key", "left").select("key", "id", F.coalesce("component", "key").alias("component"))
-    least = named.groupBy("component").agg(F.min("id").alias("keep_id"))
-    named = named.join(least.repartition("keep_id", "component"), "component").select("key", "keep_id")
-    return rows.select("doc_id", "key").join(named.repartition("keep_id", "key"), "key").select("doc_id", "keep_id")
+    parts = checkpoint(connected_components(links.unionByName(more))).withColumnRenamed("node", "key")
+    named = points.select("key").join(parts, "key", "left").select("key", F.coalesce("component", "key").alias("group"))
+    return rows.select("doc_id", "mark", "key").join(named.repartition("group", "key"), "key").select("doc_id", "mark", "group")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One document for each group of near copies, the one with the smallest doc_id; columns are unchanged."""
-    dropped = components(docs).where("doc_id <> keep_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    dropped = broadcast_if_small(checkpoint(dropped), MOST)
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped_id"), "left_anti")
+    """One row of docs for each group of near copies, one with its smallest doc_id; columns are unchanged.
+
+    Rows are told apart by doc_id and text. Of equal rows any one stays. Rows with a null doc_id link nothing and all
+    stay. A very long text is hashed in pieces; memory holds it and its set of hashes.
+    """
+    return keep_marked(docs, one_of_each(components(docs)), _mark(), MOST)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 MARK = "▁"
@@ -55,6 +56,25 @@ def vocabulary(path: str) -> Vocabulary:
 _WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
+def pieces_of(text: str | None, size: int = 1_000_000) -> Iterator[list[str]]:
+    """marked_words of a text in lists that cover about size characters each, so a long text is never a list of all its words.
+
+    A piece ends in front of a space that follows another character, where a word begins; a word without spaces that
+    is longer than size stays in one piece.
+    """
+    text, low = text or "", 0
+    while low < len(text):
+        high = low + size
+        while high < len(text):
+            high = text.find(" ", high)
+            if high < 0 or text[high - 1] not in (" ", MARK):
+                break
+            high += 1
+        high = len(text) if high < 0 else min(high, len(text))
+        yield _WORDS.findall((MARK if low == 0 else "") + text[low:high].replace(" ", MARK))
+        low = high
+
+
 def marked_words(text: str | None) -> list[str]:
     """The text with a mark in front and for each space, cut before marks and around newlines; empty or null: none."""
     return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []

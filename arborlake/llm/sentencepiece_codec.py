@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlake.llm.pieces import MARK, Vocabulary, default_model, marked_words, vocabulary
-from arborlake.llm.texts import map_texts
+from arborlake.llm.pieces import Vocabulary, default_model, pieces_of, vocabulary
+from arborlake.llm.texts import free_name, map_texts
 
 OFFSET = 2.7
 #: Score of each byte of a character outside the vocabulary.
 BYTE_SCORE = -25.0
 #: Words whose ids are remembered between slices of one task.
 REMEMBERED = 400_000
+#: Words whose distinct ones are sorted together.
+BATCH_WORDS = 1_000_000
 _NO_PIECE = object()
 
 
@@ -101,15 +103,26 @@ class Encoder:
             known[word], last = array("i", found).tobytes(), word
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as 32-bit numbers."""
-        words = [marked_words(text) for text in texts]
-        used = set(chain.from_iterable(words))
+        """The ids of each text, as 32-bit numbers. Long texts are encoded piece by piece, short ones together."""
+        out, held, size = [[] for _ in texts], [], 0
+        for i, text in enumerate(texts):
+            for words in pieces_of(text):
+                held.append((i, words))
+                size += len(words)
+                if size >= BATCH_WORDS:
+                    self._add(held, out)
+                    held, size = [], 0
+        self._add(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def _add(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        used = set(chain.from_iterable(words for _, words in held))
         new = [w for w in used if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {w: self.known[w] for w in used if w in self.known}
         self.solve(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        for i, words in held:
+            out[i].append(b"".join(map(self.known.__getitem__, words)))
 
 
 def decode_ids(ids: list[int], table: tuple[bytes, ...]) -> str | None:
@@ -124,10 +137,14 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | No
     """keep and the ids of each whole text, in one pass without a shuffle.
 
     A null text has null ids, an empty one none. With `check`, a column of that name says whether decoding the ids
-    gives the text back. Repeated rows give repeated results; an empty table gives an empty result. The model's path
-    must hold the file on every executor.
+    gives exactly the text back, which it does unless the text holds the mark itself, for marks decode to spaces; it
+    is true for a null text. A very long text is encoded in pieces, and memory holds it and its ids. Repeated rows
+    give repeated results; an empty table gives an empty result. A name that keep has already gets bars in front. The
+    model's path must hold the file on every executor.
     """
     path = model or default_model()
+    name = free_name(list(keep), name)
+    check = check and free_name([*keep, name], check)
 
     def start():
         encoder = Encoder(path)
@@ -141,7 +158,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | No
             if not check:
                 return [lists]
             table = encoder.vocab.decoded
-            same = [t is None or decode_ids(array("i", x).tolist(), table) == t.replace(MARK, " ") for t, x in zip(texts, found, strict=True)]
+            same = [t is None or decode_ids(array("i", x).tolist(), table) == t for t, x in zip(texts, found, strict=True)]
             return [lists, pa.array(same, pa.bool_())]
 
         return step
@@ -153,9 +170,10 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | No
 def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """rows with the text of their ids in a new column; null for null ids or bytes that are not UTF-8.
 
-    A literal mark in a text comes back as the space it stands for.
+    A literal mark in a text comes back as the space it stands for. A name that rows have already gets bars in front.
     """
     path = model or default_model()
+    name = free_name(rows.columns, name)
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
     at = rows.columns.index(ids)
 
@@ -169,6 +187,6 @@ def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", name: st
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip): every whole text encoded, and whether decoding gives it back."""
+    """(doc_id, n_tokens, ids, round_trip): every whole text encoded, and whether decoding gives exactly it back."""
     rows = encode(docs, check="round_trip")
     return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")

@@ -12,6 +12,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.llm.texts import free_name
+
 SHARDS = 256
 TABLE_SIZE = 65_537
 
@@ -61,13 +63,24 @@ def assign(docs: DataFrame, shards: list[str] | int = SHARDS, size: int = TABLE_
 
 
 def write_shards(docs: DataFrame, path: str, shards: list[str] | int = SHARDS, size: int = TABLE_SIZE, pieces: int = 8, key: str = "doc_id") -> None:
-    """Write docs as one folder per shard, each in up to `pieces` files that hold whole rows."""
+    """Write docs as one folder per shard, each in up to `pieces` files that hold whole rows, all columns as they are.
+
+    The folders are named shard=N, with bars in front of the name if docs has such a column. A hot key's rows, which
+    all belong to one shard, are dealt to its files by their whole content.
+    """
+    label = free_name(docs.columns, "shard")
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else shards
     owners = F.split(F.lit(",".join(map(str, fill_table(names, size)))), ",")
     shard = F.element_at(owners, (slot_of(F.col(key), size) + 1).cast("int")).cast("long")
-    rows = docs.withColumn("shard", shard)
-    piece = F.pmod(F.xxhash64(F.col(key)), F.lit(pieces))
-    rows.repartition(F.col("shard"), piece).write.mode("overwrite").partitionBy("shard").parquet(path)
+    piece = F.pmod(F.xxhash64(*[_plain(docs, c) for c in docs.columns]), F.lit(pieces))
+    rows = docs.withColumn(label, shard)
+    rows.repartition(F.col(label), piece).write.mode("overwrite").partitionBy(label).parquet(path)
+
+
+def _plain(docs: DataFrame, name: str) -> Column:
+    # maps have no hash
+    c = F.col(f"`{name}`")
+    return c if docs.schema[name].dataType.typeName() in ("string", "long", "integer", "double", "boolean") else F.to_json(F.struct(c))
 
 
 def oracle_sql(shards: int = SHARDS, size: int = TABLE_SIZE) -> str:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arborlake.session import broadcast_if_small
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -17,11 +19,38 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with bars in front if one of the columns has it; names differ if they do so beyond case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def keep_marked(docs: DataFrame, verdicts: DataFrame, mark: Column, most: int = 200_000) -> DataFrame:
+    """docs without the rows that verdicts (id, mark, kept) tell to drop, and with one of each that they tell to keep.
+
+    Rows are matched by doc_id and `mark`, an expression over docs. Rows that no verdict names stay as they are; where
+    kept is true and several rows match, any one of them stays. Columns are unchanged. verdicts must be written out.
+    """
+    name = free_name(docs.columns, "mark")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*columns, mark.alias(name))
+    is_in = lambda some: rows["doc_id"].eqNullSafe(some["id"]) & (rows[name] == some["mark"])
+    out = rows.join(broadcast_if_small(verdicts, most), is_in(verdicts), "left_anti").select(*columns)
+    repeated = verdicts.where("kept")
+    if repeated.isEmpty():
+        return out
+    # a partial aggregate runs before the exchange, so rows repeated very often do not meet in one task
+    some = rows.join(broadcast_if_small(repeated, most), is_in(repeated), "left_semi").groupBy("doc_id", name)
+    return out.unionByName(some.agg(F.any_value(F.struct(*columns)).alias("row")).select("row.*"))
+
+
 def map_texts(
     docs: DataFrame,
     keep: list[str],
@@ -31,8 +60,9 @@ def map_texts(
 ) -> DataFrame:
     """Rows of keep plus what start()(texts) returns for them.
 
-    Each task calls start() once. Texts come in slices of about slice_chars characters, one text at least, so
-    memory is bounded by that or by the longest text. Columns of docs other than keep and text are not read.
+    Each task calls start() once. Texts come in slices of about slice_chars characters, one text at least; a longer
+    text comes whole, and each operator works through it in pieces, so memory holds the text itself and one piece.
+    Columns of docs other than keep and text are not read.
     """
     schema = T.StructType([docs.schema[name] for name in keep] + fields)
 

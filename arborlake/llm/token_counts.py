@@ -1,13 +1,17 @@
 """Token counts by rank-synchronous merging of ragged arrays.
 
-Distinct marked words of a slice of texts are laid end to end in one symbol array. In each round every word finds
-its own lowest-rank adjacent pair and all words merge theirs at once; words without a pair leave. What survives is
-counted, a character outside the vocabulary with one token for each of its bytes.
+Distinct marked words of a piece of text are cut where no vocabulary piece joins two characters, which no merge can
+cross, and the parts are laid end to end in one symbol array. In each round every part finds its own lowest rank and
+merges all its pairs of that rank at once; parts without a pair leave. What survives is counted, a character outside
+the vocabulary with one token for each of its bytes.
+
+Merging all pairs of the lowest rank at once gives what merging them one by one from the left gives, unless a merge
+makes a new pair of no higher rank, which would come next; then the part's pairs behind that merge wait for the next
+round. Words of any length go the same way; a part's rounds are at most the distinct ranks in it.
 """
 
 from __future__ import annotations
 
-import heapq
 from itertools import chain
 
 import numpy as np
@@ -16,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arborlake.llm.pieces import default_model, marked_words, vocabulary
+from arborlake.llm.pieces import default_model, pieces_of, vocabulary
 from arborlake.llm.texts import map_texts
 
 LIMIT = 4096
-NEVER = np.int64(2**62)
-#: Words with more symbols than this are merged one by one with a queue instead of by rounds.
-LONG_WORD = 200
+NEVER = np.int64(2**31)
+#: Symbols that are merged together, one word at least.
+BATCH = 2_000_000
 #: Words whose count is remembered between slices of one task.
 REMEMBERED = 500_000
 
@@ -44,108 +48,125 @@ class Merger:
         self.keys = np.array([p[0] for p in pairs], np.int64)
         self.ranks = np.array([p[1] for p in pairs], np.int64)
         self.made = np.array([p[2] for p in pairs], np.int64)
+        # pairs of characters that stand side by side in some piece; all others are borders
+        inside = {self.symbols.get(x, -1) * len(self.symbols) + self.symbols.get(y, -1) for piece in self.symbols for x, y in zip(piece, piece[1:], strict=False)}
+        self.inside = np.array(sorted(inside), np.int64)
         self.known: dict[str, int] = {}
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index in the pair table and rank of each pair; rank NEVER if it is none."""
         key = left * len(self.symbols) + right
-        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        hit = (self.keys[at] == key) & (left >= 0) & (right >= 0) if len(self.keys) else np.zeros(len(key), bool)
-        return at, np.where(hit, self.ranks[at] if len(self.keys) else 0, NEVER >> 32)
+        if not len(self.keys):
+            return np.zeros(len(key), np.int64), np.full(len(key), NEVER)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NEVER)
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether some piece has these two characters side by side."""
+        if not len(self.inside):
+            return np.zeros(len(left), bool)
+        key = left * len(self.symbols) + right
+        at = np.minimum(np.searchsorted(self.inside, key), len(self.inside) - 1)
+        return (self.inside[at] == key) & (left >= 0) & (right >= 0)
 
     def merge(self, words: list[str]) -> np.ndarray:
         """Token count of each word."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        characters = np.fromiter((self.symbols.get(c, -1) for c in chain.from_iterable(words)), np.int64, int(lengths.sum()))
+        ids = np.fromiter((self.symbols.get(c, -1) for c in chain.from_iterable(words)), np.int64, int(lengths.sum()))
         word = np.repeat(np.arange(len(words)), lengths)
+        counts = lengths.copy()
         # a character outside the vocabulary counts its bytes, and no pair has it
-        extra = np.zeros(len(words), np.int64)
-        if (characters < 0).any():
-            odd = np.flatnonzero(characters < 0)
-            joined = "".join(words)
-            np.add.at(extra, word[odd], np.fromiter((len(joined[i].encode()) - 1 for i in odd.tolist()), np.int64, len(odd)))
-        counts = extra + lengths
-        ids = characters
-        rank = np.full(len(ids), NEVER >> 32, np.int64)
-        if len(ids) > 1:
-            rank[:-1] = np.where(word[:-1] == word[1:], self.find(ids[:-1], ids[1:])[1], NEVER >> 32)
+        if (ids < 0).any():
+            odd, text = np.flatnonzero(ids < 0), "".join(words)
+            np.add.at(counts, word[odd], np.fromiter((len(text[i].encode()) - 1 for i in odd.tolist()), np.int64, len(odd)))
+        if len(ids) < 2:
+            return counts
+        border = np.r_[True, (word[1:] != word[:-1]) | ~self.joined(ids[:-1], ids[1:])]
+        part = np.cumsum(border) - 1
+        # parts of one symbol are done
+        several = np.repeat(np.diff(np.r_[np.flatnonzero(border), len(ids)]) > 1, np.diff(np.r_[np.flatnonzero(border), len(ids)]))
+        ids, word, part = ids[several], word[several], part[several]
+        rank = np.full(len(ids), NEVER)
+        if len(ids):
+            rank[:-1] = np.where(part[:-1] == part[1:], self.find(ids[:-1], ids[1:])[1], NEVER)
         while len(ids):
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            best = np.minimum.reduceat((rank << 32) | np.arange(len(ids)), first)
-            going = best < NEVER
-            if not going.all():
-                # words without a pair are done
-                keep = np.repeat(going, np.diff(np.r_[first, len(ids)]))
-                moved = np.cumsum(keep) - 1
-                at = moved[best[going] & 0xFFFFFFFF]
-                ids, word, rank = ids[keep], word[keep], rank[keep]
-            else:
-                at = best & 0xFFFFFFFF
-            if not len(ids):
-                break
-            counts[word[at]] -= 1
-            pair, _ = self.find(ids[at], ids[at + 1])
-            ids[at] = self.made[pair]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            size = np.diff(np.r_[first, len(ids)])
+            low = np.minimum.reduceat(rank, first)
+            if not (low < NEVER).all():
+                # parts without a pair are done
+                keep = np.repeat(low < NEVER, size)
+                ids, word, part, rank = ids[keep], word[keep], part[keep], rank[keep]
+                size, low = size[low < NEVER], low[low < NEVER]
+                if not len(ids):
+                    break
+            low = np.repeat(low, size)
+            at = np.flatnonzero(rank == low)
+            # of pairs that overlap, every other one from the left
+            start = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
+            at = at[(at - np.repeat(at[start], np.diff(np.r_[start, len(at)]))) % 2 == 0]
+            made = self.made[self.find(ids[at], ids[at + 1])[0]]
+            # the symbols beside each new one: on the left after this round's merges, on the right before them
+            after_merge = np.r_[False, at[1:] == at[:-1] + 2]
+            has_left, has_right = np.r_[part[at] == part[at - 1]] & (at > 0), np.zeros(len(at), bool)
+            inner = at + 2 < len(ids)
+            has_right[inner] = part[at[inner] + 2] == part[at[inner]]
+            left = np.where(after_merge, np.r_[0, made[:-1]], ids[at - 1])
+            left_rank = np.where(has_left, self.find(left, made)[1], NEVER)
+            right_rank = np.where(has_right, self.find(made, ids[np.minimum(at + 2, len(ids) - 1)])[1], NEVER)
+            early = np.minimum(left_rank, right_rank) <= low[at]
+            if early.any():
+                # behind the first of them, the part's pairs wait
+                ahead = np.cumsum(early) - early
+                begin = np.flatnonzero(np.r_[True, part[at][1:] != part[at][:-1]])
+                ahead -= np.repeat(ahead[begin], np.diff(np.r_[begin, len(at)]))
+                go = ahead == 0
+                at, made, left_rank, right_rank, after_merge, has_left = (x[go] for x in (at, made, left_rank, right_rank, after_merge, has_left))
+            np.subtract.at(counts, word[at], 1)
+            ids[at], rank[at] = made, right_rank
+            rank[at[has_left] - np.where(after_merge, 2, 1)[has_left]] = left_rank[has_left]
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
-            moved = np.cumsum(keep) - 1
-            ids, word, rank, at = ids[keep], word[keep], rank[keep], moved[at]
-            for left in (at, at[at > 0] - 1):
-                right = np.minimum(left + 1, len(ids) - 1)
-                same = (right > left) & (word[right] == word[left])
-                rank[left] = np.where(same, self.find(ids[left], ids[right])[1], NEVER >> 32)
+            ids, word, part, rank = ids[keep], word[keep], part[keep], rank[keep]
         return counts
 
-    def merge_long(self, word: str) -> int:
-        """The same for one word of any length, with a queue of pairs."""
-        ids = [self.symbols.get(c, -1) for c in word]
-        table = self.table = getattr(self, "table", None) or {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.made.tolist(), strict=True)}
-        after, before, alive, queue = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), [True] * len(ids), []
-
-        def push(left: int) -> None:
-            right = after[left] if left >= 0 else len(ids)
-            if right < len(ids) and ids[left] >= 0 and ids[right] >= 0 and (hit := table.get(ids[left] * len(self.symbols) + ids[right])):
-                heapq.heappush(queue, (hit[0], left, ids[left], ids[right], hit[1]))
-
-        for i in range(len(ids)):
-            push(i)
-        total = sum(1 if i >= 0 else len(c.encode()) for i, c in zip(ids, word, strict=True))
-        while queue:
-            _, left, a, b, made = heapq.heappop(queue)
-            right = after[left]
-            if not alive[left] or right >= len(ids) or ids[left] != a or ids[right] != b:
-                continue
-            ids[left], alive[right], after[left] = made, False, after[right]
-            if after[right] < len(ids):
-                before[after[right]] = left
-            total -= 1
-            push(before[left])
-            push(left)
-        return total
-
     def count(self, texts: list[str | None]) -> list[int]:
-        """Token count of each text."""
-        words = [marked_words(text) for text in texts]
-        new = [w for w in set(chain.from_iterable(words)) if w not in self.known]
-        known = self.known
-        if len(known) + len(new) > REMEMBERED:
-            used = set(chain.from_iterable(words))
-            known = self.known = {w: n for w, n in known.items() if w in used}
-        for w in [w for w in new if len(w) > LONG_WORD]:
-            known[w] = self.merge_long(w)
-        new = sorted((w for w in new if len(w) <= LONG_WORD), key=len)
-        for low in range(0, len(new), 100_000):
-            part = new[low : low + 100_000]
-            known.update(zip(part, self.merge(part).tolist(), strict=True))
-        return [sum(map(known.__getitem__, ws)) for ws in words]
+        """Token count of each text. Long texts are counted piece by piece, short ones together."""
+        totals, held, size = [0] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            for words in pieces_of(text):
+                held.append((i, words))
+                size += sum(map(len, words))
+                if size >= BATCH:
+                    self._add(held, totals)
+                    held, size = [], 0
+        self._add(held, totals)
+        return totals
+
+    def _add(self, held: list[tuple[int, list[str]]], totals: list[int]) -> None:
+        used = set(chain.from_iterable(words for _, words in held))
+        new = sorted((w for w in used if w not in self.known), key=len)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {w: n for w, n in self.known.items() if w in used}
+        low = 0
+        while low < len(new):
+            high, symbols = low, 0
+            while high < len(new) and (high == low or symbols + len(new[high]) <= BATCH):
+                symbols += len(new[high])
+                high += 1
+            self.known.update(zip(new[low:high], self.merge(new[low:high]).tolist(), strict=True))
+            low = high
+        for i, words in held:
+            totals[i] += sum(map(self.known.__getitem__, words))
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row, in one pass without a shuffle.
 
     A null text counts as empty: 0 bytes, 0 tokens. Special strings inside a text are ordinary text. Repeated rows
-    give repeated results, other columns are not read, an empty table gives an empty result. The model's path must
-    hold the file on every executor.
+    give repeated results, other columns are not read, an empty table gives an empty result. A very long text is
+    counted in pieces; memory holds it and the arrays of one piece, or of its longest word if that is longer. The
+    model's path must hold the file on every executor.
     """
     path = model or default_model()
 

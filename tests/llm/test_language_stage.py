@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pytest
 
 from arborlake.llm import language_id
@@ -30,4 +32,4 @@ def test_language_stage_drops_junk_and_unlearned_languages(spark, languages):
     table = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
     got = {x["doc_id"]: x["lang"] for x in corpus_pipeline.identify_language(spark, table, "").collect()}
     assert got == {i: rows[i][1] for i in range(known)}
-    assert language_id.build([], 0, []).evident("abc def") == language_id.NONE
+    assert language_id.build([], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)).evident("abc def") == language_id.NONE
