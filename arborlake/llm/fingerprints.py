@@ -4,16 +4,14 @@ A text is normalised, case-folded and stripped of differences in white space; tw
 fingerprint. Documents that share a bucket are compared byte by byte with its first document, and one that differs
 gets a fingerprint of its own, so equal fingerprints mean equal canonical texts.
 
-The normal form is table-driven, from the Unicode data of the running Python: letters and combining marks are
-composed, compatibility characters and case variants are replaced. Composition covers pairs of a letter and a mark in
-canonical order; Hangul syllables written as single jamo are left as they are.
+The form is NFKC of the full case folding of NFKC, with white space folded and trimmed. Spark has no function for normal
+forms, but its `reflect` function calls static methods of the ICU library that Spark itself brings for collations; it
+runs inside the JVM, row by row, like any other expression. Texts of ASCII and small Latin-1 letters, which lower()
+leaves in that form, take lower() alone.
 """
 
 from __future__ import annotations
 
-import functools
-import unicodedata
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,62 +22,22 @@ SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\
 PLAIN = "^[\\x00-\\x7F\\u00E0-\\u00F6\\u00F8-\\u00FF]*$"
 
 
-def _fold(c: str) -> str:
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c.lower()).casefold())
-
-
-@functools.lru_cache(maxsize=1)
-def tables() -> tuple[tuple[str, str], dict[str, str], dict[str, str]]:
-    """Characters that become one other character (from, to), those that become none or several, and pairs that compose."""
-    one, many, pairs = {}, {}, {}
-    for code in range(0x80, 0x30000):
-        c = chr(code)
-        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4 or unicodedata.category(c) in ("Cn", "Co"):
-            continue
-        low = c.lower()
-        if len(low) == 1 and low == c:
-            split = unicodedata.decomposition(c).split()
-            if len(split) == 2 and not split[0].startswith("<") and unicodedata.normalize("NFC", c) == c:
-                pairs[chr(int(split[0], 16)) + chr(int(split[1], 16))] = c
-        folded = _fold(c)
-        if folded != c and not folded.isspace():
-            (one if len(folded) == 1 else many)[c] = folded
-    depth = {c: 1 for c in pairs.values()}
-    for pair, c in pairs.items():
-        depth[c] = 1 + (pair[0] in depth)
-    return ("".join(one), "".join(one.values())), many, dict(sorted(pairs.items(), key=lambda x: (depth[x[1]], x[0])))
-
-
-def _class(characters: list[str]) -> str:
-    """A regex class of the characters, by ranges."""
-    codes, out, start = sorted(map(ord, characters)), [], None
-    for i, code in enumerate(codes):
-        start = code if start is None else start
-        if i + 1 == len(codes) or codes[i + 1] != code + 1:
-            out.append(f"\\x{{{start:X}}}-\\x{{{code:X}}}")
-            start = None
-    return "[" + "".join(out) + "]"
-
-
-def _replace_all(text: Column, table: dict[str, str]) -> Column:
-    steps = F.from_json(F.lit(_json(table)), "array<struct<a:string,b:string>>")
-    return F.aggregate(steps, text, lambda t, s: F.replace(t, s["a"], s["b"]))
-
+def nfkc(text: Column) -> Column:
+    """Unicode normal form KC."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
 
-def _json(table: dict[str, str]) -> str:
-    import json
 
-    return json.dumps([{"a": a, "b": b} for a, b in table.items()], ensure_ascii=True)
+def case_folded(text: Column) -> Column:
+    """Unicode full case folding."""
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text; null counts as empty."""
-    (ones, to), many, pairs = tables()
-    low = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
-    composed = F.when(low.rlike(_class(sorted({p[1] for p in pairs}))), _replace_all(low, pairs)).otherwise(low)
-    single = F.translate(composed, ones, to)
-    spread = F.when(single.rlike(_class(list(many))), _replace_all(single, many)).otherwise(single)
-    folded = F.when(low.rlike(PLAIN), low).otherwise(spread)
+    """The canonical form of a text; null counts as empty. Spark takes reflect for indeterminate and works it out wherever
+    it stands, so give the form a name in a select of its own before it is used more than once."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    folded = F.when(low.rlike(PLAIN), low).otherwise(nfkc(case_folded(nfkc(text))))
     return F.trim(F.regexp_replace(folded, SPACE, " "))
 
 
@@ -133,32 +91,35 @@ def odd_ones(keyed: DataFrame, members: DataFrame) -> DataFrame:
 
 def buckets(keyed: DataFrame) -> DataFrame:
     """(key, th, bucket) of each row: its digest, and a hash of its text that tells rows of one key apart."""
-    return keyed.select("key", F.xxhash64("text").alias("th"), digest(canonical(F.col("text"))).alias("bucket"))
+    forms = keyed.select("key", F.xxhash64("text").alias("th"), canonical(F.col("text")).alias("form"))
+    return forms.select("key", "th", digest(F.col("form")).alias("bucket"))
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness: 1 if the canonical texts are equal, else 0.
 
-    Null texts are empty. A null doc_id stands before all others. Rows that repeat a doc_id have a result each; to
+    Null texts are empty; a very long text is one value of a column, as any other. A null doc_id stands before all others. Rows that repeat a doc_id have a result each; to
     their predecessor they are one document with the smallest of their texts. Other columns are not read; a table of
     one row is its own next document; an empty table gives an empty result.
     """
     keyed = _keyed(docs)
     bucketed = checkpoint(buckets(keyed))
-    own = bucketed.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("th", "bucket"))).alias("buckets"))
-    chain = checkpoint(follow(docs).join(own, "key"))
+    # a key of one row carries its digest; rows that share a key, which may be very many, work theirs out again
+    own = bucketed.groupBy("key").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    chain = checkpoint(follow(docs).join(own, "key", "left"))
     members = checkpoint(duplicates(bucketed))
-    mine = F.element_at("buckets", F.xxhash64("text"))
+    form, known = F.when(F.col("bucket").isNull(), canonical(F.col("text"))).alias("form"), F.coalesce("bucket", digest(F.col("form")))
     # one exchange of texts by key serves the byte comparison, the heads and the rows themselves
     odd = odd_ones(keyed, members)
-    heads = keyed.join(chain.select("key", "before", "need", "buckets"), "key")
-    heads = heads.select(F.col("before").alias("key"), F.col("key").alias("next"), F.expr("left(text, need)").alias("head"), F.xxhash64("text").alias("next_th"), mine.alias("next_bucket"))
+    heads = keyed.join(chain.select("key", "before", "need", "bucket"), "key")
+    heads = heads.select(F.col("before").alias("key"), F.col("key").alias("next"), F.expr("left(text, need)").alias("head"), F.xxhash64("text").alias("next_th"), "bucket", form)
+    heads = heads.select("key", "next", "head", "next_th", known.alias("next_bucket"))
     if not chain.where("times > 1").isEmpty():
         heads = heads.groupBy("key", "next").agg(F.min(F.struct("head", "next_th", "next_bucket")).alias("x")).select("key", "next", "x.*")
-    rows = keyed.join(heads.join(chain.select("key", "buckets"), "key"), "key")
+    rows = keyed.join(heads.join(chain.select("key", "bucket"), "key"), "key")
     rows = rows.withColumn("n", F.char_length("text")).withColumn("edited", F.concat(F.expr("left(text, n - floor(n / 2))"), F.expr("left(head, cast(floor(n / 2) as int))")))
-    rows = rows.select("key", F.xxhash64("text").alias("th"), mine.alias("bucket"), "next", "next_th", "next_bucket", "n", "text", "edited", canonical(F.col("edited")).alias("edited_form"))
-    rows = rows.withColumn("edited_bucket", digest(F.col("edited_form")))
+    rows = rows.select("key", F.xxhash64("text").alias("th"), "bucket", form, "next", "next_th", "next_bucket", "n", "text", "edited", canonical(F.col("edited")).alias("edited_form"))
+    rows = rows.withColumns({"bucket": known, "edited_bucket": digest(F.col("edited_form"))})
     same = F.when(F.col("edited_bucket") == F.col("bucket"), F.col("edited_form") == canonical(F.col("text"))).otherwise(False)
     rows = rows.select("key", "th", "bucket", "next", "next_th", "next_bucket", "n", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "edited_bucket", same.alias("same"))
     rows = rows.join(odd, ["key", "th", "bucket"], "left")

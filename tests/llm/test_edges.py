@@ -219,3 +219,34 @@ def test_long_texts_through_every_operator(spark):
     for run in (substring_dedup.query, language_id.query, mixing.query, simhash.components, sentencepiece_codec.query, fingerprints.query, exact_dedup.groups, token_counts.count_tokens, license_scan.scan, sharding.assign):
         assert run(table).count() == 3
     assert len(registry.queries()) == 10
+
+
+def test_canonical_forms_are_unicode_normal_forms(spark):
+    """Random texts of many scripts against the Unicode data of Python, with marks out of order, jamo and half-width kana."""
+    import re
+    import unicodedata
+
+    from arborlake.llm import fingerprints
+
+    r = random.Random(9)
+    blocks = [(0x20, 0x7E), (0xA0, 0x24F), (0x370, 0x3FF), (0x400, 0x4FF), (0x590, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x1100, 0x11FF), (0x1E00, 0x1FFF), (0x3040, 0x30FF), (0xAC00, 0xB000), (0xFB00, 0xFDFF), (0xFF00, 0xFFEF), (0x1D400, 0x1D7FF)]
+    texts = ["e\u0302\u0323", "q\u0307\u0323", "\uff76\uff9e", "\u1112\u1161\u11ab", "ẞ ß SS", "K Å µ", "İ I ı", "Σ σ ς", "ﬁ ﬀ Ⅷ ½ ²"]
+    for _ in range(6000):
+        some = [*r.sample(blocks, 2), (0x300, 0x345)]
+        text = "".join(chr(r.randint(*r.choice(some))) for _ in range(r.randint(1, 14)))
+        texts.append("".join(c for c in text if unicodedata.category(c) not in ("Cn", "Cs", "Co")))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", fingerprints.canonical(F.col("text")).alias("form"))
+    got = {x["doc_id"]: x["form"] for x in rows.collect()}
+    for i, text in enumerate(texts):
+        folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+        assert got[i] == re.sub(r"\s+", " ", folded).strip(), ascii(text)
+
+
+def test_fingerprints_of_rows_without_ids(spark):
+    from arborlake.llm import fingerprints
+
+    texts = ["a b", "A  b", "c", "", None, "ﬁne", "FINE", "x" * 30]
+    table = spark.createDataFrame([(None, t) for t in texts] + [(4, "c"), (4, "D"), (9, "d")], "doc_id long, text string")
+    got = fingerprints.query(table).collect()
+    assert len(got) == 11 and len({x["fingerprint"] for x in got if x["n_chars"] in (3, 4) and x["doc_id"] is None}) == 2
+    assert {x["doc_id"]: x["near_next"] for x in got if x["doc_id"] == 9} == {9: 0.0}
