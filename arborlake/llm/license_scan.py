@@ -1,17 +1,17 @@
 """License scans by ordered signature rules.
 
-Rules are regexes over the words of a text, several for each license and form of mention, each with a keyword that
-must occur before the regex is tried and with a priority. A detection that lies inside a longer one, or on the same
+Rules are hand-written regexes over the words of a text (`license_rules`), in groups by a keyword that a text must hold
+before its group is tried. A group is one alternation, so a text is read once for each keyword it holds; at one place
+the first rule of the group that matches is the detection. A detection that lies inside a longer one, or on the same
 words as one of higher priority, is suppressed. Plain phrases give base labels, which always stay.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborlake.llm.license_rules import GATES, GROUPS
 from arborlake.llm.texts import ascii_lower
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -22,100 +22,21 @@ WORD_ANY_CASE = r"[0-9A-Za-z\x80-\x{10FFFF}]++"
 #: Phrases and their base labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Label, keyword, and the words of the name as a regex; (?:...) forms are part of the name.
-LICENSES = (
-    ("apache-1.1", "apache", "apache(?: software)? license(?: version)?(?: v)? 1 1"),
-    ("apache-2.0", "apache", "apache(?: software)? license(?: version)?(?: v)? 2(?: 0)?"),
-    ("mit", "mit", "mit license"),
-    ("mit-0", "attribution", "mit no attribution(?: license)?"),
-    ("x11", "x11", "x11 license"),
-    ("gpl-1.0", "public license", "gnu general public license(?: gpl)?(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2.0", "public license", "gnu general public license(?: gpl)?(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "public license", "gnu general public license(?: gpl)?(?: version| v)? ?3(?: 0)?"),
-    ("lgpl-2.0", "public license", "gnu (?:lesser|library) general public license(?: version| v)? ?2(?: 0)?"),
-    ("lgpl-2.1", "public license", "gnu lesser general public license(?: version| v)? ?2 1"),
-    ("lgpl-3.0", "public license", "gnu lesser general public license(?: version| v)? ?3(?: 0)?"),
-    ("agpl-3.0", "public license", "gnu affero general public license(?: version| v)? ?3(?: 0)?"),
-    ("gfdl-1.2", "free documentation", "gnu free documentation license(?: version| v)? ?1 2"),
-    ("gfdl-1.3", "free documentation", "gnu free documentation license(?: version| v)? ?1 3"),
-    ("bsd-2-clause", "bsd", "(?:simplified|2 clause|two clause) bsd license|bsd 2 clause(?: license)?"),
-    ("bsd-3-clause", "bsd", "(?:new|modified|revised|3 clause|three clause) bsd license|bsd 3 clause(?: license)?"),
-    ("bsd-4-clause", "bsd", "(?:original|4 clause|four clause) bsd license|bsd 4 clause(?: license)?"),
-    ("isc", "isc", "isc license"),
-    ("zlib", "zlib", "zlib(?: libpng)? license"),
-    ("boost-1.0", "boost", "boost software license(?: version| v)? ?1(?: 0)?"),
-    ("mpl-1.1", "mozilla", "mozilla public license(?: version| v)? ?1 1"),
-    ("mpl-2.0", "mozilla", "mozilla public license(?: version| v)? ?2(?: 0)?"),
-    ("epl-1.0", "eclipse", "eclipse public license(?: version| v)? ?1(?: 0)?"),
-    ("epl-2.0", "eclipse", "eclipse public license(?: version| v)? ?2(?: 0)?"),
-    ("cddl-1.0", "common development", "common development and distribution license(?: version| v)? ?1(?: 0)?"),
-    ("cpl-1.0", "common public", "common public license(?: version| v)? ?1(?: 0)?"),
-    ("eupl-1.2", "european union", "european union public licen[cs]e(?: version| v)? ?1 2"),
-    ("artistic-1.0", "artistic", "artistic license(?: version| v)? ?1(?: 0)?"),
-    ("artistic-2.0", "artistic", "artistic license(?: version| v)? ?2(?: 0)?"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"),
-    ("cc-by-3.0", "cc by", "cc by 3 0"),
-    ("cc-by-4.0", "cc by", "cc by 4 0"),
-    ("cc-by-sa-3.0", "cc by", "cc by sa 3 0"),
-    ("cc-by-sa-4.0", "cc by", "cc by sa 4 0"),
-    ("cc-by-nc-4.0", "cc by", "cc by nc 4 0"),
-    ("cc-by-nd-4.0", "cc by", "cc by nd 4 0"),
-    ("cc-by-nc-sa-4.0", "cc by", "cc by nc sa 4 0"),
-    ("cc-by-nc-nd-4.0", "cc by", "cc by nc nd 4 0"),
-    ("cc-by-4.0", "creative commons", "creative commons attribution 4 0(?: international)?"),
-    ("cc-by-sa-4.0", "creative commons", "creative commons attribution share ?alike 4 0(?: international)?"),
-    ("cc-by-nc-4.0", "creative commons", "creative commons attribution non ?commercial 4 0(?: international)?"),
-    ("ofl-1.1", "open font", "sil open font license(?: version| v)? ?1 1"),
-    ("odbl-1.0", "open database", "open database license(?: version| v)? ?1(?: 0)?"),
-    ("psf-2.0", "python software", "python software foundation license(?: version| v)? ?2?"),
-    ("postgresql", "postgresql", "postgresql license"),
-    ("php-3.01", "php license", "php license(?: version| v)? ?3 01"),
-    ("ruby", "ruby license", "ruby license"),
-    ("ncsa", "illinois", "university of illinois ncsa open source license"),
-    ("public-domain", "public domain", "(?:released into|dedicated to|in) the public domain"),
-)
-
-#: Form, what stands before and after the name, priority, confidence.
-FORMS = (
-    ("tag", "spdx license identifier ", "", 6, 1.0),
-    ("granted", "(?:is |are )?(?:licensed|released|distributed|published|made available|available) under (?:the terms of )?(?:the |a |an )?", "", 5, 0.95),
-    ("terms", "(?:under|subject to) the terms (?:and conditions )?of (?:the |a |an )?", "", 4, 0.9),
-    ("later", "", " or (?:any |at your option any )?later(?: version)?", 3, 0.9),
-    ("see", "(?:see|read|copy of) (?:the |a |an )?", "", 2, 0.85),
-    ("name", "", "", 1, 0.75),
-)
 BASE_CONFIDENCE = 0.7
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, regex, label, priority, confidence) for every license in every form."""
-    out = []
-    for label, keyword, name in LICENSES:
-        for form, before, after, priority, confidence in FORMS:
-            words = label.replace("-", " ").replace(".", " ") if form == "tag" else f"(?:{name})"
-            out.append(("spdx" if form == "tag" else keyword, f"(?<= ){before}{words}{after}(?= )", label, priority, confidence))
-    return out
-
-
-def gate_words() -> list[str]:
-    """Substrings of which a text has at least one if a rule or base phrase matches in it."""
-    words = {"licen", "cc", "spdx"}
-    for _, keyword, name in LICENSES:
-        options = re.sub(r"\(\?:[^()]*\)\??", "", name).split("|")
-        if not all("licen" in o for o in options):
-            words.add(max(keyword.split(" "), key=len))
-    return sorted(words)
+    """(keyword, regex, label, priority, confidence) of every rule in order."""
+    return [(keyword, f"(?<= ){regex}(?= )", label, priority, confidence) for keyword, group in GROUPS for label, priority, confidence, regex in group]
 
 
 def _gate(lowered: Column) -> Column:
+    """Whether a text may hold what some rule or base phrase matches."""
     found = F.lit(False)
-    for word in gate_words():
-        if not word.startswith("cc"):
-            found = found | F.contains(lowered, F.lit(word))
-    # cc is common inside words, so it must stand as one
-    return found | (F.contains(lowered, F.lit("cc")) & lowered.rlike(r"(?<![0-9a-z\x80-\x{10FFFF}])cc(?:0|[\x00-\x2F\x3A-\x60\x7B-\x7F]+by)"))
+    for word, regex in GATES:
+        here = F.contains(lowered, F.lit(word))
+        found = found | (here if regex is None else here & lowered.rlike(regex))
+    return found
 
 
 def _spaced(lowered: Column) -> Column:
@@ -131,13 +52,13 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
     A null text counts as empty and has no words and no labels. score is the highest confidence of what is left after
-    suppression. Rows that repeat a doc_id and its text have the same result each; rows with a null doc_id are scanned
-    like any other. Only doc_id and text are read. An empty table gives an empty result.
+    suppression. A very long text is one value that each regex reads from end to end. Repeated rows have a result
+    each, and rows with a null doc_id are scanned like any other. Only doc_id and text are read, each text once. An
+    empty table gives an empty result.
     """
-    lowered = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("hash"), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), lowered.alias("lowered"))
-    rows = rows.select("doc_id", "hash", "n_words", F.when(_gate(F.col("lowered")), _spaced(F.col("lowered"))).alias("spaced"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), ascii_lower(text).alias("lowered"))
+    rows = rows.select("doc_id", "row", "n_words", F.when(_gate(F.col("lowered")), _spaced(F.col("lowered"))).alias("spaced"))
     counts, firsts, lasts, names = [], [], [], []
     for phrase, label in BASE:
         words = phrase.split(" ")
@@ -148,32 +69,47 @@ def scan(docs: DataFrame) -> DataFrame:
         firsts.append(F.when(count > 0, _words_in(F.substring_index("spaced", needle, 1))))
         lasts.append(F.when(count > 0, F.col("n_words") - _words_in(F.substring_index("spaced", needle, -1)) - len(words)))
         names.append(F.when(count > 0, F.lit(label)))
-    found = F.array_sort(F.array_compact(F.array(*names)))
-    base = rows.select(
-        "doc_id", "hash", "n_words", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), found.alias("base")
-    )
-    kept = detections(rows.where(F.col("spaced").isNotNull()).select("doc_id", "hash", F.replace("spaced", F.lit("  "), F.lit(" ")).alias("words")))
-    kept = kept.groupBy("doc_id", "hash").agg(F.collect_set("label").alias("more"), F.max("confidence").alias("top"))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "more", "top")
-    out = base.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
-    labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
+    base = F.struct(
+        "doc_id", "n_words", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"),
+        F.array_sort(F.array_compact(F.array(*names))).alias("base"),
+    )
+    # one row for each text without a place that some rule matches, else one for each such place
+    found = rows.select("row", base.alias("kept"), F.replace("spaced", F.lit("  "), F.lit(" ")).alias("words"))
+    found = detections(found, ("row",), ("kept",))
+    out = found.groupBy("row").agg(F.any_value("kept", ignoreNulls=True).alias("kept"), F.array_sort(F.collect_set("label")).alias("more"), F.max("confidence").alias("top"))
+    out = out.select("kept.*", "more", "top")
+    labels = F.array_sort(F.array_union("base", "more"))
     score = F.greatest(F.coalesce("top", F.lit(0.0)), F.when(F.size("base") > 0, BASE_CONFIDENCE).otherwise(0.0))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
 
 
-def detections(rows: DataFrame) -> DataFrame:
-    """(doc_id, hash, label, priority, confidence, start, stop) left after suppression, from rows of (doc_id, hash, words).
+def _places(words: Column, number: int) -> Column:
+    """Where rules of a group match: (group, the characters since the last such place, the words matched), then the rest."""
+    keyword, group = GROUPS[number]
+    at = "(?<= )(?=(" + "|".join(f"(?:{regex})" for *_, regex in group) + ")(?= ))"
+    # nothing is consumed, so the text splits where it is matched
+    both = F.arrays_zip(F.split(words, at, -1).alias("gap"), F.regexp_extract_all(words, F.lit(at), F.lit(1)).alias("hit"))
+    made = F.transform(both, lambda x: F.struct(F.lit(number).alias("group"), F.length(x["gap"]).alias("gap"), x["hit"].alias("hit")))
+    return F.when(F.contains(words, F.lit(keyword)), F.filter(made, lambda x: x["hit"].isNotNull()))
+
+
+def detections(rows: DataFrame, keys: tuple[str, ...], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, carried, label, priority, confidence, start, stop) left after suppression, from rows of (keys, carried, words).
 
-    words has one space around each word; start and stop are character offsets into it. Equal rows are scanned once.
+    words has one space around each word; start and stop are character offsets into it. A row without a detection has
+    one row with nulls; one whose detections are partly suppressed keeps carried in each row that is left. keys tell
+    the rows apart.
     """
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("keyword", "pattern", "label", "priority", "confidence"), r, strict=True)]) for r in rules()])
-    tried = rows.withColumn("rule", F.explode(F.filter(table, lambda r: F.contains(F.col("words"), r["keyword"]))))
-    pieces, hits = F.split("words", F.col("rule.pattern"), -1), F.regexp_extract_all("words", F.col("rule.pattern"), F.lit(0))
-    lengths = F.transform(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.length(x["hit"]).alias("size")))
-    spans = tried.where(F.size(hits) > 0).select("doc_id", "hash", "rule", F.posexplode(lengths).alias("i", "x"))
-    one = Window.partitionBy("doc_id", "hash", "rule").orderBy("i")
-    spans = spans.withColumn("stop", F.sum(F.col("x.gap") + F.coalesce("x.size", F.lit(0))).over(one)).where(F.col("x.size") > 0)
-    spans = spans.select("doc_id", "hash", "rule.label", "rule.priority", "rule.confidence", (F.col("stop") - F.col("x.size")).alias("start"), "stop").distinct()
-    sweep = Window.partitionBy("doc_id", "hash").orderBy("start", F.desc("stop"), F.desc("priority"), "label")
+    empty = F.array().cast("array<struct<group:int,gap:int,hit:string>>")
+    places = F.concat(*[F.coalesce(_places(F.col("words"), i), empty) for i in range(len(GROUPS))])
+    found = rows.select(*keys, *carried, F.posexplode_outer(places).alias("i", "x")).repartition(*keys)
+    # the first gap of a group runs up to the space in front of its first hit, the next ones from hit to hit
+    so_far = Window.partitionBy(*keys, "x.group").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("start", F.sum("x.gap").over(so_far)).withColumn("stop", F.col("start") + F.length("x.hit"))
+    table = F.array(*[F.array(*[F.struct(F.lit(f"^(?:{regex})$").alias("regex"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence")) for label, p, c, regex in group]) for _, group in GROUPS])
+    rule = F.element_at(F.filter(F.element_at(table, F.col("x.group") + 1), lambda r: F.rlike(F.col("x.hit"), r["regex"])), 1)
+    found = found.select(*keys, *carried, "start", "stop", F.when(F.col("x").isNotNull(), rule).alias("rule"))
+    sweep = Window.partitionBy(*keys).orderBy("start", F.desc("stop"), F.desc("rule.priority"), "rule.label")
     reach = F.max("stop").over(sweep.rowsBetween(Window.unboundedPreceding, -1))
-    return spans.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("stop") > F.col("reach"))).drop("reach")
+    found = found.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("stop") > F.col("reach")))
+    return found.select(*keys, *carried, "rule.label", "rule.priority", "rule.confidence", "start", "stop")
