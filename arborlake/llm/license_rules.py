@@ -192,8 +192,8 @@ GROUPS: tuple[tuple[str, tuple[tuple[str, int, float, str], ...]], ...] = (
         ("mit", 1, BARE, "mit style licen[cs]e"),
     )),
     ("redistribution and use", (
-        ("bsd-4-clause", 8, SURE, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (?:[^ ]+ ){1,90}?all advertising materials mentioning features or use of this software must display"),
-        ("bsd-3-clause", 8, SURE, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (?:[^ ]+ ){1,120}?(?:neither the names? of|the names? of the authors? may not|names? of (?:its|the) contributors may not)"),
+        ("bsd-4-clause", 8, SURE, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (?:[^ ]+ ){0,90}?all advertising materials mentioning features or use of this software must display"),
+        ("bsd-3-clause", 8, SURE, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met (?:[^ ]+ ){0,120}?(?:neither the names? of|the names? of the authors? may not|names? of (?:its|the) contributors may not)"),
         ("bsd-2-clause", 7, SURE, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
         ("bsd", 6, STATED, "redistribution and use in source and binary forms(?: with or without modification are permitted)?"),
     )),
