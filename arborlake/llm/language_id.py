@@ -113,7 +113,8 @@ class Model:
             return NONE
         keys = np.zeros(0, np.uint64)
         for some in grams(text, piece):
-            keys = np.union1d(keys, some)
+            keys = np.sort(np.concatenate([keys, some]) if len(keys) else some)
+            keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
         bits = np.zeros(len(self.languages))
         for low in range(0, len(keys), piece):
             bits += self.tally(keys[low : low + piece])
@@ -168,8 +169,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, min_rate: floa
             for text in texts:
                 found, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 for some in grams(text or ""):
-                    found, inverse = np.unique(np.concatenate([found, some]), return_inverse=True)
-                    n = np.bincount(inverse, np.concatenate([n, np.ones(len(some), np.int64)])).astype(np.int64)
+                    some = np.sort(some)
+                    first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+                    both, times = np.concatenate([found, some[first]]), np.concatenate([n, np.diff(np.r_[first, len(some)])])
+                    order = np.argsort(both, kind="stable")
+                    both, times = both[order], times[order]
+                    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+                    found, n = both[first], np.add.reduceat(times, first)
                 keys.append(found.astype(np.int64))
                 counts.append(n)
                 sizes.append(len(found))

@@ -199,13 +199,15 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame({"a": key[:0], "b": key[:0]})
 
 
-def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose whole sets are similar. points names a doc_id (id) for each key."""
+def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+    """The pairs (a, b) of keys whose whole sets are similar. points names a row (at) for each key; repeated says whether rows are."""
     pairs = checkpoint(_not_far(points, pairs))
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = points.join(keys, "key", "left_semi").select(F.col("id").alias("_id")).distinct()
-    ids = broadcast_if_small(checkpoint(ids), MOST)
-    sets = checkpoint(_sets(docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")).dropDuplicates(["key"]))
+    wanted = points.join(keys, "key", "left_semi").select(F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark")).distinct()
+    wanted = broadcast_if_small(checkpoint(wanted), MOST)
+    rows = docs.withColumn("mark", _mark())
+    sets = _sets(rows.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi"))
+    sets = checkpoint(sets.dropDuplicates(["key"]) if repeated else sets)
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -224,17 +226,18 @@ def components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     rows = checkpoint(prints(docs))
-    points = checkpoint(rows.groupBy("key").agg(F.min("doc_id").cast("long").alias("id"), *[F.first(x).alias(x) for x in ("fp", "size", *_ODD)]))
+    points = checkpoint(rows.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *[F.first(x).alias(x) for x in ("fp", "size", *_ODD)]))
+    repeated = not rows.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
     postings = rows.select("key", "size", F.explode("prefix").alias("gram"))
     shared = checkpoint(_by_gram(postings, _shared, "key long, size long, gram long, first long"))
     # one key for each fingerprint stands for it in the trees, and is a candidate for the fingerprint's other keys
     leaders = checkpoint(points.groupBy("fp").agg(F.min("key").alias("id")))
     near = shard_links(leaders, RADIUS).unionByName(points.select("key", "fp").join(leaders.repartition("fp", "id"), "fp").select(F.col("key").alias("a"), F.col("id").alias("b")))
     pairs = near.unionByName(shared.select(F.col("first").alias("a"), F.col("key").alias("b"))).where("a <> b")
-    links = confirmed(docs, points, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    links = confirmed(docs, points, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), repeated)
     parts = connected_components(links).withColumnRenamed("node", "key")
     grouped = shared.drop("first").join(parts.repartition("component", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    more = confirmed(docs, points, _by_gram(grouped, _across, "a long, b long"))
+    more = confirmed(docs, points, _by_gram(grouped, _across, "a long, b long"), repeated)
     parts = checkpoint(connected_components(links.unionByName(more))).withColumnRenamed("node", "key")
     named = points.select("key").join(parts, "key", "left").select("key", F.coalesce("component", "key").alias("group"))
     return rows.select("doc_id", "mark", "key").join(named.repartition("group", "key"), "key").select("doc_id", "mark", "group")
