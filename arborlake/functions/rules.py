@@ -27,6 +27,7 @@ def _any(names: Column, wanted: tuple[str, ...]) -> Column:
     return F.arrays_overlap(names, F.array(*map(F.lit, wanted)))
 
 
+# fixed values: the patterns, severities and confidences of the rules below
 def statement_rules(code: Column, kind: Column, context: Column) -> list[tuple[str, str, str, float, Column]]:
     """(rule, fact type, severity, confidence, whether it holds) for a statement in one line, its kind, and what stands before it."""
     has = lambda pattern: code.rlike(pattern)
@@ -100,5 +101,99 @@ def verdict(rows: DataFrame, by: str, text: str, patterns: tuple[tuple[str, str]
 
 
 def fact_catalogue(rows: DataFrame, text: str, patterns: tuple[tuple[str, str], ...], evidence_id: str = "evidence_id") -> DataFrame:
-    """(fact, ids): for each fact, the sorted ids of the evidence that shows it."""
-    return pattern_facts(rows, text, patterns, (evidence_id,)).groupBy("fact").agg(F.array_sort(F.collect_set(evidence_id)).alias("ids"))
+    """(fact, n, first, last): for each fact, how many items of evidence show it, and the least and the largest id of them."""
+    found = pattern_facts(rows, text, patterns, (evidence_id,)).distinct()
+    return found.groupBy("fact").agg(F.count(F.lit(1)).alias("n"), F.min(evidence_id).alias("first"), F.max(evidence_id).alias("last"))
+
+
+#: Risky calls and the weakness each stands for.
+RISKY_APIS = (
+    ("gets", "CWE-242"), ("strcpy", "CWE-120"), ("strncpy", "CWE-120"), ("strcat", "CWE-120"), ("sprintf", "CWE-120"), ("vsprintf", "CWE-120"), ("scanf", "CWE-20"),
+    ("sscanf", "CWE-20"), ("memcpy", "CWE-120"), ("memmove", "CWE-120"), ("malloc", "CWE-789"), ("calloc", "CWE-789"), ("realloc", "CWE-789"), ("free", "CWE-416"),
+    ("system", "CWE-78"), ("popen", "CWE-78"), ("execve", "CWE-78"), ("execl", "CWE-78"), ("execlp", "CWE-78"), ("execvp", "CWE-78"),
+)
+#: Words of a statement that may guard something.
+SAFETY_WORDS = ("if", "assert", "sizeof", "strlen", "strnlen", "bounds", "check", "validate", "limit", "clamp", "return", "goto fail", "errno", "null", "nullptr")
+
+
+def risky_calls(rows: DataFrame, code: str, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keep, api, cwe): each risky call that a statement makes, once."""
+    table = F.create_map(*[F.lit(x) for pair in RISKY_APIS for x in pair])
+    found = rows.select(*keep, F.explode(F.array_distinct(calls(F.col(code)))).alias("api")).withColumn("cwe", F.try_element_at(table, F.col("api")))
+    return found.where("cwe IS NOT NULL")
+
+
+def is_safety(code: Column) -> Column:
+    """Whether a statement holds one of the words that may guard something."""
+    low = F.lower(F.coalesce(code, F.lit("")))
+    return F.exists(F.array(*map(F.lit, SAFETY_WORDS)), lambda w: F.contains(low, w))
+
+
+#: What a source snapshot may show of one upload loop, by name and pattern, in any case.
+AUDIT_FACTS = (
+    ("signed_contentlen", r"\bint\s+contentlen\s*=\s*0\b"),
+    ("unsigned_contentlen", r"\bunsigned\s+contentlen\s*=\s*0\b"),
+    ("signed_l", r"\bint\s+l\s*=\s*0\b"),
+    ("unsigned_l", r"\bunsigned\s+l\s*=\s*0\b"),
+    ("atoi_parse", r"\bcontentlen\s*=\s*atoi\s*\("),
+    ("sscanf_u_parse", r"\bsscanf\s*\([^;]*%u[^;]*contentlen"),
+    ("contentlen_cap", r"\bif\s*\([^\n;]*contentlen[^\n;]*(?:LINESIZE\s*\*|<=|>=|<|>)[^\n;]*\)"),
+    ("unbounded_upload_read", r"while\s*\(\s*\(\s*i\s*=\s*sockgetlinebuf\s*\([^;]*LINESIZE\s*-\s*1[^;]*\)\s*\)\s*>\s*0\s*\)"),
+    ("bounded_upload_read", r"sockgetlinebuf\s*\([^;]*\(\s*contentlen\s*-\s*l\s*\)\s*>\s*LINESIZE\s*-\s*1\s*\?\s*LINESIZE\s*-\s*1\s*:\s*contentlen\s*-\s*l"),
+    ("l_lt_contentlen_loop", r"while\s*\([^;]*\bl\s*<\s*contentlen[^;]*sockgetlinebuf"),
+    ("remaining_adjust", r"if\s*\(\s*i\s*>\s*\(?\s*contentlen\s*-\s*l\s*\)?\s*\)\s*i\s*=\s*\(?\s*contentlen\s*-\s*l\s*\)?"),
+    ("nul_write", r"\bbuf\s*\[\s*i\s*\]\s*=\s*0\b"),
+    ("decodeurl", r"\bdecodeurl\s*\("),
+    ("fprintf", r"\bfprintf\s*\([^;]*writable"),
+    ("buf_allocation", r"\bbuf\s*=\s*myalloc\s*\(\s*LINESIZE\s*\)"),
+    ("linesize_define", r"#\s*define\s+LINESIZE\b"),
+)
+#: What must stand in a snapshot at all, and the facts of the unsafe and of the safe form.
+AUDIT_WORDS = ("contentlen", "sockgetlinebuf", "buf[i]", "decodeurl", "fprintf")
+AUDIT_UNSAFE = ("signed_contentlen", "signed_l", "atoi_parse", "unbounded_upload_read", "remaining_adjust", "nul_write")
+AUDIT_SAFE = ("unsigned_contentlen", "unsigned_l", "contentlen_cap", "l_lt_contentlen_loop", "bounded_upload_read", "nul_write")
+
+
+def source_audit(lines: DataFrame, by: str, text: str) -> DataFrame:
+    """(by, one flag for each fact, present, verdict) of snapshots given as lines: unsafe, safe, ambiguous or not_present."""
+    shown = [F.coalesce(F.bool_or(F.col(text).rlike(f"(?i){pattern}")), F.lit(False)).alias(name) for name, pattern in AUDIT_FACTS]
+    words = [F.coalesce(F.bool_or(F.contains(F.col(text), F.lit(w))), F.lit(False)) for w in AUDIT_WORDS]
+    flags = lines.groupBy(by).agg(*shown, reduce(lambda a, b: a & b, words).alias("present"))
+    every = lambda names: reduce(lambda a, b: a & b, [F.col(n) for n in names])
+    unsafe = F.col("present") & every(AUDIT_UNSAFE) & ~F.col("contentlen_cap")
+    safe = F.col("present") & every(AUDIT_SAFE)
+    return flags.withColumn("verdict", F.when(unsafe, "unsafe").when(safe, "safe").when(F.col("present"), "ambiguous").otherwise("not_present"))
+
+
+#: Unbounded calls and the patterns that show them with their buffer, and the bounded ones.
+UNBOUNDED = (
+    ("unbounded_sprintf", r"\bsprintf\s*\(\s*([A-Za-z_]\w*)(?:\s*\+[^,]*)?\s*,"),
+    ("unbounded_vsprintf", r"\bvsprintf\s*\(\s*([A-Za-z_]\w*)(?:\s*\+[^,]*)?\s*,"),
+    ("unbounded_strcpy", r"\bstrcpy\s*\(\s*([A-Za-z_]\w*)(?:\s*\+[^,]*)?\s*,"),
+    ("unbounded_strcat", r"\bstrcat\s*\(\s*([A-Za-z_]\w*)(?:\s*\+[^,]*)?\s*,"),
+    ("gets", r"\bgets\s*\(\s*([A-Za-z_]\w*)\s*\)"),
+)
+
+
+def unbounded_calls(rows: DataFrame, code: str, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keep, kind, symbol) of each unbounded call in an item that does not begin with a comment."""
+    lead = F.regexp_replace(code, r"^\s+", "")
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(code, F.lit(pattern), 1), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("symbol")))
+
+    found = F.flatten(F.array(*[of(kind, pattern) for kind, pattern in UNBOUNDED]))
+    return rows.where(~(lead.startswith("//") | lead.startswith("/*"))).select(*keep, F.explode(found).alias("x")).select(*keep, "x.*")
+
+
+#: Words of a size-like expression.
+SIZE_LIKE = ("len", "length", "size", "count", "offset", "index", "<<", "*")
+
+
+def size_advances(rows: DataFrame, source: str, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keep, variable, op, expression) of each compound assignment by a size-like expression in a source text."""
+    pattern = r"\b([A-Za-z_]\w*)\s*(\+=|-=)\s*([^;]+);"
+    part = lambda i: F.regexp_extract_all(source, F.lit(pattern), i)
+    found = rows.select(*keep, F.explode(F.arrays_zip(part(1).alias("variable"), part(2).alias("op"), part(3).alias("expression"))).alias("x")).select(*keep, "x.*")
+    found = found.withColumn("expression", F.regexp_replace("expression", r"^\s+|\s+$", ""))
+    return found.where(F.exists(F.array(*map(F.lit, SIZE_LIKE)), lambda w: F.contains(F.lower("expression"), w)))

@@ -68,13 +68,20 @@ def call_names(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit(rf"\b({IDENTIFIER})\s*\("), 1), lambda x: ~x.isin(*NOT_CALLS))
 
 
+#: Kinds of statements and the patterns that show them, in order.
+STATEMENT_KINDS = (
+    ("ReturnStatement", r"^return\b"),
+    ("Condition", r"^if\s*\(|^else\s+if\s*\(|^switch\s*\("),
+    ("Loop", r"^(for|while)\s*\(|^do\b"),
+    ("Assignment", r"(?<![=!<>])=(?!=)"),
+    ("OperatorExpression", r"[+\-*/%&|^]=|\+\+|--"),
+)
+
+
 def statement_kind(c: Column) -> Column:
-    """Kind of a statement by its first word and marks. A comparison also counts as an assignment."""
-    s = F.trim(c)
-    return (
-        F.when(s.rlike(r"^return\b"), "ReturnStatement").when(s.rlike(r"^(if|switch)\b|^else\s+if\b"), "Condition").when(s.rlike(r"^(for|while|do)\b"), "Loop")
-        .when(s.rlike(r"(\+=|-=|\*=|/=|%=|&=|\|=|\^=|=)"), "Assignment").when(s.rlike(r"\+\+|--"), "OperatorExpression").otherwise("Statement")
-    )
+    """Kind of a statement by the first pattern it shows; a comparison is no assignment, a compound assignment is one."""
+    s = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.coalesce(*[F.when(s.rlike(pattern), kind) for kind, pattern in STATEMENT_KINDS], F.lit("Statement"))
 
 
 def literals(c: Column) -> Column:

@@ -97,23 +97,72 @@ def projection_grid(summary: DataFrame, samples: list[int], projects: list[int])
     return grid.select("samples", "projects", (F.col("per_sample") * F.col("samples") + F.col("per_project") * F.col("projects")).alias("seconds"))
 
 
-def ledger(obligations: DataFrame, results: DataFrame) -> DataFrame:
-    """One row for each hypothesis: how many of its required obligations are proven, whether one is refuted for good, and its tier."""
-    joined = obligations.join(results, ["hypothesis_id", "obligation_id"], "left")
-    proven, refuted = F.col("status").eqNullSafe("proven"), F.col("status").eqNullSafe("refuted")
-    out = joined.groupBy("hypothesis_id").agg(
-        F.count_if("required").alias("required"), F.count_if(F.col("required") & proven).alias("proven"), F.bool_or(refuted & F.col("decisive")).alias("refuted"),
-        F.array_sort(F.collect_set(F.when(F.col("required") & ~proven, F.col("obligation_id")))).alias("open"),
+#: Obligations that speak of a missing guard, the family that may be proven at source level, and the tiers.
+GUARD_OBLIGATIONS = ("missing_remaining_bound_guard", "missing_pre_advance_bound_guard", "missing_guard_or_invariant", "missing_domain_guard")
+SOURCE_LEVEL_FAMILY = "parser_scaled_pointer_traversal"
+CONFIRMED_TIERS = ("confirmed_source_level_vulnerability", "confirmed_reachable_vulnerability")
+#: Statuses that withdraw a confirmation, those of them that refute, and the one that is withdrawn.
+REFUTING_STATUSES = ("refuted_by_guard", "refuted_by_caller_constraint", "refuted_by_patch_or_changed_logic", "irrelevant_to_target_function")
+UNSUPPORTED_STATUSES = ("plausible_but_unproven", *REFUTING_STATUSES, "insufficient_evidence")
+CONFIRMED = "confirmed_vulnerability"
+
+
+def judged(obligations: DataFrame, results: DataFrame) -> DataFrame:
+    """obligations (hypothesis_id, obligation_id, name, required, polarity) with result, supports and refutes.
+
+    An obligation that speaks against its hypothesis refutes it when proven; one that speaks for it supports it when
+    proven and refutes it when refuted.
+    """
+    rows = obligations.join(results.select("hypothesis_id", "obligation_id", "result"), ["hypothesis_id", "obligation_id"], "left")
+    against, result = F.coalesce("polarity", F.lit("supports_hypothesis")) == "refutes_hypothesis", F.coalesce("result", F.lit("not_answered"))
+    return rows.withColumns({"supports": ~against & (result == "proven"), "refutes": F.when(against, result == "proven").otherwise(result == "refuted"), "against": against})
+
+
+def ledger(obligations: DataFrame, results: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """One row for each hypothesis (hypothesis_id, family, boundary): required obligations, how many are proven and open, and its tier.
+
+    boundary is the strength of its trust boundary. Refuted is what a required obligation, or one that speaks against
+    it, refutes; complete is what has all required ones proven; of the rest, three proven with a missing guard among
+    them are a strong signal.
+    """
+    rows = judged(obligations, results)
+    proven = F.col("required") & F.col("supports")
+    sums = rows.groupBy("hypothesis_id").agg(
+        F.count_if("required").alias("required"), F.count_if(proven).alias("proven"), F.count_if(F.col("required") & ~proven).alias("open"),
+        F.bool_or(F.col("refutes") & (F.col("required") | F.col("against"))).alias("refuted"), F.bool_or(F.col("supports") & F.col("name").isin(*GUARD_OBLIGATIONS)).alias("guard"),
+    )
+    source_level = (F.col("family") == SOURCE_LEVEL_FAMILY) & (F.col("boundary") == "source_level")
+    complete = F.when(source_level, CONFIRMED_TIERS[0]).otherwise(CONFIRMED_TIERS[1])
+    tier = (
+        F.when(F.col("refuted"), "refuted").when((F.col("required") > 0) & (F.col("proven") == F.col("required")), complete)
+        .when((F.col("proven") >= 3) & F.col("guard"), "high_signal_incomplete").otherwise("incomplete")
     )
-    tier = F.when(F.col("refuted"), "refuted").when((F.col("required") > 0) & (F.col("proven") == F.col("required")), "proven").when(F.col("proven") > 0, "partial").otherwise("unproven")
-    return out.withColumn("tier", tier)
+    return hypotheses.join(sums, "hypothesis_id").select("hypothesis_id", "required", "proven", "open", "refuted", tier.alias("tier"))
 
 
 def downgrade(hypotheses: DataFrame, findings: DataFrame) -> DataFrame:
-    """hypotheses with the state left after counter-review: a fatal finding refutes, a major one weakens what was supported."""
-    worst = findings.groupBy("hypothesis_id").agg(F.max(F.when(F.col("severity") == "fatal", 2).when(F.col("severity") == "major", 1).otherwise(0)).alias("worst"))
-    state = F.when(F.col("worst") == 2, "refuted").when((F.col("worst") == 1) & (F.col("state") == "supported"), "weakened").otherwise(F.col("state"))
-    return hypotheses.join(worst, "hypothesis_id", "left").withColumn("state", state).drop("worst")
+    """hypotheses (hypothesis_id, status, tier) with the state left after counter-review.
+
+    findings are (hypothesis_id, seq, recommended, effect, concrete), applied in order of seq. One that recommends to
+    withdraw applies if the status is a confirmation, or if its effect is to refute or weaken. A hypothesis of a
+    confirmed tier is withdrawn only by concrete counter-evidence, and confirmed otherwise. The findings of one
+    hypothesis are held together.
+    """
+    one = F.struct("seq", F.coalesce("recommended", F.lit("")).alias("recommended"), F.lower(F.coalesce("effect", F.lit(""))).alias("effect"), F.coalesce("concrete", F.lit(False)).alias("concrete"))
+    lists = findings.groupBy("hypothesis_id").agg(F.array_sort(F.collect_list(one)).alias("_found"))
+    rows = hypotheses.join(lists, "hypothesis_id", "left")
+    confirmed_tier = F.coalesce(F.col("tier").isin(*CONFIRMED_TIERS), F.lit(False))
+
+    def step(state, x):
+        wants = x["recommended"].isin(*UNSUPPORTED_STATUSES) & ((state["status"] == CONFIRMED) | F.contains(x["effect"], F.lit("refut")) | F.contains(x["effect"], F.lit("weaken")))
+        kept = confirmed_tier & ~x["concrete"]
+        status = F.when(~wants, state["status"]).when(kept, F.lit(CONFIRMED)).otherwise(x["recommended"])
+        lowered = F.when(x["recommended"].isin(*REFUTING_STATUSES), "refuted").when(confirmed_tier, "high_signal_incomplete").otherwise(state["tier"])
+        return F.struct(status.alias("status"), F.when(~wants | kept, state["tier"]).otherwise(lowered).alias("tier"))
+
+    begin = F.struct(F.coalesce("status", F.lit("")).alias("status"), F.coalesce("tier", F.lit("")).alias("tier"))
+    state = F.coalesce(F.aggregate("_found", begin, step), begin)
+    return rows.withColumn("_state", state).withColumns({"status": F.col("_state.status"), "tier": F.col("_state.tier")}).drop("_state", "_found")
 
 
 def proof_gate(rows: DataFrame, fields: list[str], existing: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ CFG_EDGES = ("FUNCTION_HAS_STATEMENT", "CFG_NEXT", "CONTROLS", "RETURNS")
 SEMANTIC_EDGES = ("HAS_SEMANTIC_FACT", "SEMANTICALLY_RELATED")
 BODY_EDGES = ("FUNCTION_HAS_PARAMETER", "FUNCTION_HAS_LOCAL", "FUNCTION_HAS_STATEMENT", "AST_CHILD", "RETURNS", "CONTROLS", "SEMANTICALLY_RELATED")
 VARIABLE_TYPES = ("LocalVariable", "FunctionParameter", "GlobalVariable", "Field")
-STATEMENT_TYPES = ("Statement", "Assignment", "ReturnStatement", "Condition", "Loop")
+STATEMENT_TYPES = ("Statement", "Assignment", "ReturnStatement", "Condition", "Loop", "OperatorExpression")
 RISK_KEEP_TYPES = ("Function", "FunctionParameter", "LocalVariable", "GlobalVariable", "Field", "Struct/Class", "Statement", "Assignment", "ReturnStatement", "Condition", "Loop", "CallExpression", "SemanticFact")
 GUARD_TERMS = ("bounds", "null", "guard", "check", "sanitizer", "error_return", "return", "size")
 RISK_TERMS = ("pointer", "array", "bounds", "size", "copy", "read", "write", "allocation", "free", "null", "cast", "return", "guard")
@@ -56,10 +56,10 @@ def edge_id(src: Column, kind: Column, dst: Column) -> Column:
 def make_graph(nodes: DataFrame, edges: DataFrame) -> Graph:
     """Distinct nodes by id, distinct edges by (src, dst, type), and no edge with an end outside the nodes.
 
-    Of nodes with one id, the first non-null value of each column in order of column values stays.
+    Of nodes with one id, one whole node stays, the least by its columns in order.
     """
     values = [c for c in nodes.columns if c != "id"]
-    merged = nodes.groupBy("id").agg(*[F.min(c).alias(c) for c in values])
+    merged = nodes.groupBy("id").agg(F.min(F.struct(*values)).alias("_node")).select("id", *[F.col(f"_node.{c}").alias(c) for c in values]) if values else nodes.distinct()
     # by dst, then by src: the distinct rows after that are already together
     ends, rows = merged.select("id"), edges.select("src", "dst", "type")
     kept = rows.join(ends, rows["dst"] == ends["id"], "left_semi")
@@ -179,34 +179,36 @@ def variable_flow(graph: Graph, wanted: DataFrame, depth: int = 3) -> DataFrame:
     return neighborhood(graph.edges, variable_seeds(graph.nodes, wanted), depth, (*DATA_EDGES, "FUNCTION_HAS_STATEMENT", "FILE_HAS_GLOBAL"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 6, types: Iterable[str] | None = None, direction: str = "both") -> DataFrame:
-    """(source, goal, step, node, edge_id) of one shortest path for each pair that is linked in at most `most` steps.
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int | None = None, types: Iterable[str] | None = None, direction: str = "both") -> DataFrame:
+    """(source, goal, step, node, edge_id) of one shortest path for each pair that is linked, in at most `most` steps if that is given.
 
-    Searches from each source carry the parent of a newly reached node, the one of least (parent, edge); the way back
-    from the goals is one join a step.
+    Searches from each source carry the way to each newly reached node, of equal ones the way by the least (node before,
+    edge). A source whose goals are all reached, or that reaches nothing new, searches no further. Each step is written
+    out, and what has been reached is written together every few steps, so long paths do not make long plans.
     """
     ways = adjacency(edges, direction, types)
-    wanted = pairs.select("source", "goal").distinct()
-    reached = wanted.select("source", F.col("source").alias("node")).distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast("string"), "edge_id": F.lit(None).cast("string")})
-    frontier = reached = checkpoint(reached)
-    for step in range(1, most + 1):
-        # a source whose goals are all reached searches no further
-        waiting = checkpoint(wanted.join(reached.select("source", F.col("node").alias("goal")), ["source", "goal"], "left_anti").select("source").distinct())
-        if waiting.isEmpty():
+    wanted = checkpoint(pairs.select("source", "goal").distinct())
+    first = F.array(F.struct(F.lit(0).alias("step"), F.col("source").alias("node"), F.lit(None).cast("string").alias("edge_id")))
+    frontier = reached = checkpoint(wanted.select("source", F.col("source").alias("node")).distinct().withColumn("path", first))
+    found, step = [], 0
+    while True:
+        hits = frontier.withColumnRenamed("node", "goal").join(wanted, ["source", "goal"])
+        found.append(hits.select("source", "goal", "path"))
+        wanted = checkpoint(wanted.join(frontier.select("source", F.col("node").alias("goal")), ["source", "goal"], "left_anti"))
+        step += 1
+        if wanted.isEmpty() or (most is not None and step > most):
             break
-        frontier = frontier.join(broadcast_if_small(waiting), "source", "left_semi")
-        found = ways.join(broadcast_if_small(checkpoint(frontier.select("source", "node"))), "node").select("source", F.col("other").alias("node"), F.struct(F.col("node").alias("parent"), "edge_id").alias("via"))
-        found = found.groupBy("source", "node").agg(F.min("via").alias("via")).join(broadcast_if_small(reached.select("source", "node")), ["source", "node"], "left_anti")
-        frontier = checkpoint(found.select("source", "node", F.lit(step).alias("depth"), "via.parent", "via.edge_id"))
-        reached = reached.unionByName(frontier)
-    at = wanted.withColumn("node", F.col("goal")).join(reached, ["source", "node"]).select("source", "goal", "depth", "node", "parent", "edge_id")
-    parts = [at]
-    for _ in range(most):
-        up = checkpoint(at).where(F.col("parent").isNotNull()).select("source", "goal", F.col("parent").alias("node"))
-        at = up.join(reached, ["source", "node"]).select("source", "goal", "depth", "node", "parent", "edge_id")
-        parts.append(at)
-    path = reduce(DataFrame.unionByName, parts)
-    return path.select("source", "goal", F.col("depth").alias("step"), "node", "edge_id")
+        waiting = frontier.join(broadcast_if_small(wanted.select("source").distinct()), "source", "left_semi")
+        via = F.struct(F.col("node").alias("parent"), "edge_id", "path")
+        new = ways.join(broadcast_if_small(checkpoint(waiting)), "node").select("source", F.col("other").alias("node"), via.alias("via")).groupBy("source", "node").agg(F.min("via").alias("via"))
+        new = new.join(broadcast_if_small(reached.select("source", "node")), ["source", "node"], "left_anti")
+        path = F.concat("via.path", F.array(F.struct(F.lit(step).alias("step"), F.col("node").alias("node"), F.col("via.edge_id").alias("edge_id"))))
+        frontier = checkpoint(new.select("source", "node", path.alias("path")))
+        if frontier.isEmpty():
+            break
+        reached = reached.select("source", "node").unionByName(frontier.select("source", "node"))
+        reached = checkpoint(reached) if step % 8 == 0 else reached
+    return reduce(DataFrame.unionByName, found).select("source", "goal", F.explode("path").alias("x")).select("source", "goal", "x.step", "x.node", "x.edge_id")
 
 
 def slice_scores(graph: Graph, nodes: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
@@ -333,6 +335,7 @@ def overlay(graph: Graph, nodes: DataFrame, limit: int = 160, edge_limit: int =
 
     Priority adds the weights of keywords found in the overlay node; ties by id.
     """
+    # fixed values: keywords and their weights
     weights = (("method", 8), ("function", 8), ("call", 7), ("identifier", 6), ("local", 6), ("control", 5), ("return", 5), ("assignment", 4), ("operator", 4), ("literal", 1))
     text = F.lower(node_text(graph.nodes))
     priority = sum((F.when(F.contains(text, F.lit(t)), w).otherwise(0) for t, w in weights), F.lit(0))

@@ -86,33 +86,55 @@ def list_samples(samples: DataFrame, predictions: DataFrame, role: str) -> DataF
     return out
 
 
-#: Words that show which kind of proof a finding needs, in order of precedence.
+#: Families of proof and the patterns that show them in a hypothesis, in order of precedence.
 PROOF_FAMILIES = (
-    ("bounds", ("overflow", "out of bounds", "index", "bounds", "length")), ("lifetime", ("use after free", "double free", "dangling", "freed")),
-    ("null", ("null", "nil")), ("integer", ("integer", "truncation", "signed", "wrap")), ("injection", ("injection", "format string", "command")),
-    ("resource", ("leak", "exhaustion", "unreleased")),
+    ("parser_scaled_pointer_traversal", r"raw\s*\+=\s*length\s*\*\s*itemsize|length\s*\*\s*itemsize|scaled.*pointer|pointer.*travers|pointer.*advance|parser.*pointer"),
+    ("selector_shift_domain_or_dispatch_bounds", r"1\s*<<\s*length_power|length_power|shift|selector|dispatch|function pointer|choose_int_read|choose_"),
+    ("callee_return_signedness_or_value_range", r"signed|negative|sign[- ]?extend|uint64_t\s+length\s*=\s*read|return value|read\s*\(\s*raw\s*\).*uint64"),
+    ("buffer_extent_or_signed_length", r"raw_length|end\s*=|extent|buffer length"),
+    ("allocation_lifetime", r"malloc|calloc|realloc|free|lifetime|null"),
+    ("path_file_api_misuse", r"path|file|open|stat|sprintf|snprintf|command|system|exec"),
+    ("concurrency_lifecycle", r"race|concurr|thread|lock|mutex|atomic|lifecycle"),
+    ("crypto_algorithmic", r"crypto|nonce|random|key|hash|encrypt|decrypt"),
 )
-
-
-def proof_family(text: Column) -> Column:
-    """The first family that the text speaks of, else `general`."""
+#: The fallback by source, the words a hypothesis must have for it, and the family of the rest.
+SOURCE_FAMILY = (r"raw\s*\+=\s*length\s*\*\s*itemsize", r"overflow|bounds|out-of-bounds|memory", "parser_scaled_pointer_traversal")
+OTHER_FAMILY = "generic_memory_or_bounds"
+#: Marks of risky operations, and the ends of kinds, in the order in which roles are given.
+RISKY_MARKS = ("[", "memcpy", "strcpy", "sprintf", "malloc", "fread", "realloc", "free", "+=", "-=")
+NOISY_DECLARATION = r"^(?:const\s+)?(?:unsigned\s+)?(?:long\s+|short\s+|int\s+|char\s+|size_t\s+|uint\d+_t\s+|bool\s+)[A-Za-z_]\w*\s*;$"
+NOISY_MARKS = ("{", "}", "}else{", "else {", "else{")
+NOISY_KINDS = ("codekg_query_summary", "codekg_functionparameter")
+
+
+def proof_family(text: Column, source: Column | None = None) -> Column:
+    """The first family that a hypothesis speaks of; for one that names none, the parser family if its source shows it."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    rules = [F.when(low.rlike("|".join(words)), F.lit(name)) for name, words in PROOF_FAMILIES]
-    return F.coalesce(*rules, F.lit("general"))
-
-
-def evidence_role(kind: Column, function: Column, target: Column, risky: Column) -> Column:
-    """What an item is to the target: its risky part or context, a caller, a callee, a definition, a fact, or related."""
+    rules = [F.when(low.rlike(pattern), F.lit(name)) for name, pattern in PROOF_FAMILIES]
+    shown, words, name = SOURCE_FAMILY
+    by_source = F.when(F.lower(F.coalesce(source, F.lit(""))).rlike(shown) & low.rlike(words), F.lit(name)) if source is not None else F.lit(None).cast("string")
+    return F.coalesce(*rules, by_source, F.lit(OTHER_FAMILY))
+
+
+def evidence_role(kind: Column, relation: Column, function: Column, target: Column, text: Column) -> Column:
+    """What an item is to the target, by its kind, its relation and its text."""
+    kind, relation, low = (F.coalesce(c, F.lit("")) for c in (kind, relation, F.lower(text)))
+    risky = F.exists(F.array(*map(F.lit, RISKY_MARKS)), lambda m: F.contains(low, m))
+    own = (kind == "target_statement") | (F.coalesce(function, F.lit("")) == target)
+    has = lambda c, word: F.contains(c, F.lit(word))
     return (
-        F.when((function == target) & risky, "target_risky_operation_or_guard").when(kind == "caller_function", "caller_context").when(kind == "callee_function", "callee_context")
-        .when(kind.isin("macro", "type", "global", "constant"), "definition_or_constant").when(kind == "source_fact", "deterministic_source_fact").when(kind == "semantic_fact", "semantic_fact")
-        .when(function == target, "target_context").otherwise("related_function_context")
+        F.when(kind == "deterministic_source_fact", "deterministic_source_fact").when(own & risky, "target_risky_operation_or_guard").when(own, "target_context")
+        .when(has(relation, "caller") | (kind == "caller_function"), "caller_context").when(has(relation, "callee") | (kind == "callee_function"), "callee_context")
+        .when(has(kind, "global") | has(kind, "macro") | has(kind, "constant"), "definition_or_constant").when(has(kind, "semanticfact"), "semantic_fact")
+        .when(has(kind, "function"), "related_function_context").when(has(kind, "assignment") | has(kind, "call") | has(kind, "control"), "statement_context").otherwise("supporting_context")
     )
 
 
-def noisy(text: Column) -> Column:
-    """Whether a statement says nothing by itself: braces, a lone keyword, or a bare declaration end."""
-    return F.trim(text).rlike(r"^(?:[{};\s]*|else|do|break;?|continue;?|return;|default:|case\s+\w+:)$")
+def noisy(text: Column, kind: Column | None = None) -> Column:
+    """Whether an item says nothing by itself: a bare declaration, a brace, or a kind of summary."""
+    compact = F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^\s+|\s+$", ""))
+    said = compact.rlike(NOISY_DECLARATION) | compact.isin(*NOISY_MARKS)
+    return said if kind is None else F.coalesce(kind.isin(*NOISY_KINDS), F.lit(False)) | said
 
 
 def declared_sizes(rows: DataFrame, code: str = "code", by: list[str] | None = None) -> DataFrame:

@@ -22,6 +22,33 @@ def evidence_score(weight: Column, text: Column, terms: list[str], per_term: int
     return weight + hits + F.when(low != "", with_code).otherwise(0)
 
 
+#: Terms and marks that make an item of evidence relevant, and kinds that are noise.
+SECURITY_TERMS = (
+    "memcpy", "memmove", "strcpy", "strncpy", "strcat", "sprintf", "snprintf", "scanf", "gets", "read", "fread", "recv", "send", "write", "fwrite", "malloc", "calloc",
+    "realloc", "free", "new", "delete", "open", "fopen", "exec", "system", "popen", "chown", "chmod", "overflow", "underflow", "bounds", "guard", "check", "length", "size",
+    "count", "offset", "index", "pointer", "null", "buffer", "array", "auth", "permission", "access", "crypto", "hash", "random", "nonce",
+)
+OPERATOR_HINTS = ("[", "]", "->", ".", "+=", "-=", "*=", "<<", ">>", "^", "&", "|", "*", "malloc", "free", "fread", "mem", "str", "sprintf")
+
+
+def prompt_score(kind: Column, relation: Column, function: Column, target: Column, text: Column, has_symbol: Column, whole_function: Column, noise: Column) -> Column:
+    """How much an item of evidence says about the target: -100 for noise, else points for what it is and what its text shows.
+
+    has_symbol says whether it names a symbol of the hypotheses, whole_function whether its function is shown as a whole.
+    """
+    kind, relation, function, text = (F.coalesce(c, F.lit("")) for c in (kind, relation, function, text))
+    any_of = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    points = lambda holds, n: F.when(holds, n).otherwise(0)
+    hint = any_of(text, OPERATOR_HINTS)
+    score = (
+        points(kind == "deterministic_source_fact", 90) + points(function == target, 70) + points(kind == "target_statement", 45)
+        + points(F.contains(relation, F.lit("caller")) | (kind == "caller_function"), 55) + points(F.contains(relation, F.lit("callee")) | (kind == "callee_function"), 45)
+        + points(kind == "codekg_function", 40) + points(any_of(F.lower(text), SECURITY_TERMS), 30) + points(hint, 25) + points(has_symbol, 35)
+        - points((kind == "target_statement") & whole_function & ~hint & ~any_of(text, ("if", "for", "while")), 70)
+    )
+    return F.when(noise, -100).otherwise(score)
+
+
 def curate(rows: DataFrame, by: list[str], least: int = 20, limits: dict[str, int] | None = None, other: int = OTHER_LIMIT, most: int = 36, id_: str = "evidence_id") -> DataFrame:
     """Rows (score, key, role, id) of each group: scores of at least `least`, one row for each key, a quota for each role, `most` in all.
 

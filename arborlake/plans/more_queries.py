@@ -102,17 +102,6 @@ def _(spark, d):
     return inventory.list_samples(samples, predictions, "admin")
 
 
-@_query("evidence_roles", "SELECT event_id, CASE WHEN user_id % 3 = 0 AND value > 50 THEN 'target_risky_operation_or_guard' WHEN event_type = 'click' THEN 'caller_context' WHEN event_type = 'view' THEN 'callee_context' WHEN event_type = 'signup' THEN 'definition_or_constant' WHEN event_type = 'error' THEN 'semantic_fact' WHEN user_id % 3 = 0 THEN 'target_context' ELSE 'related_function_context' END AS role FROM events")
-def _(spark, d):
-    kind = F.when(F.col("event_type") == "click", "caller_function").when(F.col("event_type") == "view", "callee_function").when(F.col("event_type") == "signup", "macro").when(F.col("event_type") == "error", "semantic_fact").otherwise("other")
-    return table(spark, d, "events").select("event_id", inventory.evidence_role(kind, F.col("user_id") % 3, F.lit(0), F.col("value") > 50).alias("role"))
-
-
-@_query("proof_families", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{n}'" for n, w in inventory.PROOF_FAMILIES) + " ELSE 'general' END AS family FROM documents")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", inventory.proof_family(F.col("text")).alias("family"))
-
-
 @_query("secret_mask", """SELECT conv_id, turn, '{"role":"' || role || '","api_token":"***"}' AS masked FROM conversations""")
 def _(spark, d):
     row = F.to_json(F.struct("role", F.md5("text").alias("api_token")))

@@ -41,20 +41,6 @@ def _(spark, d):
     return rules.verdict(_lines(spark, d), "doc_id", "code", tuple((n.lower(), p) for n, p in FACTS), ("number", "mark"))
 
 
-@_query("fact_catalogue", "WITH f AS (" + " UNION ALL ".join(f"SELECT '{n}' AS fact, doc_id FROM documents WHERE regexp_matches(text, '{p}')" for n, p in FACTS) + ") SELECT fact, count(*) AS n, min(doc_id) AS first, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM f GROUP BY fact")
-def _(spark, d):
-    found = rules.fact_catalogue(table(spark, d, "documents"), "text", FACTS, "doc_id")
-    return found.select("fact", F.size("ids").cast("long").alias("n"), F.col("ids")[0].alias("first"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
-
-
-TERMS = (("the", 10), ("und", 11), ("license", 12), ("token", 13), ("les", 14))
-
-
-@_query("risky_term_hits", "WITH t(term, cwe) AS (VALUES " + ", ".join(f"('{a}', {b})" for a, b in TERMS) + "), w AS (SELECT doc_id, unnest(regexp_extract_all(text, '([a-z]+)', 1)) AS term FROM documents) SELECT doc_id, term, CAST(cwe AS INTEGER) AS cwe, count(*) AS n FROM w JOIN t USING (term) GROUP BY doc_id, term, cwe")
-def _(spark, d):
-    return rules.term_hits(table(spark, d, "documents"), "text", spark.createDataFrame(TERMS, "term string, cwe int"), "([a-z]+)", ("doc_id",))
-
-
 @_query("identifier_extract", "WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1), lambda x: NOT regexp_matches(x, '^[A-Z][A-Z0-9_]+$') AND x NOT IN (" + ", ".join(f"'{w}'" for w in text.NOT_CALLS) + ")))) AS ids FROM documents) SELECT doc_id, CAST(len(ids) AS INTEGER) AS n, md5(array_to_string(ids, ' ')) AS digest FROM w")
 def _(spark, d):
     ids = text.identifiers(F.col("text"))
@@ -307,20 +293,6 @@ def _(spark, d):
     return evaluate.projection_grid(one, [5, 10, 50, 100], [5, 50, 100])
 
 
-@_query("proof_ledger", "WITH o AS (SELECT o_custkey % 50 AS hypothesis_id, o_orderkey AS obligation_id, o_orderpriority < '3' AS required, o_totalprice > 400000 AS decisive, o_orderstatus AS s FROM orders), r AS (SELECT * FROM o WHERE s <> 'P'), j AS (SELECT o.*, CASE r.s WHEN 'F' THEN 'proven' WHEN 'O' THEN 'refuted' END AS status FROM o LEFT JOIN r USING (hypothesis_id, obligation_id)), a AS (SELECT hypothesis_id, count(*) FILTER (required) AS required, count(*) FILTER (required AND status = 'proven') AS proven, bool_or(coalesce(status = 'refuted', FALSE) AND decisive) AS refuted, count(*) FILTER (required AND coalesce(status, '') <> 'proven') AS still_open FROM j GROUP BY hypothesis_id) SELECT *, CASE WHEN refuted THEN 'refuted' WHEN required > 0 AND proven = required THEN 'proven' WHEN proven > 0 THEN 'partial' ELSE 'unproven' END AS tier FROM a")
-def _(spark, d):
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("hypothesis_id"), F.col("o_orderkey").alias("obligation_id"), (F.col("o_orderpriority") < "3").alias("required"), (F.col("o_totalprice") > 400000).alias("decisive"), "o_orderstatus")
-    results = o.where("o_orderstatus <> 'P'").select("hypothesis_id", "obligation_id", F.when(F.col("o_orderstatus") == "F", "proven").otherwise("refuted").alias("status"))
-    return evaluate.ledger(o.drop("o_orderstatus"), results).select("hypothesis_id", "required", "proven", "refuted", F.size("open").cast("long").alias("still_open"), "tier")
-
-
-@_query("hypothesis_downgrade", "WITH f AS (SELECT l_partkey AS h, max(CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END) AS w FROM lineitem WHERE l_quantity > 49 GROUP BY ALL) SELECT p_partkey AS hypothesis_id, CASE WHEN w = 2 THEN 'refuted' WHEN w = 1 AND p_size % 2 = 0 THEN 'weakened' WHEN p_size % 2 = 0 THEN 'supported' ELSE 'open' END AS state FROM part LEFT JOIN f ON h = p_partkey")
-def _(spark, d):
-    hypotheses = table(spark, d, "part").select(F.col("p_partkey").alias("hypothesis_id"), F.when(F.col("p_size") % 2 == 0, "supported").otherwise("open").alias("state"))
-    findings = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("hypothesis_id"), F.when(F.col("l_returnflag") == "R", "fatal").when(F.col("l_returnflag") == "A", "major").otherwise("minor").alias("severity"))
-    return evaluate.downgrade(hypotheses, findings)
-
-
 @_query("proof_gate", "WITH c AS (SELECT l_orderkey AS h, count(*) AS n, count(*) FILTER (l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)) AS missing FROM lineitem GROUP BY ALL) SELECT o_orderkey AS hypothesis_id, coalesce(n, 0) > 0 AND coalesce(missing, 0) = 0 AND o_orderstatus <> 'P' AS passes FROM orders LEFT JOIN c ON h = o_orderkey")
 def _(spark, d):
     cited = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("hypothesis_id")).agg(F.collect_list("l_partkey").alias("cited"))

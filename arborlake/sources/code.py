@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions.rules import statement_rules
+from arborlake.functions.text import NOT_CALLS, STATEMENT_KINDS
 from arborlake.operators.graph import Graph, edge_id
 from arborlake.session import checkpoint
 
@@ -25,19 +26,24 @@ EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx")
 SKIP_FOLDERS = (".git", ".hg", ".svn", ".idea", ".vscode", "__pycache__", "node_modules", "build", "dist", "cmake-build-debug", "cmake-build-release", ".venv", "venv")
 SKIP_SUFFIXES = (".min.js", ".map")
 MAX_BYTES = 5_000_000
-BUILTIN_TYPES = frozenset(
-    "void char int float double bool size_t ssize_t FILE uint8_t uint16_t uint32_t uint64_t int8_t int16_t int32_t int64_t uintptr_t intptr_t".split()
-)
-QUALIFIERS = frozenset("const static extern volatile register auto inline restrict signed unsigned long short struct enum union".split())
-NOT_CALLS = frozenset("if for while switch catch else do return sizeof case typedef struct class enum defined".split())
+BUILTIN_TYPES = (
+    "void", "char", "int", "float", "double", "bool", "size_t", "ssize_t", "FILE", "uint8_t", "uint16_t", "uint32_t", "uint64_t", "int8_t", "int16_t", "int32_t", "int64_t",
+    "uintptr_t", "intptr_t",
+)
+QUALIFIERS = ("const", "static", "extern", "volatile", "register", "auto", "inline", "restrict", "signed", "unsigned", "long", "short", "struct", "enum", "union")
 
 ROW = "file string, function string, fn_line int, kind string, name string, type string, line int, line_end int, code string, idx int, ord int, flag string"
 _TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[A-Za-z_]\w*|\d[\w.]*|->|\+\+|--|[-+*/%&|^<>=!]=|<<|>>|&&|\|\||\S", re.S)
+_KINDS = [(kind, re.compile(pattern)) for kind, pattern in STATEMENT_KINDS]
 _DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(include|define)[ \t]*([^\n]*(?:\\\n[^\n]*)*)", re.M)
 
 
 def scan_tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(files, skipped): source files (path, text) under a folder, and (path, reason) of what is passed over. Sizes are read before contents."""
+    """(files, skipped): source files (path, text) under a folder, and (path, reason) of what is passed over.
+
+    Bytes that are not UTF-8 come as replacement characters, and a file of no source suffix is in neither. A file above
+    max_bytes is passed over by its size, before its content is asked for.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
@@ -47,8 +53,9 @@ def scan_tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> tup
         .when(reduce(lambda a, b: a | b, [path.endswith(s) for s in SKIP_SUFFIXES]), "skipped suffix")
         .when(~suffix.isin(*EXTENSIONS), "no source").when(F.col("length") > max_bytes, "too large")
     )
-    rows = files.select(path.alias("path"), reason.alias("reason"), "content")
-    kept = rows.where("reason IS NULL").select("path", F.try_validate_utf8(F.decode("content", "UTF-8")).alias("text")).orderBy(F.lower("path"), "path")
+    small = files.where(F.col("length") <= max_bytes).select(path.alias("path"), reason.alias("reason"), "content")
+    kept = small.where("reason IS NULL").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")).orderBy(F.lower("path"), "path")
+    rows = files.select(path.alias("path"), reason.alias("reason"))
     return kept, rows.where("reason IS NOT NULL AND reason <> 'no source'").select("path", "reason")
 
 
@@ -136,19 +143,9 @@ def _parameters(f: _File, a: int, b: int) -> list[tuple[str, str, str]]:
     return out
 
 
-def _kind(words: list[str]) -> str:
-    first = words[0]
-    if first == "return":
-        return "ReturnStatement"
-    if first in ("if", "switch") or words[:2] == ["else", "if"]:
-        return "Condition"
-    if first in ("for", "while", "do"):
-        return "Loop"
-    if "=" in words:
-        return "Assignment"
-    if any(w in ("++", "--") or len(w) == 2 and w[1] == "=" and w[0] in "+-*/%&|^" for w in words):
-        return "OperatorExpression"
-    return "Statement"
+def kind_of(code: str) -> str:
+    """Kind of a statement by the patterns that statement_kind uses."""
+    return next((kind for kind, pattern in _KINDS if pattern.search(code.strip())), "Statement")
 
 
 def parse(path: str, text: str) -> list[tuple]:
@@ -241,7 +238,7 @@ def _function(f: _File, add, begin: int, brace: int, end: int, name: str) -> Non
     for idx, (a, b) in enumerate(_split(f, brace + 1, end)):
         words = [t for t, _, _ in tokens[a:b]]
         here = {"function": name, "line": f.line(tokens[a][1]), "line_end": f.line(tokens[b - 1][1]), "idx": idx, "fn_line": line}
-        add("Statement", type_=_kind(words), code=f.code(a, b), **here)
+        add("Statement", type_=kind_of(f.code(a, b)), code=f.code(a, b), **here)
         declared = _declarators(f, a, b)
         for i, (n, typ) in enumerate(declared):
             add("LocalVariable", n, type_=typ, code=f.code(a, b), ord_=i, **here)

@@ -14,8 +14,9 @@ def test_bounds_against_declared_sizes(spark):
 
 
 def test_noise(spark):
-    rows = spark.createDataFrame([("{",), ("else",), ("break;",), ("case X:",), ("x = 1;",), ("",)], "t string")
-    assert [r[0] for r in rows.select(inventory.noisy(F.col("t"))).collect()] == [True, True, True, True, False, True]
+    cases = {"{": True, "else  {": True, "int i;": True, "  const unsigned int  n ;": True, "break;": False, "x = 1;": False, "char b[9];": False, "int *p;": False, "": False}
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["n"] for r in rows.select("t", inventory.noisy(F.col("t")).alias("n")).collect()} == cases
 
 
 def test_students_see_no_truth(spark):

@@ -22,7 +22,10 @@ def one(spark, value, f, kind="string"):
         (text.statement_kind, "return x;", "ReturnStatement"),
         (text.statement_kind, "else if (x)", "Condition"),
         (text.statement_kind, "while (1)", "Loop"),
-        (text.statement_kind, "x == y;", "Assignment"),
+        (text.statement_kind, "x == y;", "Statement"),
+        (text.statement_kind, "x <= y;", "Statement"),
+        (text.statement_kind, "x += 1;", "Assignment"),
+        (text.statement_kind, "a->n *= 2;", "Assignment"),
         (text.statement_kind, "i++;", "OperatorExpression"),
         (text.statement_kind, "f(x);", "Statement"),
         (text.gold_statements, "a();\nb(); c()\n\n['d();']", ["a();", "b();", "c()", "d();"]),
