@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,28 @@ def _parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _vector(grams: np.ndarray) -> np.ndarray:
+    """Parities like those above, in classes whose number grows with the set: four a member at least, a power of two."""
+    classes = 1 << max(9, int(4 * len(grams) - 1).bit_length()) if len(grams) else 512
+    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % classes, minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def vector_distance(x: Column, y: Column) -> Column:
+    """In how many classes the parities of two sets differ, as an expression, so that nothing is held in batches.
+
+    A vector twice as long as the other is folded, as half as many classes hold two each; sets whose vectors are farther
+    apart in length are never similar, and get no distance.
+    """
+
+    def folded(v: Column, other: Column) -> Column:
+        half = (F.size(v) / 2).cast("int")
+        return F.when(F.size(v) > F.size(other), F.zip_with(F.slice(v, 1, half), F.slice(v, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(v)
+
+    bits = F.zip_with(folded(x, y), folded(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(bits, F.lit(0), lambda s, n: s + n)
+
+
 def similar(size_a, size_b, both):
     """Whether sets of these sizes with so many common members reach the similarity."""
     p, q = FOUR_FIFTHS
@@ -105,7 +127,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, key, fp, size, odd0.., prefix): a hash of the text, then digest, size and parities of a text's set, its fingerprint and its first shingles."""
+    """(doc_id, mark, key, fp, size, odd0.., vector, prefix): a hash of the text, then digest, size and parities of a text's set, its fingerprint and its first shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs))
     p, q = FOUR_FIFTHS
 
@@ -124,11 +146,11 @@ def prints(docs: DataFrame) -> DataFrame:
             found, fps = [distinct(e) for e in every], np.array([majority([e]) for e in every], np.uint64).view(np.int64)
             odd = np.array([_parities(g) for g in found], np.int64).reshape(-1, PARITIES)
             ints = [[_key(g) for g in found], fps, [len(g) for g in found], *(np.ascontiguousarray(odd[:, i]) for i in range(PARITIES))]
-            return [*(pa.array(x, pa.int64()) for x in ints), _lists([first(g) for g in found])]
+            return [*(pa.array(x, pa.int64()) for x in ints), _lists([_vector(g).view(np.uint64) for g in found]), _lists([first(g) for g in found])]
 
         return step
 
-    fields = [T.StructField(n, T.LongType()) for n in ("key", "fp", "size", *_ODD)] + [T.StructField("prefix", _LONGS)]
+    fields = [T.StructField(n, T.LongType()) for n in ("key", "fp", "size", *_ODD)] + [T.StructField("vector", _LONGS), T.StructField("prefix", _LONGS)]
     return map_texts(docs.select("doc_id", "text", _mark().alias("mark")), ["doc_id", "mark"], fields, start)
 
 
@@ -162,7 +184,7 @@ def _shared(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _not_far(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys, once each, that sizes and parities leave possible."""
-    small = broadcast_if_small(points)
+    small = broadcast_if_small(points.select("key", "size", *_ODD))
 
     def side(c: str) -> DataFrame:
         return small.select(F.col("key").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", *_ODD)])
@@ -173,13 +195,21 @@ def _not_far(points: DataFrame, pairs: DataFrame) -> DataFrame:
     total = F.col("a_size") + F.col("b_size")
     # similar sets have p * total <= (p + q) * both, and differ in total - 2 * both members
     near = (F.lit(p + q) * apart <= F.lit(q - p) * total) & (F.lit(q) * F.least("a_size", "b_size") >= F.lit(p) * F.greatest("a_size", "b_size"))
-    return both.where(near).select("a", "b")
+    pairs = both.where(near).select("a", "b")
+
+    # longer vectors for what is left, which tell long sets apart without moving them
+    x, y = (points.select(F.col("key").alias(c), F.col("vector").alias(v), F.col("size").alias(f"{c}_size")) for c, v in (("a", "x"), ("b", "y")))
+    left = pairs.join(x, "a").join(y, "b")
+    return left.where(F.lit(p + q) * vector_distance(F.col("x"), F.col("y")) <= F.lit(q - p) * (F.col("a_size") + F.col("b_size"))).select("a", "b")
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of keys of one gram that are of different components and of fitting sizes."""
+    """All pairs of keys of one gram that are of different components and of fitting sizes and places.
+
+    A gram at place i is the first that two sets have in common only if no more than size - i members are.
+    """
     frame = frame[frame.groupby("gram")["component"].transform("nunique") > 1].sort_values(["gram", "component"], kind="stable")
-    gram, part, key, size = (frame[c].to_numpy() for c in ("gram", "component", "key", "size"))
+    gram, part, key, size, place = (frame[c].to_numpy() for c in ("gram", "component", "key", "size", "pos"))
     new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True]) if len(gram) else np.zeros(1, np.int64)
     end = np.repeat(new[1:], np.diff(new))
     # a row meets the rows of its gram behind the last one of its own component
@@ -192,7 +222,7 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
         n = count[low:high]
         left = np.repeat(np.arange(low, high), n)
         right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[low:high], n)
-        fit = similar(size[left], size[right], np.minimum(size[left], size[right]))
+        fit = similar(size[left], size[right], np.minimum(size[left] - place[left], size[right] - place[right]))
         a, b = key[left[fit]], key[right[fit]]
         out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates())
         low = high
@@ -209,14 +239,8 @@ def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame, repeated: bo
     sets = _sets(rows.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi"))
     sets = checkpoint(sets.dropDuplicates(["key"]) if repeated else sets)
 
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            same = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(frame["x"], frame["y"], strict=True)]
-            ok = similar(frame["x"].map(len).to_numpy(np.int64), frame["y"].map(len).to_numpy(np.int64), np.array(same, np.int64))
-            yield frame.loc[ok, ["a", "b"]]
-
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-    return checkpoint(both.select("a", "b", "x", "y").mapInPandas(check, "a long, b long"))
+    return checkpoint(both.where(similar(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")))).select("a", "b"))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -226,10 +250,10 @@ def components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     rows = checkpoint(prints(docs))
-    points = checkpoint(rows.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *[F.first(x).alias(x) for x in ("fp", "size", *_ODD)]))
+    points = checkpoint(rows.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *[F.first(x).alias(x) for x in ("fp", "size", "vector", *_ODD)]))
     repeated = not rows.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
-    postings = rows.select("key", "size", F.explode("prefix").alias("gram"))
-    shared = checkpoint(_by_gram(postings, _shared, "key long, size long, gram long, first long"))
+    postings = rows.select("key", "size", F.posexplode("prefix").alias("pos", "gram"))
+    shared = checkpoint(_by_gram(postings, _shared, "key long, size long, pos int, gram long, first long"))
     # one key for each fingerprint stands for it in the trees, and is a candidate for the fingerprint's other keys
     leaders = checkpoint(points.groupBy("fp").agg(F.min("key").alias("id")))
     near = shard_links(leaders, RADIUS).unionByName(points.select("key", "fp").join(leaders.repartition("fp", "id"), "fp").select(F.col("key").alias("a"), F.col("id").alias("b")))

@@ -52,3 +52,20 @@ def test_near_copies_of_similarity_from_four_fifths_go(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     out = corpus_pipeline.drop_near_copies(spark, table, "").collect()
     assert sorted(x["doc_id"] for x in out) == sorted(brute_keep(rows))
+
+
+def test_vectors_bound_the_difference(spark):
+    """Folded parities never differ in more classes than the sets do in members, and tell most of the difference."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from arborlake.llm import near_copies
+
+    rng, rows = np.random.default_rng(3), []
+    for n in (0, 1, 5, 100, 400, 520, 3000):
+        for change in (0, 1, n // 10, n // 5):
+            every = np.unique(rng.integers(1 << 63, size=n + change).astype(np.uint64))
+            a, b = every[:n], every[change:]
+            rows.append((near_copies._vector(a).tolist(), near_copies._vector(b).tolist(), len(np.setxor1d(a, b))))
+    for x in spark.createDataFrame(rows, "x array<long>, y array<long>, apart int").withColumn("found", near_copies.vector_distance(F.col("x"), F.col("y"))).collect():
+        assert x["found"] <= x["apart"] and (x["apart"] - x["found"]) % 2 == 0 and x["found"] >= 0.5 * x["apart"] - 8
