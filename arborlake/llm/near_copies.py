@@ -9,8 +9,8 @@ pair fails, and is then confirmed on the whole sets before it links:
 2. Of every prefix shingle, all pairs of texts that are not yet in one component.
 
 Under any one order of all shingles, two sets of similarity t or more share one of the first s - ceil(t * s) + 1
-shingles of each, s the set's size (prefix filter), so no pair is missed. The order puts shingles that are common in a
-sample last; the sample decides how many candidates there are and nothing else.
+shingles of each, s the set's size (prefix filter), so no pair is missed. The order puts shingles that are common last,
+counted over all texts; it decides how many candidates there are and nothing else.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ from arborlake.session import broadcast_if_small, checkpoint
 SHINGLE = 5
 #: The similarity as a fraction, so that all comparisons are of whole numbers.
 FOUR_FIFTHS = (4, 5)
-#: The order of the shingles is learned from about so many texts, and knows so many common shingles at most.
-SAMPLE, COMMON = 5_000, 500_000
+#: Shingles of so many texts at least are known as common, and at most so many shingles, the most frequent.
+LEAST, COMMON = 8, 1_000_000
+#: A task sends its counts on when it holds so many hashes, in parts of the hashes that hold about so many in all.
+HELD, PART = 2_000_000, 1_000_000
 #: So many doc_ids are broadcast, so that the texts stay where they are.
 MOST = 1_000_000
 #: Words of 64 bits in a set's parities.
@@ -115,15 +117,63 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_texts(docs, [], [T.StructField("key", T.LongType()), T.StructField("grams", _LONGS)], start)
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles that repeat among sampled texts, sorted, and in how many of them each is."""
-    n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) < F.lit(1_000_003.0 * min(1.0, SAMPLE / max(n, 1))))
-    counted = _sets(drawn).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.where("n > 1").orderBy(F.desc("n"), "g").limit(COMMON).toPandas()
-    grams, times = rows["g"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(grams)
-    return grams[order], times[order]
+def _counts(docs: DataFrame, shift: int) -> DataFrame:
+    """(gram, n): in how many texts a hash without its last `shift` bits is, for those of LEAST texts or more.
+
+    Tasks count what they hold before anything moves, so a frequent shingle is one number a task and part. Above the 32
+    bits that are sent, a hash names its part, which one group adds up.
+    """
+
+    def tally(held: list[np.ndarray]) -> pa.RecordBatch:
+        gram, times = np.unique(np.concatenate(held), return_counts=True)
+        part = (gram >> np.uint64(32)).astype(np.int64)
+        new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        low, n = (np.split(x.astype(np.uint32), new[1:]) for x in (gram & np.uint64(0xFFFFFFFF), times))
+        values = [pa.array(part[new], pa.int64()), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (low, n))]
+        return pa.RecordBatch.from_arrays(values, names=["part", "low", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                grams = distinct(hashes(text.as_py()))
+                if len(grams):
+                    held.append(grams >> np.uint64(shift))
+                size += len(grams)
+                if size >= HELD:
+                    yield tally(held)
+                    held, size = [], 0
+        if size:
+            yield tally(held)
+
+    def add(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
+        low, times = (np.concatenate([np.frombuffer(x, np.uint32) for x in frame[c]]) for c in ("low", "times"))
+        order = np.argsort(low, kind="stable")
+        low = low[order]
+        new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        n = np.add.reduceat(times[order].astype(np.int64), new)
+        common = n >= LEAST
+        return pd.DataFrame({"gram": low[new][common].astype(np.int64) + (int(key[0]) << 32), "n": n[common]})
+
+    return docs.select("text").mapInArrow(run, "part long, low binary, times binary").groupBy("part").applyInPandas(add, "gram long, n long")
+
+
+def _common(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many last bits to leave out, the common hashes without them, sorted, and in how many texts each is.
+
+    If more than COMMON are common, the least number of texts is higher, in steps of a quarter power of two.
+    """
+    shingles = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    shift = 32 - min(24, max(0, int(np.ceil(np.log2(max(shingles, 1) / PART)))))
+    counted = checkpoint(_counts(docs, shift).withColumn("level", F.floor(4 * F.log2("n"))))
+    level, total = 1 << 10, 0
+    for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        total += row["count"]
+        if total > COMMON:
+            break
+        level = row["level"]
+    rows = counted.where(F.col("level") >= level).select("gram", "n").toPandas().sort_values("gram")
+    return shift, rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64).clip(max=2**31 - 1).astype(np.int32)
 
 
 def prints(docs: DataFrame) -> DataFrame:
@@ -132,13 +182,14 @@ def prints(docs: DataFrame) -> DataFrame:
     p, q = FOUR_FIFTHS
 
     def start():
-        common, times = sent.value
+        shift, common, times = sent.value
 
         def first(grams: np.ndarray) -> np.ndarray:
             rank = np.zeros(len(grams), np.int64)
             if len(common):
-                at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-                rank = np.where(common[at] == grams, times[at], 0)
+                short = grams >> np.uint64(shift)
+                at = np.minimum(np.searchsorted(common, short), len(common) - 1)
+                rank = np.where(common[at] == short, times[at], 0)
             return grams[np.lexsort((grams, rank))[: len(grams) + p * len(grams) // -q + 1]] if len(grams) else grams
 
         def step(texts: list[str | None]) -> list[pa.Array]:

@@ -69,3 +69,43 @@ def test_vectors_bound_the_difference(spark):
             rows.append((near_copies._vector(a).tolist(), near_copies._vector(b).tolist(), len(np.setxor1d(a, b))))
     for x in spark.createDataFrame(rows, "x array<long>, y array<long>, apart int").withColumn("found", near_copies.vector_distance(F.col("x"), F.col("y"))).collect():
         assert x["found"] <= x["apart"] and (x["apart"] - x["found"]) % 2 == 0 and x["found"] >= 0.5 * x["apart"] - 8
+
+
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    from collections import Counter
+
+    from arborlake.llm import near_copies
+
+    r = random.Random(5)
+    passages = [" ".join(r.choices("abcdefgh", k=12)) for _ in range(6)]
+    texts = [f"{' '.join(r.choices('klmnopqrstuv', k=9))} {passages[min(r.randrange(6), r.randrange(6))]}" for _ in range(300)] + ["", None, "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = Counter(int(g) for t in texts for g in near_copies.distinct(near_copies.hashes(t)))
+    monkeypatch.setattr(near_copies, "HELD", 200)
+    for part, most in ((1 << 20, 1 << 20), (100, 1 << 20), (100, 20)):
+        monkeypatch.setattr(near_copies, "PART", part)
+        monkeypatch.setattr(near_copies, "COMMON", most)
+        shift, grams, times = near_copies._common(docs)
+        assert (shift < 32) == (part == 100)
+        assert list(grams) == sorted(grams) and len(grams) <= most
+        common = {g >> shift: n for g, n in want.items() if n >= near_copies.LEAST}
+        found = dict(zip(grams.tolist(), times.tolist(), strict=True))
+        assert found == common if most > len(common) else found.items() <= common.items()
+        assert all(n <= min(found.values(), default=1 << 30) for g, n in common.items() if g not in found)
+    shift, grams, times = near_copies._common(docs.limit(0))
+    assert shift == 32 and not len(grams) and not len(times)
+
+
+def test_passages_that_many_texts_share_make_no_copies(spark, monkeypatch):
+    """Common shingles stand last for some texts only; results are those of brute force."""
+    import corpus_pipeline
+    from arborlake.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "PART", 500)
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(2000)]
+    passages = [r.choices(vocab, k=60) for _ in range(3)]
+    rows = [" ".join(r.choices(vocab, k=r.choice((0, 4, 20, 80))) + r.choice(passages) + r.choices(vocab, k=r.choice((0, 3, 9)))) for _ in range(150)]
+    rows = list(enumerate(rows))
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(x["doc_id"] for x in out) == sorted(brute_keep(rows))
