@@ -36,7 +36,7 @@ FOUR_FIFTHS = (4, 5)
 #: Shingles of so many texts at least are known as common, and at most so many shingles, the most frequent.
 LEAST, COMMON = 8, 1_000_000
 #: A task sends its counts on when it holds so many hashes, in parts of the hashes that hold about so many in all.
-HELD, PART = 2_000_000, 1_000_000
+HELD, PART = 500_000, 500_000
 #: So many doc_ids are broadcast, so that the texts stay where they are.
 MOST = 1_000_000
 #: Words of 64 bits in a set's parities.
