@@ -28,10 +28,10 @@ from arborlake.llm.texts import free_name, map_texts
 OFFSET = 2.7
 #: Score of each byte of a character outside the vocabulary.
 BYTE_SCORE = -25.0
-#: Words whose ids are remembered between slices of one task.
-REMEMBERED = 400_000
-#: Words whose distinct ones are sorted together.
-BATCH_WORDS = 1_000_000
+#: Words of each of two generations whose ids are remembered between slices of one task.
+REMEMBERED = 100_000
+#: Words whose distinct ones are sorted together, and characters of a slice of texts.
+BATCH_WORDS, SLICE_CHARS = 500_000, 1_000_000
 _NO_PIECE = object()
 
 
@@ -56,12 +56,13 @@ def prefixes(path: str) -> dict[str, float | None]:
 
 
 class Encoder:
-    """Encodes texts under one vocabulary, remembering words."""
+    """Encodes texts under one vocabulary, remembering words: those of a full generation are kept until the next one is full."""
 
     def __init__(self, path: str):
         self.vocab: Vocabulary = vocabulary(path)
         self.prefixes = prefixes(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def solve(self, words: list[str]) -> None:
         """Ids of distinct words that are not known yet. Of equal scores, the one with the shorter last piece stays."""
@@ -117,10 +118,12 @@ class Encoder:
 
     def _add(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
         used = set(chain.from_iterable(words for _, words in held))
-        new = [w for w in used if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {w: self.known[w] for w in used if w in self.known}
-        self.solve(new)
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        used.difference_update(self.known)
+        again = used & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        self.solve(list(used - again))
         for i, words in held:
             out[i].append(b"".join(map(self.known.__getitem__, words)))
 
@@ -164,7 +167,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | No
         return step
 
     fields = [T.StructField(name, T.ArrayType(T.IntegerType()))] + ([T.StructField(check, T.BooleanType())] if check else [])
-    return map_texts(docs, list(keep), fields, start)
+    return map_texts(docs, list(keep), fields, start, SLICE_CHARS)
 
 
 def decode(rows: DataFrame, model: str | None = None, ids: str = "ids", name: str = "decoded") -> DataFrame:

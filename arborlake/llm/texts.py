@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,13 +70,15 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            texts, low = batch.column(len(keep)).to_pylist(), 0
-            while low < len(texts):
+            # strings are made for one slice at a time, not for the whole batch
+            texts, low = batch.column(len(keep)), 0
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            while low < len(sizes):
                 high, size = low, 0
-                while high < len(texts) and (high == low or size < slice_chars):
-                    size += len(texts[high] or "")
+                while high < len(sizes) and (high == low or size < slice_chars):
+                    size += sizes[high]
                     high += 1
-                made = step(texts[low:high])
+                made = step(texts.slice(low, high - low).to_pylist())
                 kept = [batch.column(i).slice(low, high - low) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(kept + made, names=schema.names)
                 low = high
