@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import exact_dedup, fingerprints, language_id, license_scan, mixing, resampling, sentencepiece_codec, sharding, simhash, substring_dedup, token_counts
+from arborlake.llm import divergence, exact_dedup, fingerprints, language_id, license_scan, mixing, resampling, sentencepiece_codec, sharding, simhash, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": token_counts.count_tokens,
         "op9_license_scan": license_scan.scan,
         "op10_sharding": sharding.assign,
+        "op11_divergence": divergence.audit,
     }
     found = {name: lambda spark, sf_dir, f=f: f(_documents(spark, sf_dir)) for name, f in operators.items()}
     found["op12_resampling"] = lambda spark, sf_dir: resampling.query(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op3_mixing": mixing.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL, "op10_sharding": sharding.oracle_sql(), "op12_resampling": resampling.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL, "op10_sharding": sharding.oracle_sql(), "op11_divergence": divergence.ORACLE_SQL, "op12_resampling": resampling.ORACLE_SQL}
