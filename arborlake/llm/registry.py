@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import divergence, exact_dedup, fingerprints, language_id, license_scan, mixing, resampling, sentencepiece_codec, sharding, simhash, substring_dedup, token_counts
+from arborlake.llm import divergence, exact_dedup, fingerprints, language_id, license_scan, mixing, personal_data, resampling, sentencepiece_codec, sharding, simhash, substring_dedup, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": license_scan.scan,
         "op10_sharding": sharding.assign,
         "op11_divergence": divergence.audit,
+        "op13_personal_data": personal_data.query,
     }
     found = {name: lambda spark, sf_dir, f=f: f(_documents(spark, sf_dir)) for name, f in operators.items()}
     found["op12_resampling"] = lambda spark, sf_dir: resampling.query(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
