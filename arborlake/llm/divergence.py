@@ -29,8 +29,8 @@ SCALE_STEPS, STEP = 3, 1000
 #: The scale of shares: 1,000,000,000, multiplied in steps so that counts up to 9e15 stay exact.
 SCALE = STEP**SCALE_STEPS
 RANKS = 200
-#: A task sends its tries on when they hold so many counters.
-HELD = 400_000
+#: A task sends its tries on when its documents have had so many counters.
+HELD = 1_500_000
 #: Leaves of a trie that are sent as one row, at most, and counters of a prefix range, about.
 LEAVES, RANGE = 4096, 100_000
 #: Tries that are merged at once.
@@ -141,19 +141,25 @@ class Trie:
         return cls(terms, docs, np.searchsorted(key, np.arange(len(terms) + 1) * max(len(names), 1)), key % max(len(names), 1), total, names)
 
 
+class _Numbers(dict):
+    """Numbers its keys as they are asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = found = len(self)
+        return found
+
+
 class _Counting:
     """The terms of one language in one task, numbered as they come."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.sources: dict[str, int] = {}
         self.parts: list[tuple[np.ndarray, np.ndarray, int]] = []
 
     def add(self, source: str, found: Counter) -> int:
         number, at = self.number, self.sources.setdefault(source, len(self.sources))
-        for term in found.keys() - number.keys():
-            number[term] = len(number)
-        leaf = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        leaf = np.fromiter(map(number.__getitem__, found), np.int32, len(found))
         self.parts.append((leaf, np.fromiter(found.values(), np.int64, len(found)), at))
         return len(found)
 
@@ -161,7 +167,7 @@ class _Counting:
         docs = np.zeros(len(self.number), np.int64)
         for leaf, _, _ in self.parts:
             docs[leaf] += 1
-        leaf = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in self.parts)])
+        leaf = np.concatenate([np.zeros(0, np.int32), *(x[0] for x in self.parts)])
         count = np.concatenate([np.zeros(0, np.int64), *(x[1] for x in self.parts)])
         source = np.repeat(np.array([x[2] for x in self.parts], np.int64), [len(x[0]) for x in self.parts])
         return Trie.of(list(self.number), docs, leaf, source, count, list(self.sources))
