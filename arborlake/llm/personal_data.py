@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlake.llm.divergence import terms_of
-from arborlake.llm.texts import map_texts
+from arborlake.llm.texts import free_name, map_texts
 from arborlake.session import checkpoint
 
 #: Kinds in order; those behind the fourth are found by the corpus.
@@ -54,7 +54,7 @@ LEAST_SLOTS, MOST_SLOTS, SLOTS = 1 << 16, 1 << 24, 16
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _DIGIT = re.compile(r"[0-9]")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _NUMBER = re.compile(r"[0-9]++")
 _CHAIN = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -227,13 +227,20 @@ def filter_of(terms: DataFrame) -> bytes:
     return bytes(out)
 
 
-def counts(docs: DataFrame, sieve: bytes) -> DataFrame:
-    """(term, n) over all texts, of terms that pass the filter; term is null for the number of all terms."""
-    sent = docs.sparkSession.sparkContext.broadcast(sieve)
+def counts(docs: DataFrame, sieve: bytes, wide: bytes) -> DataFrame:
+    """(what, term, n) over all texts: 'term' for terms that pass the filter, 'form' for the first LETTERS letters of
+    longer terms if these pass the other filter, and 'all' with a null term for the number of all terms."""
+    sent = docs.sparkSession.sparkContext.broadcast((sieve, wide))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes, total, found = sent.value, 0, Counter()
-        mask = len(passes) - 1
+        passes, passes_too = sent.value
+        mask, mask_too = len(passes) - 1, len(passes_too) - 1
+        total, found, forms = 0, Counter(), Counter()
+
+        def rows() -> pa.RecordBatch:
+            what = ["term"] * len(found) + ["form"] * len(forms)
+            return pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array([*found, *forms], pa.binary()), pa.array([*found.values(), *forms.values()], pa.int64())], names=["what", "term", "n"])
+
         for batch in batches:
             for text in batch.column(0):
                 for terms in terms_of(text.as_py()):
@@ -241,13 +248,24 @@ def counts(docs: DataFrame, sieve: bytes) -> DataFrame:
                     for term, n in Counter(terms).items():
                         if passes[zlib.crc32(term) & mask]:
                             found[term] += n
-            if len(found) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+                        if len(term) > LETTERS:
+                            form = term[:LETTERS]
+                            if not form.isascii():
+                                word = term.decode(errors="replace")
+                                if len(word) <= LETTERS:
+                                    continue
+                                form = word[:LETTERS].encode()
+                            if passes_too[zlib.crc32(form) & mask_too]:
+                                forms[form] += n
+            if len(found) + len(forms) > 200_000:
+                yield rows()
                 found.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([*found, None], pa.binary()), pa.array([*found.values(), total], pa.int64())], names=["term", "n"])
+                forms.clear()
+        yield rows()
+        yield pa.RecordBatch.from_arrays([pa.array(["all"]), pa.array([None], pa.binary()), pa.array([total], pa.int64())], names=["what", "term", "n"])
 
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "term binary, n long")
-    return checkpoint(rows.groupBy(F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n")))
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "what string, term binary, n long")
+    return checkpoint(rows.groupBy("what", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n")))
 
 
 def _letters(term: Column) -> Column:
@@ -255,19 +273,14 @@ def _letters(term: Column) -> Column:
 
 
 def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(term, disclosure, form): the terms to sanitise; form is what a term is generalised to, null if it is removed.
-
-    form needs the counts of all terms with the same letters near the entity and, of those that are near any entity,
-    in the corpus; other terms would only lower the disclosure, so a term is never generalised too little.
-    """
+    """(term, disclosure, form): the terms to sanitise; form is what a term is generalised to, null if it is removed."""
     pairs = nearby(docs)
     likely = checkpoint(pairs.where(F.col("places") >= support).select("term").distinct())
-    # terms near an entity that share their first letters with a likely one decide on its form
-    wanted = likely.select(_letters(F.col("term")).alias("form")).where("form IS NOT NULL").distinct()
-    wider = checkpoint(pairs.select("term").distinct().withColumn("form", _letters(F.col("term"))).join(wanted, "form", "left_semi").select("term").unionByName(likely).distinct())
-    counted = counts(docs, filter_of(wider))
-    everything = counted.where("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("all")).first()["all"]
-    count = checkpoint(counted.join(wider, "term", "left_semi").select("term", F.col("n").alias("count")))
+    forms = checkpoint(likely.select(_letters(F.col("term")).alias("term")).where("term IS NOT NULL").distinct())
+    counted = counts(docs, filter_of(likely), filter_of(forms))
+    everything = counted.where("what = 'all'").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("all")).first()["all"]
+    count = counted.where("what = 'term'").select("term", F.col("n").alias("count"))
+    of_form = counted.where("what = 'form'").select(F.col("term").alias("form"), F.col("n").alias("count"))
     # the sides are small, and spread by both columns so that an entity that is everywhere can be split
     size = pairs.groupBy("entity").agg(F.sum("n").alias("size")).repartition("size", "entity")
 
@@ -278,7 +291,6 @@ def disclosing(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUP
     alone = pairs.where(F.col("places") >= support).join(count, "term").join(size, "entity").withColumn("disclosure", told(F.col("n"), F.col("count")))
     alone = checkpoint(alone.where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure", _letters(F.col("term")).alias("form")))
     forms = alone.select("entity", "form").where("form IS NOT NULL").distinct()
-    of_form = count.groupBy(_letters(F.col("term")).alias("form")).agg(F.sum("count").alias("count"))
     wide = pairs.withColumn("form", _letters(F.col("term"))).join(forms, ["entity", "form"], "left_semi").groupBy("entity", "form").agg(F.sum("n").alias("n"))
     wide = wide.join(of_form, "form").join(size, "entity").select("entity", "form", (told(F.col("n"), F.col("count")) < threshold).alias("safe"))
     out = alone.join(wide, ["entity", "form"], "left").groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.every(F.coalesce("safe", F.lit(False))).alias("safe"), F.any_value("form").alias("form"))
@@ -337,9 +349,12 @@ def query(docs: DataFrame) -> DataFrame:
     one value; patterns read it in linear time. Only doc_id and text are read.
     """
     rows = scan(docs, ("doc_id",), disclosing(docs))
-    counts_ = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
     term = F.transform("hits", lambda h: F.struct(h["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), h["end"].alias("end")))
-    return rows.select("doc_id", *counts_, F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.concat("spans", term)).alias("spans"))
+    return rows.select("doc_id", *[number(k) for k in range(4)], F.sha2(_joined(F.col("spans")), 256).alias("base_sha256"), _joined(F.concat("spans", term)).alias("spans"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
@@ -349,7 +364,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """
     columns = docs.columns
     terms = disclosing(docs.select("text"), **options)
-    rows = scan(docs, tuple(columns), terms)
+    rows = scan(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")), ("row",), terms)
 
     def start():
         def edit(text: str | None, spans, hits) -> str | None:
@@ -375,8 +390,9 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
             arrays[at] = pa.array(made, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    quoted = [F.col(f"`{c}`") for c in columns]
-    return rows.select(*quoted, F.col("spans").alias("_spans"), F.col("hits").alias("_hits")).mapInArrow(run, docs.schema)
+    own = [F.col("row").getField(c).alias(c) for c in columns]
+    names = [free_name(columns, c) for c in ("spans", "hits")]
+    return rows.select(*own, *[F.col(a).alias(b) for a, b in zip(("spans", "hits"), names, strict=True)]).mapInArrow(run, docs.schema)
 
 
 def digest(spans: list[tuple[int, int, int]]) -> str:

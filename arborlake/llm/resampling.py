@@ -44,11 +44,13 @@ def _bucket(feature: Column, buckets: int) -> Column:
 
 def bucket_array(found: Column, n: int = N, buckets: int = BUCKETS) -> Column:
     """The bucket of every run of 1 to n of the words, repeats included."""
-    arrays = [F.transform(found, lambda w: _bucket(w, buckets))]
-    for size in range(2, n + 1):
+
+    def runs(size: int) -> Column:
         places = F.when(F.size(found) >= size, F.sequence(F.lit(1), F.size(found) - size + 1)).otherwise(F.array().cast("array<int>"))
-        arrays.append(F.transform(places, lambda i, size=size: _bucket(F.array_join(F.slice(found, i, size), " "), buckets)))
-    return F.concat(*arrays) if n > 1 else arrays[0]
+        return F.transform(places, lambda i: _bucket(F.array_join(F.slice(found, i, size), " "), buckets))
+
+    alone = F.transform(found, lambda w: _bucket(w, buckets))
+    return F.concat(alone, *[runs(size) for size in range(2, n + 1)]) if n > 1 else alone
 
 
 def _bucketed(texts: DataFrame, keep: tuple[str, ...], n: int, buckets: int) -> DataFrame:
