@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from arborlake.llm.components import connected_components
 from arborlake.llm.simhash import RADIUS, SEED, _mark, majority, one_of_each, shard_links, shingle_hashes
-from arborlake.llm.texts import keep_marked, map_texts
+from arborlake.llm.texts import give_back, keep_marked, map_texts
 from arborlake.session import broadcast_if_small, checkpoint
 
 SHINGLE = 5
@@ -145,6 +145,8 @@ def _counts(docs: DataFrame, shift: int) -> DataFrame:
                     held, size = [], 0
         if size:
             yield tally(held)
+        held.clear()
+        give_back()
 
     def add(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
         low, times = (np.concatenate([np.frombuffer(x, np.uint32) for x in frame[c]]) for c in ("low", "times"))
@@ -222,6 +224,8 @@ def _by_gram(rows: DataFrame, solve, schema: str) -> DataFrame:
             rest = [whole[open_]]
         if rest:
             yield solve(pd.concat(rest, ignore_index=True))
+            rest.clear()
+        give_back()
 
     return rows.repartition("gram").sortWithinPartitions("gram").mapInPandas(run, schema)
 

@@ -31,7 +31,7 @@ BYTE_SCORE = -25.0
 #: Words of each of two generations whose ids are remembered between slices of one task.
 REMEMBERED = 100_000
 #: Words whose distinct ones are sorted together, and characters of a slice of texts.
-BATCH_WORDS, SLICE_CHARS = 500_000, 1_000_000
+BATCH_WORDS, SLICE_CHARS = 200_000, 1_000_000
 _NO_PIECE = object()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -52,6 +53,14 @@ def keep_marked(docs: DataFrame, verdicts: DataFrame, mark: Column, most: int =
     return out.unionByName(some.agg(F.any_value(F.struct(*columns)).alias("row")).select("row.*"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_texts(
     docs: DataFrame,
     keep: list[str],
@@ -66,12 +75,14 @@ def map_texts(
     Columns of docs other than keep and text are not read.
     """
     schema = T.StructType([docs.schema[name] for name in keep] + fields)
+    # a text that is kept is not sent a second time
+    at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
             # strings are made for one slice at a time, not for the whole batch
-            texts, low = batch.column(len(keep)), 0
+            texts, low = batch.column(at), 0
             sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             while low < len(sizes):
                 high, size = low, 0
@@ -82,6 +93,7 @@ def map_texts(
                 kept = [batch.column(i).slice(low, high - low) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(kept + made, names=schema.names)
                 low = high
+        give_back()
 
-    # the text stands last, also where it is kept
-    return docs.select(*[F.col(name) for name in keep], F.col("text").alias("_text")).mapInArrow(run, schema)
+    sent = [F.col(name) for name in keep] + ([] if "text" in keep else [F.col("text").alias("_text")])
+    return docs.select(*sent).mapInArrow(run, schema)
