@@ -218,7 +218,11 @@ def test_long_texts_through_every_operator(spark):
 
     for run in (substring_dedup.query, language_id.query, mixing.query, simhash.components, sentencepiece_codec.query, fingerprints.query, exact_dedup.groups, token_counts.count_tokens, license_scan.scan, sharding.assign):
         assert run(table).count() == 3
-    assert len(registry.queries()) == 10
+    from arborlake.llm import divergence, personal_data, resampling
+
+    assert resampling.query(table, table).count() == 3 and personal_data.query(table).count() == 3
+    assert divergence.audit(table).where("part = 'pair'").count() == 2
+    assert len(registry.queries()) == 13
 
 
 def test_canonical_forms_are_unicode_normal_forms(spark):
