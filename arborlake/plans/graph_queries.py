@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.operators import graph as g
+from arborlake.operators import relation
 from arborlake.session import checkpoint, table
 
 NODES_SQL = """SELECT 'R' || r_regionkey AS id, 'Region' AS type FROM region UNION ALL SELECT 'N' || n_nationkey, 'Nation' FROM nation
@@ -91,6 +92,17 @@ def _path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return path.groupBy("source", "goal").agg(F.max("step").alias("length"))
 
 
+#: Weights of the star graph's edges, in hundredths; other types weigh 180.
+STAR_WEIGHTS = {"PLACED": 100, "CONTAINS": 85, "SUPPLIES": 175}
+
+
+def _relation_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of the cheapest relation from each region to every node that it reaches."""
+    graph = saved(spark, sf_dir)
+    regions = graph.nodes.where("type = 'Region'").select(F.col("id").alias("source"), F.lit(None).cast("string").alias("goal"))
+    return relation.relation_costs(graph.edges, regions, STAR_WEIGHTS).select("source", "node", "cost")
+
+
 def _flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols that a nation has as suppliers, else customers of that name anywhere, one step on."""
     graph = saved(spark, sf_dir)
@@ -161,6 +173,7 @@ QUERIES = {
     "incident_edges": _from_all(g.incident_edges, "Customer", "Nation"),
     "variable_flow_fallback": _flow,
     "shortest_path_length": _path_lengths,
+    "relation_costs": _relation_costs,
     "slice_trim_topk": _trim,
     # the same operators from whole tables of targets, which recursive SQL is too slow for
     "neighborhood_d2_all": lambda s, d: _calls_d2(s, d)[1],
@@ -201,3 +214,13 @@ SELECT p.source, p.goal, CAST(min(r.depth) AS INTEGER) AS length FROM p JOIN r O
 s AS (SELECT m.target, m.node, CAST(CASE WHEN m.node = m.target THEN 10000 ELSE {_WEIGHT_SQL} + least(40, coalesce(d.degree, 0)) END AS BIGINT) AS score FROM m JOIN nodes n ON n.id = m.node LEFT JOIN d ON d.node = m.node)
 SELECT target, node, score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, node) AS p FROM s) WHERE p <= 50""",
 }
+
+# sixteen rounds of relaxing every edge reach the end of every path of at most sixteen edges, and no path here is longer
+SQL["relation_costs"] = (
+    f"WITH {GRAPH_SQL}, w AS (SELECT node, other, CASE type WHEN 'PLACED' THEN 100 WHEN 'CONTAINS' THEN 85 WHEN 'SUPPLIES' THEN 175 ELSE 180 END AS weight FROM ways), "
+    "d0 AS (SELECT id AS source, id AS node, 0 AS cost FROM nodes WHERE type = 'Region'), "
+    + ", ".join(
+        f"d{i + 1} AS (SELECT source, node, min(cost) AS cost FROM (SELECT * FROM d{i} UNION ALL SELECT source, other, cost + weight FROM d{i} JOIN w USING (node)) GROUP BY ALL)" for i in range(16)
+    )
+    + " SELECT source, node, CAST(cost AS BIGINT) AS cost FROM d16"
+)
