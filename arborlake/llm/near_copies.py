@@ -41,6 +41,8 @@ HELD, PART = 500_000, 500_000
 MOST = 1_000_000
 #: Words of 64 bits in a set's parities.
 PARITIES = 8
+#: Pairs of one gram that are looked at together.
+PAIRS = 250_000
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -259,12 +261,15 @@ def _not_far(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of keys of one gram that are of different components and of fitting sizes and places.
+    """All pairs of keys of one gram that are of different components and of fitting sizes, places and parities.
 
-    A gram at place i is the first that two sets have in common only if no more than size - i members are.
+    A gram at place i is the first that two sets have in common only if no more than size - i members are. Parities are
+    compared here, so that a passage in many texts that are no copies makes few rows.
     """
+    p, q = FOUR_FIFTHS
     frame = frame[frame.groupby("gram")["component"].transform("nunique") > 1].sort_values(["gram", "component"], kind="stable")
     gram, part, key, size, place = (frame[c].to_numpy() for c in ("gram", "component", "key", "size", "pos"))
+    odd = frame[_ODD].to_numpy(np.int64).view(np.uint64)
     new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True]) if len(gram) else np.zeros(1, np.int64)
     end = np.repeat(new[1:], np.diff(new))
     # a row meets the rows of its gram behind the last one of its own component
@@ -273,12 +278,15 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
     count, out = end - begin, []
     low, total = 0, np.cumsum(count)
     while low < len(count):
-        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + 2_000_000, "right")))
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + PAIRS, "right")))
         n = count[low:high]
         left = np.repeat(np.arange(low, high), n)
         right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[low:high], n)
         fit = similar(size[left], size[right], np.minimum(size[left] - place[left], size[right] - place[right]))
-        a, b = key[left[fit]], key[right[fit]]
+        left, right = left[fit], right[fit]
+        apart = np.bitwise_count(odd[left] ^ odd[right]).sum(axis=1, dtype=np.int64)
+        near = (p + q) * apart <= (q - p) * (size[left] + size[right])
+        a, b = key[left[near]], key[right[near]]
         out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates())
         low = high
     return pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame({"a": key[:0], "b": key[:0]})
@@ -316,6 +324,10 @@ def components(docs: DataFrame) -> DataFrame:
     links = confirmed(docs, points, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), repeated)
     parts = connected_components(links).withColumnRenamed("node", "key")
     grouped = shared.drop("first").join(parts.repartition("component", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # only grams that several components share make pairs, and only their rows need parities
+    grouped = checkpoint(grouped)
+    mixed = grouped.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
+    grouped = grouped.join(broadcast_if_small(checkpoint(mixed)), "gram", "left_semi").join(broadcast_if_small(points.select("key", *_ODD)), "key")
     more = confirmed(docs, points, _by_gram(grouped, _across, "a long, b long"), repeated)
     parts = checkpoint(connected_components(links.unionByName(more))).withColumnRenamed("node", "key")
     named = points.select("key").join(parts, "key", "left").select("key", F.coalesce("component", "key").alias("group"))
