@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.functions import source_facts as sf
+from arborlake.operators import waves
 from arborlake.session import table
 
 QUERIES, SQL = {}, {}
@@ -97,3 +98,21 @@ def _facts_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["source_fact_counts"] = _facts_by_type
 SQL["source_fact_counts"] = f"SELECT fact_type, count(DISTINCT source) AS sources, count(*) AS facts FROM ({SQL['source_facts']}) GROUP BY fact_type"
+
+
+def _first_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Documents from the shortest on, checked against their labels until twelve sources have one of good quality."""
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("valid")).distinct()
+    rows = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("size"))
+    found = waves.first_valid(rows, [F.col("size"), F.col("doc_id")], lambda some: some.join(good, "doc_id", "left"), 12, "source")
+    return found.select("doc_id", "place", "outcome")
+
+
+QUERIES["first_valid_documents"] = _first_valid
+SQL["first_valid_documents"] = """
+WITH c AS (SELECT doc_id, source, row_number() OVER (ORDER BY length(text), doc_id) AS place, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS ok FROM documents),
+f AS (SELECT source, min(place) AS first FROM c WHERE ok GROUP BY source),
+s AS (SELECT CASE WHEN (SELECT count(*) FROM f) >= 12 THEN (SELECT max(first) FROM (SELECT first FROM f ORDER BY first LIMIT 12)) ELSE 9000000000 END AS stop)
+SELECT doc_id, place, CASE WHEN place > stop THEN 'not_reached' WHEN place = first THEN 'selected' WHEN place > first THEN 'blocked' ELSE 'invalid' END AS outcome
+FROM c LEFT JOIN f USING (source), s
+"""
