@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arborlake.functions.text import norm_list
+from arborlake.sources.arrow_files import read_arrow
 
 #: The spellings of each column, the first that has a value wins.
 ALIASES = {
@@ -37,7 +38,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if suffix in ("csv", "tsv"):
         return spark.read.option("header", "true").option("sep", "\t" if suffix == "tsv" else ",").option("multiLine", "true").option("escape", '"').csv(path)
     if suffix in ("arrow", "feather"):
-        return _read_arrow(spark, path)
+        return read_arrow(spark, path)
     if suffix == "orc":
         return spark.read.orc(path)
     if suffix in ("parquet", "pq"):
@@ -50,29 +51,6 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mode", "DROPMALFORMED").json(path)
 
 
-def _read_arrow(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow files or streams, each read by the task that has it."""
-    import io
-
-    import pyarrow as pa
-
-    def tables(content: bytes):
-        try:
-            return pa.ipc.open_file(io.BytesIO(content)).read_all()
-        except pa.ArrowInvalid:
-            return pa.ipc.open_stream(io.BytesIO(content)).read_all()
-
-    files = spark.read.format("binaryFile").load(path)
-    empty = spark.createDataFrame(tables(bytes(files.select("content").first()["content"])).slice(0, 0))
-
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                yield from tables(content).to_batches(max_chunksize=10_000)
-
-    return files.select("content").mapInArrow(run, empty.schema)
-
-
 def present(c: Column, kind: T.DataType) -> Column:
     """The value as text; null if missing, blank, not a number or an empty list."""
     if isinstance(kind, (T.ArrayType, T.MapType)):
