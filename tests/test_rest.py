@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arborlake.operators import baseline, evaluate, rank, select, windows
 from arborlake.operators import graph as g
 from arborlake.plans import query_text
-from arborlake.streaming import events
+from arborlake.streaming import events, sink
 
 EVENTS = [("a", 1, "start", None), ("b", 2, "start", 1.0), ("a", 3, "error", 2.0), ("a", 5, None, 4.0), ("b", 4, "done", None), ("a", 6, "done", None)]
 
@@ -20,8 +20,7 @@ def test_stream_reduces_to_the_batch_snapshot(spark, tmp_path):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join([*lines, "{bad"]))
     stream = events.reduce_stream(events.read_events(spark, str(tmp_path / "in")).where("key IS NOT NULL"))
     events.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir() if p.name.isdigit())
-    got = {r["key"]: r.asDict() for r in spark.read.parquet(f"{tmp_path}/out/{last}").collect()}
+    got = {r["key"]: r.asDict() for r in sink.read_table(spark, str(tmp_path / "out")).collect()}
     batch = {r["key"]: r.asDict() for r in events.snapshot(spark.createDataFrame(EVENTS, events.EVENT_SCHEMA)).collect()}
     assert got == batch
     assert got["a"] == {"key": "a", "status": "done", "value": 4.0, "n": 4, "errors": 1, "last_seq": 6}
