@@ -29,9 +29,13 @@ class Batches(InputPartition):
     last: int | None = None
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
     # the files of a folder at any depth, in order of their names; hidden ones and those of other kinds are left out
-    store, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    store, inner = _store(path)
     info = store.get_file_info(inner)
     if info.type == fs.FileType.File:
         return store, [inner]
@@ -94,18 +98,14 @@ class ArrowReader(DataSourceReader):
             return [part for parts in pool.map(plan, files) for part in parts] or [Batches(files[0], 0, 0)]
 
     def read(self, partition: Batches) -> Iterator[pa.RecordBatch]:
-        store = _files(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        store = _store(self.path)[0]
         target = to_arrow_schema(self.wanted)
         with store.open_input_file(partition.path) as file:
             own = _open(file).schema
             file.seek(0)
             # only the buffers of wanted columns are read
             columns = [i for i, n in enumerate(own.names) if n in set(target.names)]
-            if columns:
-                options = pa.ipc.IpcReadOptions(included_fields=columns)
-            else:
-                options = None
-            reader = _open(file, options)
+            reader = _open(file, pa.ipc.IpcReadOptions(included_fields=columns) if columns else None)
             if isinstance(reader, pa.RecordBatchStreamReader):
                 batches = iter(reader)
             else:
@@ -117,6 +117,37 @@ class ArrowReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
 
+def write_arrow(df: DataFrame, path: str, compression: str = "zstd") -> int:
+    """df as Arrow files in a new folder, one a task, a record batch for each that Spark sends; the number of rows. A task that is run again replaces its file."""
+    ship(df.sparkSession)
+    schema = to_arrow_schema(df.schema)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        store, inner = _store(path)
+        store.create_dir(inner, recursive=True)
+        # written under a hidden name of the attempt, and shown when whole
+        hidden, name = f"{inner}/.{task.taskAttemptId()}.arrow", f"{inner}/part-{task.partitionId():06d}.arrow"
+        rows = 0
+        with store.open_output_stream(hidden) as sink, pa.ipc.new_file(sink, schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as out:
+            for batch in batches:
+                rows += batch.num_rows
+                out.write_batch(batch.cast(schema))
+        store.move(hidden, name)
+        yield pa.RecordBatch.from_pydict({"rows": [rows]})
+
+    total = df.mapInArrow(write, "rows long").agg({"rows": "sum"}).first()[0]
+    if total is None:
+        # no task ran: the schema is left in a file without rows
+        store, inner = _store(path)
+        store.create_dir(inner, recursive=True)
+        with store.open_output_stream(f"{inner}/part-000000.arrow") as sink, pa.ipc.new_file(sink, schema):
+            pass
+    return total or 0
+
+
 def read_arrow(spark: SparkSession, path: str, columns: list[str] | None = None, batches: int = 1) -> DataFrame:
     """Arrow files or streams at a path (a file or a folder, local or of a store that pyarrow knows). No content of a file comes to the driver but footers."""
     ship(spark)

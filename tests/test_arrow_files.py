@@ -6,7 +6,7 @@ import decimal
 import pyarrow as pa
 import pytest
 
-from arborlake.sources.arrow_files import ArrowReader, Batches, read_arrow
+from arborlake.sources.arrow_files import ArrowReader, Batches, read_arrow, write_arrow
 
 
 def write(path, table, rows=10, stream=False, compression=None):
@@ -59,3 +59,13 @@ def test_types_and_empty_tables(spark, tmp_path):
     assert {k: (v.asDict() if k == "m" else bytes(v) if k == "b" else v) for k, v in got[1].asDict().items()} == {**row, "k": "u"}
     write(tmp_path / "e.arrow", table.slice(0, 0))
     assert read_arrow(spark, str(tmp_path / "e.arrow")).collect() == []
+
+
+def test_written_files_are_read_again(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 3).selectExpr("id", "CASE WHEN id % 3 > 0 THEN concat('r', id) END AS name", "array(id, NULL) AS l", "timestamp_seconds(id) AS t")
+    assert write_arrow(rows, f"file:{tmp_path}/out") == 1000
+    got = read_arrow(spark, str(tmp_path / "out"))
+    assert got.exceptAll(rows).count() == rows.exceptAll(got).count() == 0
+    assert [p.name for p in sorted((tmp_path / "out").iterdir())] == [f"part-{i:06d}.arrow" for i in range(3)]
+    assert write_arrow(rows.limit(0), str(tmp_path / "none")) == 0
+    assert read_arrow(spark, str(tmp_path / "none")).count() == 0
