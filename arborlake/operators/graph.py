@@ -93,14 +93,19 @@ def adjacency(edges: DataFrame, direction: str = "both", types: Iterable[str] |
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int = 1, types: Iterable[str] | None = None, direction: str = "both") -> DataFrame:
+def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int = 1, types: Iterable[str] | None = None, direction: str = "both", nodes: DataFrame | None = None) -> DataFrame:
     """(target, node, depth): what each target's seeds (target, node) reach in at most depth steps, at its least depth.
 
+    With `nodes` (id), seeds that are none of them are left out; without, every seed counts as a node.
+
     Each step joins the frontier with the edges, by broadcast while both the frontier and what has been reached are
     small, by shuffle beyond that. The edges are read once a step, so give edges that are written out.
     """
     ways = adjacency(edges, direction, types).select("node", "other")
-    reached = checkpoint(seeds.select("target", "node").distinct().withColumn("depth", F.lit(0)))
+    start = seeds.select("target", "node").distinct()
+    if nodes is not None:
+        start = start.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").select("target", "node")
+    reached = checkpoint(start.withColumn("depth", F.lit(0)))
     frontier = reached
     for step in range(1, depth + 1):
         found = ways.join(broadcast_if_small(frontier.select("target", "node")), "node").select("target", F.col("other").alias("node")).distinct()

@@ -49,6 +49,12 @@ def prompt_score(kind: Column, relation: Column, function: Column, target: Colum
     return F.when(noise, -100).otherwise(score)
 
 
+def dedupe_key(kind: Column, function: Column, text: Column) -> Column:
+    """What copies of an item of evidence share: its kind, its function and its whole text, without regard to case and white space. Nulls count as empty."""
+    kind, function, text = (F.coalesce(c, F.lit("")) for c in (kind, function, text))
+    return F.md5(F.concat_ws("|", kind, function, F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))))
+
+
 def curate(rows: DataFrame, by: list[str], least: int = 20, limits: dict[str, int] | None = None, other: int = OTHER_LIMIT, most: int = 36, id_: str = "evidence_id") -> DataFrame:
     """Rows (score, key, role, id) of each group: scores of at least `least`, one row for each key, a quota for each role, `most` in all.
 
@@ -66,7 +72,7 @@ def curate(rows: DataFrame, by: list[str], least: int = 20, limits: dict[str, in
 
 
 def omitted(rows: DataFrame, kept: DataFrame, by: list[str], least: int = 20, id_: str = "evidence_id") -> DataFrame:
-    """(by, reason, n): why rows were left out: blank, low_relevance, or duplicate_or_limit."""
+    """(by, reason, n): why rows were left out: empty_text, low_relevance, or duplicate_or_limit."""
     left = rows.join(kept.select(*by, id_), [*by, id_], "left_anti")
     reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty_text").when(F.col("score") < least, "low_relevance").otherwise("duplicate_or_limit")
     return left.groupBy(*by, reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -158,10 +158,11 @@ def _(spark, d):
 
 @_query("tfidf_baseline")
 def _(spark, d):
-    """Quality of labelled documents, learned from the even ids and predicted for the odd ones."""
-    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("text").alias("code"), F.col("quality").alias("label"))
-    model = baseline.fit(rows.where("doc_id % 2 = 0"), max_iter=30)
-    return baseline.predict(model, rows.where("doc_id % 2 = 1").select("doc_id", "code")).drop("code")
+    """Quality of labelled documents, learned from those of even ids and predicted for all documents."""
+    documents = table(spark, d, "documents").select("doc_id", F.col("text").alias("code"))
+    rows = table(spark, d, "labels").join(documents, "doc_id").select("doc_id", "code", F.col("quality").alias("label"))
+    model = baseline.fit(rows.where("doc_id % 2 = 0"))
+    return baseline.predict(model, documents).drop("code")
 
 
 def corpus_view(spark: SparkSession, d: str) -> DataFrame:

@@ -155,11 +155,11 @@ def run(spark: SparkSession, graph: g.Graph, query: Query) -> tuple[Query, DataF
         return Query(kind, args, "no_results", "target not found"), None, None
     seeds = targets.select("target", F.col("target").alias("node"))
     if kind in ("function_context", "file_context"):
-        nodes = g.neighborhood(edges, seeds, depth)
+        nodes = g.neighborhood(edges, seeds, depth, nodes=graph.nodes)
         return _done(query, nodes.select("target", "node"), g.neighborhood_edges(edges, nodes, depth).select("edge_id"))
     if kind == "call_neighborhood":
         way = args.get("direction", "both")
-        nodes = g.neighborhood(edges, seeds, depth, g.CALL_EDGES, way)
+        nodes = g.neighborhood(edges, seeds, depth, g.CALL_EDGES, way, graph.nodes)
         return _done(query, nodes.select("target", "node"), g.neighborhood_edges(edges, nodes, depth, g.CALL_EDGES, way).select("edge_id"))
     if kind in ("callers", "callees"):
         nodes = getattr(g, kind)(edges, targets).unionByName(seeds)

@@ -70,11 +70,11 @@ def _(spark, d):
     return _lines(spark, d).withColumn("h", F.sha2(F.trim("code"), 256)).join(bench, "h").select("item_id", "doc_id", "idx").distinct()
 
 
-_EVIDENCE = f"{LINES}, e AS (SELECT source, doc_id * 1000 + idx AS evidence_id, lang AS role, md5(substr(code, 1, 40)) AS key, length(code) % 100 AS score, code AS text FROM l)"
+_EVIDENCE = rf"{LINES}, e AS (SELECT source, doc_id * 1000 + idx AS evidence_id, lang AS role, md5(concat_ws('|', coalesce(lang, ''), coalesce(source, ''), lower(trim(regexp_replace(coalesce(code, ''), '\s+', ' ', 'g'))))) AS key, length(code) % 100 AS score, code AS text FROM l)"
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).select("source", (F.col("doc_id") * 1000 + F.col("idx")).alias("evidence_id"), F.col("lang").alias("role"), F.md5(F.substring("code", 1, 40)).alias("key"), (F.length("code") % 100).alias("score"), F.col("code").alias("text"))
+    return _lines(spark, d).select("source", (F.col("doc_id") * 1000 + F.col("idx")).alias("evidence_id"), F.col("lang").alias("role"), rank.dedupe_key(F.col("lang"), F.col("source"), F.col("code")).alias("key"), (F.length("code") % 100).alias("score"), F.col("code").alias("text"))
 
 
 _CURATED = _EVIDENCE + """, a AS (SELECT *, row_number() OVER (PARTITION BY source, key ORDER BY score DESC, evidence_id) AS c FROM e WHERE score >= 20),

@@ -25,6 +25,12 @@ def test_make_graph_drops_copies_and_dangling_edges(triangle):
     assert triangle.edges.count() == 4
 
 
+def test_seeds_outside_the_graph_are_left_out(spark, triangle):
+    reached = g.neighborhood(triangle.edges, seeds(spark, "a", "absent"), 1, nodes=triangle.nodes)
+    assert {(r["target"], r["node"]) for r in reached.collect()} == {("a", "a"), ("a", "b"), ("a", "c")}
+    assert g.neighborhood(triangle.edges, seeds(spark, "absent"), 2, nodes=triangle.nodes).count() == 0
+
+
 def test_boundary_edges_are_not_followed(spark, triangle):
     reached = g.neighborhood(triangle.edges, seeds(spark, "a"), 1)
     assert {(r["node"], r["depth"]) for r in reached.collect()} == {("a", 0), ("b", 1), ("c", 1)}
