@@ -7,10 +7,13 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.operators.graph import Graph, degree, edge_id, type_counts
+from arborlake.session import checkpoint
+from arborlake.sources.dot_files import statements
 
 MAX_NODES, MAX_EDGES = 6_000, 24_000
 
@@ -77,11 +80,11 @@ def _alias(data: str, *names: str):
     return F.coalesce(*[of(n) for n in names])
 
 
-def read_graphml(spark: SparkSession, path: str, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, prefix: str = "cpg:") -> Graph:
-    """An exported GraphML graph, attributes under any of their usual names; the first max_nodes ids and max_edges edges among them."""
+def read_graphml(spark: SparkSession, path: str, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, prefix: str = "cpg:", files: str = "*") -> Graph:
+    """An exported GraphML graph, of one file or of the files under a folder whose names fit `files`, attributes under any of their usual names; the first max_nodes ids and max_edges edges among them."""
     data = "data array<struct<_key:string,_VALUE:string>>"
-    nodes = spark.read.schema(f"_id string, {data}").option("rowTag", "node").format("xml").load(path)
-    edges = spark.read.schema(f"_id string, _source string, _target string, {data}").option("rowTag", "edge").format("xml").load(path)
+    some = lambda tag, schema: spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", files).option("rowTag", tag).format("xml").load(path)
+    nodes, edges = some("node", f"_id string, {data}"), some("edge", f"_id string, _source string, _target string, {data}")
     kind = F.coalesce(_alias("data", "labelV", "label", "type"), F.lit("UNKNOWN"))
     n = nodes.select(
         F.concat(F.lit(prefix), "_id").alias("id"), F.lit("JoernCPGNode").alias("type"), F.substring_index(kind, "|", 1).alias("label"), _alias("data", "NAME", "name", "METHOD_FULL_NAME").alias("name"),
@@ -98,55 +101,60 @@ _DOT_EDGE = re.compile(rf"^\s*({_DOT_ID})\s*->\s*({_DOT_ID})\s*(?:\[(.*)\])?\s*$
 _DOT_NODE = re.compile(rf"^\s*({_DOT_ID})\s*\[(.*)\]\s*$", re.S)
 
 
-def _dot_statements(text: str) -> Iterator[str]:
-    """Statements of a DOT file: cut at semicolons, newlines and braces that stand outside quotes and square brackets."""
-    start, quoted, depth, i = 0, False, 0, 0
-    while i < len(text):
-        c = text[i]
-        if quoted:
-            i += c == "\\"
-            quoted = c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "[]":
-            depth += 1 if c == "[" else -1
-        elif c in ";\n{}" and depth <= 0:
-            yield text[start:i]
-            start = i + 1
-        i += 1
-    yield text[start:]
-
-
-def parse_dot(text: str) -> list[tuple]:
-    """(what, id, other, label, name, code, line) for the nodes and edges of a DOT text."""
+def parse_dot(statement: str) -> tuple | None:
+    """(what, id, other, label, name, code, line) of the node or edge that a DOT statement makes."""
     clean = lambda x: x[1:-1].replace('\\"', '"') if x.startswith('"') else x
-    out = []
-    for statement in _dot_statements(text):
-        if m := _DOT_EDGE.match(statement):
-            attrs = {k.lower(): clean(v) for k, v in _DOT_ATTRIBUTE.findall(m[3] or "")}
-            out.append(("edge", clean(m[1]), clean(m[2]), attrs.get("label", "EDGE"), None, None, None))
-        elif (m := _DOT_NODE.match(statement)) and clean(m[1]) not in ("node", "edge", "graph"):
-            attrs = {k.lower(): clean(v) for k, v in _DOT_ATTRIBUTE.findall(m[2])}
-            line = attrs.get("line_number", "")
-            out.append(("node", clean(m[1]), None, attrs.get("label", "UNKNOWN"), attrs.get("name"), attrs.get("code"), int(line) if line.isdigit() else None))
-    return out
+    if m := _DOT_EDGE.match(statement):
+        attrs = {k.lower(): clean(v) for k, v in _DOT_ATTRIBUTE.findall(m[3] or "")}
+        return "edge", clean(m[1]), clean(m[2]), attrs.get("label", "EDGE"), None, None, None
+    if (m := _DOT_NODE.match(statement)) and clean(m[1]) not in ("node", "edge", "graph"):
+        attrs = {k.lower(): clean(v) for k, v in _DOT_ATTRIBUTE.findall(m[2])}
+        line = attrs.get("line_number", "")
+        return "node", clean(m[1]), None, attrs.get("label", "UNKNOWN"), attrs.get("name"), attrs.get("code"), int(line) if line.isdigit() else None
+    return None
 
 
-def read_dot(spark: SparkSession, path: str, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, prefix: str = "cpg:") -> Graph:
-    """Exported DOT files, each parsed by the task that has it."""
-    files = spark.read.text(path, wholetext=True)
+def dot_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(what, id, other, label, name, code, line) of all nodes and edges in the DOT files under a path, which are read by splits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [r for text in frame["value"] for r in parse_dot(text)]
+            rows = [r for text in frame["text"] if (r := parse_dot(text))]
             yield pd.DataFrame(rows, columns=["what", "id", "other", "label", "name", "code", "line"]).astype({"line": "Int32"})
 
-    rows = files.mapInPandas(run, "what string, id string, other string, label string, name string, code string, line int")
+    return statements(spark, path).mapInPandas(run, "what string, id string, other string, label string, name string, code string, line int")
+
+
+def read_dot(spark: SparkSession, path: str, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, prefix: str = "cpg:") -> Graph:
+    """The graph of exported DOT files: the first max_nodes ids and max_edges edges among them."""
+    rows = checkpoint(dot_rows(spark, path))
     n = rows.where("what = 'node'").select(F.concat(F.lit(prefix), "id").alias("id"), F.lit("JoernCPGNode").alias("type"), "label", "name", F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("function"), F.col("line").alias("line_start"), "code")
     e = rows.where("what = 'edge'").select(F.concat(F.lit(prefix), "id").alias("src"), F.concat(F.lit(prefix), "other").alias("dst"), F.concat(F.lit("JOERN_"), F.upper("label")).alias("type"))
     return _capped(n, e, max_nodes, max_edges)
 
 
+def read_export(spark: SparkSession, path: str, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES, prefix: str = "cpg:") -> Graph:
+    """An export folder of any depth: its GraphML files (graphml, xml), or its DOT files if it has none; a folder with neither, or none, gives an empty graph."""
+    names = lambda *ends: [f"*.{e}" for e in ends]
+
+    def found(pattern: str) -> bool:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+        try:
+            return not files.load(path).select("path").limit(1).isEmpty()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+
+    ml = [p for p in names("graphml", "xml") if found(p)]
+    if ml:
+        return read_graphml(spark, path, max_nodes, max_edges, prefix, "*.{graphml,xml}")
+    if found("*.dot"):
+        return read_dot(spark, path, max_nodes, max_edges, prefix)
+    empty = spark.createDataFrame([], "id string, type string, label string, name string, file string, function string, line_start int, code string")
+    return Graph(empty, spark.createDataFrame([], "edge_id string, src string, dst string, type string"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, order: list[str], limit: int | None = None) -> DataFrame:
     """old and new rows as one index: of each key the row of new, in the given order."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
