@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.plans import answer_queries, code_queries, definition_queries, export_queries, graph_queries, more_queries, outline_queries, pack_queries, rule_queries, source_queries, stream_queries, table_queries, text_queries
+from arborlake.plans import answer_queries, code_queries, definition_queries, export_queries, graph_queries, more_queries, outline_queries, pack_queries, rule_queries, source_queries, stream_queries, symbol_queries, table_queries, text_queries
 
-MODULES = (graph_queries, table_queries, more_queries, rule_queries, code_queries, text_queries, source_queries, answer_queries, stream_queries, definition_queries, pack_queries, outline_queries, export_queries)
+MODULES = (graph_queries, table_queries, more_queries, rule_queries, code_queries, text_queries, source_queries, answer_queries, stream_queries, definition_queries, pack_queries, outline_queries, export_queries, symbol_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
