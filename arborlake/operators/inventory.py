@@ -44,7 +44,11 @@ def candidate_order(usable: Column, score: Column, *rest: Column) -> list[Column
 
 
 def load_candidates(pairs: DataFrame, excluded: Column, order: list[Column], limit: int) -> DataFrame:
-    """(sample_id, place): the first `limit` pairs that are not excluded, flattened to distinct samples in pair order, vulnerable before fixed."""
+    """(sample_id, place): the first `limit` pairs that are not excluded, flattened to distinct samples in pair order, vulnerable before fixed.
+
+    Pairs that are equal in all of order follow their ids, so reruns agree.
+    """
+    order = [*order, F.asc_nulls_last("vulnerable_id"), F.asc_nulls_last("fixed_id")]
     chosen = pairs.where(~F.coalesce(excluded, F.lit(False))).orderBy(*order).limit(limit)
     ranked = chosen.withColumn("_pair", F.row_number().over(Window.orderBy(*order)))
     flat = ranked.select("_pair", F.posexplode(F.array("vulnerable_id", "fixed_id")).alias("_side", "sample_id"))

@@ -116,9 +116,18 @@ def next_boundary(rows: DataFrame, by: list[str], order: list[str], value: str,
 
 
 def range_join(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, stop: str, most: int, order: list[Column], point_id: str) -> DataFrame:
-    """Points with up to `most` spans of the same key that hold them, both ends included, in the given order."""
-    joined = points.join(spans, key).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(stop)))
-    return joined.withColumn("place", F.row_number().over(Window.partitionBy(point_id).orderBy(*order))).where(F.col("place") <= most)
+    """Points with up to `most` spans of the same key that hold them, both ends included, in the given order.
+
+    Only different places meet, and of spans with the same ends only the first `most`: points of one place have the same spans. Rows of one point_id share
+    their `most` spans, so these are counted anew over the point's places.
+    """
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    few = spans.withColumn("place", best(key, start, stop)).where(F.col("place") <= most).drop("place")
+    spots = points.select(key, at).where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct()
+    held = spots.join(few, key).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(stop)))
+    held = held.withColumn("place", best(key, at)).where(F.col("place") <= most).drop("place")
+    joined = points.join(held, [key, at])
+    return joined.withColumn("place", best(point_id)).where(F.col("place") <= most)
 
 
 def nearest_declaration(uses: DataFrame, declarations: DataFrame, key: list[str], use_id: str, line: str) -> DataFrame:
