@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from arborlake.functions import outline as o
 from arborlake.operators import symbols
 from arborlake.plans.outline_queries import _functions
-from arborlake.session import checkpoint
+from arborlake.session import written
 
 QUERIES, SQL = {}, {}
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(statements, variables, functions) of the orders' functions; the file of each is the order's key."""
-    rows = checkpoint(o.outline(_functions(spark, d).select(F.col("o_orderkey").cast("string").alias("path"), "text")))
+    rows = written(o.outline(_functions(spark, d).select(F.col("o_orderkey").cast("string").alias("path"), "text")))
     functions = rows.where("idx = -1")
     named = functions.select("file", "fn", F.explode(o.parameters(F.col("signature"))).alias("name"), "line", F.lit(-1).alias("idx"))
     local = rows.where("idx >= 0").select("file", "fn", o.declared(F.col("code")).alias("name"), "line", "idx").where("name IS NOT NULL")
