@@ -1,6 +1,7 @@
 """What operators make on the way grows with their input, not with the square of a group."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborlake.operators import graph as g
@@ -61,3 +62,84 @@ def test_equal_pairs_follow_their_ids(spark):
         pairs = spark.createDataFrame(order, "pair int, vulnerable_id int, fixed_id int").coalesce(1)
         found.append({(r["sample_id"], r["place"]) for r in inventory.load_candidates(pairs, F.lit(False), [F.asc("pair")], 2).collect()})
     assert found[0] == found[1] == {(2, 1), (8, 2), (3, 3), (5, 4)}
+
+
+def sent(df):
+    """The most rows that one exchange of the plan sends."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        df.collect()
+        most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            at = todo.pop()
+            made = at.metrics().get("shuffleRecordsWritten")
+            most = max(most, made.get().value()) if made.isDefined() else most
+            todo += [at.children().apply(i) for i in range(at.children().size())]
+        return most
+    finally:
+        df.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_facts_of_a_name_meet_its_functions_without_an_exchange(spark, crowd, targets):
+    facts = g.semantic_facts(crowd, targets)
+    # 300 facts, the 300 statements they are about, and the function itself
+    assert facts.count() == facts.distinct().count() == 300 * 601
+    assert sent(facts) < 10_000
+
+
+def test_a_target_of_several_names_has_its_facts_once(spark):
+    nodes = spark.createDataFrame([("k1", "SemanticFact", "f"), ("k2", "SemanticFact", "h"), ("s", "Statement", "f")], "id string, type string, function string")
+    edges = spark.createDataFrame([("s", "k1", "HAS_SEMANTIC_FACT"), ("s", "k2", "HAS_SEMANTIC_FACT")], "src string, dst string, type string")
+    wanted = spark.createDataFrame([("t", "f"), ("t", "h"), ("t", "h"), ("u", "h"), ("v", None)], "target string, name string")
+    found = sorted((r["target"], r["node"]) for r in g.semantic_facts(g.make_graph(nodes, edges), wanted).collect())
+    assert found == [("t", "k1"), ("t", "k2"), ("t", "s"), ("t", "t"), ("u", "k2"), ("u", "s"), ("u", "u"), ("v", "v")]
+
+
+@pytest.fixture
+def rows_written(monkeypatch):
+    """Rows of each table that is written on the way."""
+    rows, real = [], g.written
+
+    def count(df):
+        out = real(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(g, "written", count)
+    monkeypatch.setattr(lookup, "written", count)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def hub(spark):
+    """100 functions that call one, which calls another; a line of two more after it."""
+    n = spark.range(100).select(F.format_string("f%03d", "id").alias("id"))
+    nodes = n.unionByName(spark.createDataFrame([(i,) for i in ("h", "y", "z")], "id string")).withColumn("type", F.lit("Function"))
+    edges = n.select(F.col("id").alias("src"), F.lit("h").alias("dst")).unionByName(spark.createDataFrame([("h", "y"), ("y", "z")], "src string, dst string")).withColumn("type", F.lit("CALLS"))
+    made = g.make_graph(nodes, edges)
+    return g.Graph(made.nodes.localCheckpoint(), made.edges.localCheckpoint())
+
+
+def test_many_sources_of_one_goal_are_one_search(spark, hub, rows_written):
+    pairs = hub.nodes.select(F.col("id").alias("source"), F.lit("z").alias("goal"))
+    lengths = {r["source"]: r["length"] for r in g.path_lengths(hub.edges, pairs).collect()}
+    assert lengths == {f"f{i:03d}": 3 for i in range(100)} | {"h": 2, "y": 1, "z": 0}
+    assert max(rows_written) <= 103
+
+
+@pytest.mark.parametrize(("direction", "most"), [("both", None), ("out", 2), ("in", 1)])
+def test_lengths_are_those_of_the_paths(spark, hub, direction, most):
+    few = spark.createDataFrame([("f001", "z"), ("f001", "f002"), ("z", "h"), ("y", "y"), ("h", "f003"), ("h", "none")], "source string, goal string")
+    paths = g.shortest_paths(hub.edges, few, most, direction=direction).groupBy("source", "goal").agg(F.max("step").alias("length"))
+    of = lambda df: {(r["source"], r["goal"], r["length"]) for r in df.collect()}
+    assert of(g.path_lengths(hub.edges, few, most, direction=direction)) == of(paths)
+
+
+def test_nearest_nodes_keep_to_their_limit_on_the_way(spark, hub, rows_written):
+    targets = hub.nodes.select(F.col("id").alias("target"))
+    found = {(r["target"], r["node"], r["depth"]) for r in lookup.reached_set(hub, targets, 3, 5).collect()}
+    assert max(rows_written) <= 103 * 10
+    order = F.row_number().over(Window.partitionBy("target").orderBy("depth", "node"))
+    whole = g.neighborhood(hub.edges, targets.withColumn("node", F.col("target")), 3).withColumn("p", order).where("p <= 5")
+    assert found == {(r["target"], r["node"], r["depth"]) for r in whole.collect()}
