@@ -143,3 +143,11 @@ def test_nearest_nodes_keep_to_their_limit_on_the_way(spark, hub, rows_written):
     order = F.row_number().over(Window.partitionBy("target").orderBy("depth", "node"))
     whole = g.neighborhood(hub.edges, targets.withColumn("node", F.col("target")), 3).withColumn("p", order).where("p <= 5")
     assert found == {(r["target"], r["node"], r["depth"]) for r in whole.collect()}
+
+
+def test_guards_meet_one_row_of_their_function(spark):
+    rows = [("f", "a", 1, True, False), ("f", "b", 2, False, True), ("f", "c", 2, True, True), ("f", "d", 3, True, False), (None, "e", 1, True, False), (None, "x", 4, False, True), ("h", "y", 1, True, False)]
+    statements = spark.createDataFrame(rows, "function string, id string, line int, guard boolean, sink boolean")
+    found = lookup.guard_dominance(statements, F.col("guard"), F.col("sink"))
+    assert {(r["function"], r["id"]) for r in found.collect()} == {("f", "a"), ("f", "c"), (None, "e")}
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
