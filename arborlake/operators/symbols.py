@@ -30,12 +30,19 @@ def _calls(calls: Column, names: tuple[str, ...]) -> Column:
     return F.arrays_overlap(calls, F.array(*map(F.lit, names)))
 
 
-def _seen(statements: DataFrame, requests: DataFrame) -> DataFrame:
-    """Statements of each request's function, with `text`, where the symbol is a mark. A symbol that is null or no identifier has no statement."""
-    rows = requests.where(F.col("symbol").rlike(r"^[A-Za-z_]\w*$")).select("request", "file", "fn", "symbol", "source_line").join(statements.select("file", "fn", "idx", "line", "code"), ["file", "fn"])
+def _asked(requests: DataFrame) -> DataFrame:
+    """Requests whose symbol is an identifier; another one has no statement."""
+    return requests.where(F.col("symbol").rlike(r"^[A-Za-z_]\w*$")).select("request", "file", "fn", "symbol", "source_line")
+
+
+def _seen(statements: DataFrame, requests: DataFrame, **more: Column) -> DataFrame:
+    """Statements of each request's function that hold its symbol, with `text`, where the symbol is a mark. Words, calls and the columns of `more` are found once a statement, before it meets the requests."""
+    words = F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z0-9_]+"), 0))
+    rows = statements.select("file", "fn", "idx", "line", "code", o.called(F.col("code")).alias("calls"), words.alias("_words"), *[c.alias(n) for n, c in more.items()])
+    asked = _asked(requests).withColumnsRenamed({"file": "_file", "fn": "_fn"})
+    same = (F.col("file") == F.col("_file")) & (F.col("fn") == F.col("_fn")) & F.array_contains("_words", F.col("symbol"))
     word = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), F.col("symbol"), F.lit(r"(?![A-Za-z0-9_])"))
-    rows = rows.withColumn("text", F.regexp_replace(F.col("code"), word, F.lit(_AT)))
-    return rows.withColumns({"has": F.contains("text", F.lit(_AT)), "calls": o.called(F.col("code"))})
+    return rows.join(asked, same).drop("_file", "_fn", "_words").withColumn("text", F.regexp_replace(F.col("code"), word, F.lit(_AT)))
 
 
 def category(text: Column, code: Column, calls: Column, defines: Column) -> Column:
@@ -59,14 +66,19 @@ def variable_statements(statements: DataFrame, variables: DataFrame, requests: D
     the name is declared again, and for an inner declaration at the next closing brace. A variable itself is an item of idx -1. Each statement counts
     in its first category, each category shows a fixed number and a request 18. A name that the function does not declare gives nothing.
     """
-    rows = _seen(statements, requests)
     again = rf"(?:^|[;{{]\s*)\s*(?:[A-Za-z_]\w*\s+)+[*\s]+{_AT}(?:\s*\[[^\]]*\])?\s*[=;,]"
-    like = F.regexp_replace("text", "\n", " ").rlike(again)
     # a declaration is one of the unmarked code, as its name has to be an identifier
-    rows = rows.withColumns({"again": like, "defines": F.coalesce(o.declared(F.col("code")) == F.col("symbol"), F.lit(False))})
-    named = requests.select("request", "file", "fn", "symbol", "source_line").join(variables.select("file", "fn", F.col("name").alias("symbol"), "line"), ["file", "fn", "symbol"])
-    own = named.select("request", "file", "fn", "symbol", "source_line", F.lit(-1).alias("idx"), "line", F.col("symbol").alias("code"), F.lit(_AT).alias("text"), F.lit(False).alias("has"), F.array().cast("array<string>").alias("calls"), F.lit(False).alias("again"), F.lit(False).alias("defines"))
-    rows = rows.unionByName(own)
+    seen = _seen(statements, requests, declared=o.declared(F.col("code"))).withColumn("defines", F.coalesce(F.col("declared") == F.col("symbol"), F.lit(False)))
+    kind = category(F.col("text"), F.col("code"), F.col("calls"), F.col("defines"))
+    shown = ("request", "source_line", "idx", "line", "code")
+    rows = seen.select(*shown, F.translate("text", "\n", " ").rlike(again).alias("again"), "defines", kind.alias("kind"), F.lit(False).alias("closes"))
+    no = [F.lit(False).alias("again"), F.lit(False).alias("defines"), F.lit(None).cast("string").alias("kind")]
+    # a variable itself, and the braces that may end a declaration, hold no symbol
+    own = requests.select("request", "file", "fn", "symbol", "source_line").join(variables.select("file", "fn", F.col("name").alias("symbol"), "line"), ["file", "fn", "symbol"])
+    own = own.select("request", "source_line", F.lit(-1).alias("idx"), "line", F.col("symbol").alias("code"), *no, F.lit(False).alias("closes"))
+    braces = statements.where(F.ltrim("code").startswith("}")).select("file", "fn", "idx", "line").join(_asked(requests).where("source_line IS NOT NULL"), ["file", "fn"])
+    braces = braces.select("request", "source_line", "idx", "line", F.lit(None).cast("string").alias("code"), *no, F.lit(True).alias("closes"))
+    rows = rows.unionByName(own).unionByName(braces).withColumn("has", F.col("kind").isNotNull())
     whole = Window.partitionBy("request")
     is_declaration = (F.col("idx") == -1) | F.col("again") | F.col("defines")
     before = F.max(F.when(is_declaration & (F.col("line") <= F.col("source_line")), F.col("line"))).over(whole)
@@ -75,15 +87,15 @@ def variable_statements(statements: DataFrame, variables: DataFrame, requests: D
     inner = (F.col("source_line") >= F.col("declared_line")) & F.coalesce(F.max(F.col("again") & (F.col("line") < F.col("declared_line"))).over(whole), F.lit(False))
     rows = rows.withColumns({
         "stop_line": F.min(F.when(F.col("again") & later, F.col("line"))).over(whole),
-        "stop_idx": F.min(F.when(F.coalesce(inner, F.lit(False)) & later & F.ltrim("code").startswith("}"), F.col("idx"))).over(whole),
+        "stop_idx": F.min(F.when(F.coalesce(inner, F.lit(False)) & later & F.col("closes"), F.col("idx"))).over(whole),
     })
     inside = F.col("has") & (F.col("line") >= F.col("declared_line")) & F.coalesce(F.col("line") < F.col("stop_line"), F.lit(True)) & F.coalesce(F.col("idx") < F.col("stop_idx"), F.lit(True))
     rows = rows.withColumn("inside", inside).withColumn("any", F.max("inside").over(whole))
     declares = is_declaration & (F.col("line") == F.col("declared_line"))
-    kind = F.when(declares, "declaration").when(F.col("inside") | (~F.col("any") & F.col("has")), category(F.col("text"), F.col("code"), F.col("calls"), F.col("defines")))
+    named = F.when(declares, "declaration").when(F.col("inside") | (~F.col("any") & F.col("has")), F.col("kind"))
     rank = F.create_map(*[F.lit(x) for i, (c, _) in enumerate(CATEGORIES) for x in (c, i)])
     most = F.create_map(*[F.lit(x) for c, n in CATEGORIES for x in (c, n)])
-    rows = rows.withColumn("category", kind).where("category IS NOT NULL").withColumns({"rank": rank[F.col("category")], "most": most[F.col("category")]})
+    rows = rows.withColumn("category", named).where("category IS NOT NULL").withColumns({"rank": rank[F.col("category")], "most": most[F.col("category")]})
     shown = rows.withColumn("n", F.row_number().over(Window.partitionBy("request", "rank").orderBy("idx", "line"))).where("n <= most")
     shown = shown.withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy("rank", "idx", "line"))).where(F.col("place") <= MOST)
     return shown.select("request", "place", "category", "idx", "line", "code", "declared_line")
@@ -95,7 +107,7 @@ def flagged_statements(statements: DataFrame, requests: DataFrame, kind: str, mo
     requests as above; a null symbol takes every such statement, else those that hold the symbol.
     """
     any_ = requests.where("symbol IS NULL").select("request", "file", "fn").join(statements.select("file", "fn", "idx", "line", "code"), ["file", "fn"])
-    rows = any_.withColumn("calls", o.called(F.col("code"))).select("request", "idx", "line", "code", "calls").unionByName(_seen(statements, requests).where("has").select("request", "idx", "line", "code", "calls"))
+    rows = any_.withColumn("calls", o.called(F.col("code"))).select("request", "idx", "line", "code", "calls").unionByName(_seen(statements, requests).select("request", "idx", "line", "code", "calls"))
     guard = is_safety(F.col("code")) | F.exists(F.array(*map(F.lit, GUARDS)), lambda w: F.contains(F.col("code"), w))
     risk = _calls(F.col("calls"), tuple(api for api, _ in RISKY_APIS)) | _calls(F.col("calls"), WRITES + SENDS)
     order = Window.partitionBy("request").orderBy("idx")

@@ -15,10 +15,12 @@ QUERIES, SQL = {}, {}
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(statements, variables, functions) of the orders' functions; the file of each is the order's key."""
-    rows = written(o.outline(_functions(spark, d).select(F.col("o_orderkey").cast("string").alias("path"), "text")))
+    rows = o.outline(_functions(spark, d).select(F.col("o_orderkey").cast("string").alias("path"), "text"))
+    # declared names are found once a statement and written with it
+    rows = written(rows.withColumn("declared", F.when(F.col("idx") >= 0, o.declared(F.col("code")))))
     functions = rows.where("idx = -1")
     named = functions.select("file", "fn", F.explode(o.parameters(F.col("signature"))).alias("name"), "line", F.lit(-1).alias("idx"))
-    local = rows.where("idx >= 0").select("file", "fn", o.declared(F.col("code")).alias("name"), "line", "idx").where("name IS NOT NULL")
+    local = rows.where("idx >= 0").select("file", "fn", F.col("declared").alias("name"), "line", "idx").where("name IS NOT NULL")
     variables = named.unionByName(local).groupBy("file", "fn", "name").agg(F.min_by("line", "idx").alias("line"))
     return rows.where("idx >= 0"), variables, functions
 

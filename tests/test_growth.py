@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arborlake.operators import graph as g
-from arborlake.operators import inventory, lookup, windows
+from arborlake.operators import inventory, lookup, symbols, windows
 
 
 def most_rows(spark, make):
@@ -184,3 +184,14 @@ def test_bodies_of_several_names_and_shared_nodes(spark):
     kept, edges = g.risk_slice(graph, functions.where("target <> 'x'").select("target", "name"), ["memcpy"])
     plain = g.induced_edges(graph.edges, kept)
     assert edges.exceptAll(plain.select(edges.columns)).isEmpty() and plain.select(edges.columns).exceptAll(edges).isEmpty() and edges.count() > 0
+
+
+def test_statements_are_read_once_for_all_names_of_a_function(spark):
+    """100 statements, of which one holds a name, meet 100 requests: only what holds a request's name goes on."""
+    n = spark.range(100)
+    statements = n.select(F.lit("a.c").alias("file"), F.lit(0).alias("fn"), F.col("id").cast("int").alias("idx"), F.col("id").cast("int").alias("line"), F.format_string("int v%d = 1;", "id").alias("code")).localCheckpoint()
+    requests = n.select(F.format_string("r%d", "id").alias("request"), F.lit("a.c").alias("file"), F.lit(0).alias("fn"), F.format_string("v%d", "id").alias("symbol"), F.lit(None).cast("int").alias("source_line")).localCheckpoint()
+    variables = n.select(F.lit("a.c").alias("file"), F.lit(0).alias("fn"), F.format_string("v%d", "id").alias("name"), F.col("id").cast("int").alias("line")).localCheckpoint()
+    found = symbols.variable_statements(statements, variables, requests)
+    assert sent(found) < 1_000
+    assert {(r["request"], r["place"], r["idx"]) for r in found.collect()} == {(f"r{i}", p, idx) for i in range(100) for p, idx in ((1, -1), (2, i))}
