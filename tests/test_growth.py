@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arborlake.operators import graph as g
 from arborlake.operators import inventory, lookup, symbols, windows
+from arborlake.sources import outline_graph
 
 
 def most_rows(spark, make):
@@ -195,3 +196,14 @@ def test_statements_are_read_once_for_all_names_of_a_function(spark):
     found = symbols.variable_statements(statements, variables, requests)
     assert sent(found) < 1_000
     assert {(r["request"], r["place"], r["idx"]) for r in found.collect()} == {(f"r{i}", p, idx) for i in range(100) for p, idx in ((1, -1), (2, i))}
+
+
+def test_edges_are_distinct_before_they_are_multiplied(spark):
+    """Calls to functions of a name go through no exchange after they met them, and edges of shared statement ids stay one each."""
+    calls = "".join(f" n{i}();\n" for i in range(5))
+    same = "int f(int a) {\n int v = a;\n}\n"
+    files = [(f"a{i:02}.c", "".join(f"int n{j}(void) {{\n{calls}}}\n" for j in range(5))) for i in range(20)] + [("x.c", same + same), ("x.c", same), ("y:z.c", same)]
+    graph = outline_graph.build(spark.createDataFrame(files, "path string, text string"))
+    assert sent(graph.edges) < 5_000
+    rows = graph.edges.select("src", "dst", "type")
+    assert rows.count() == rows.distinct().count() and graph.edges.where("type = 'CALLS' AND src LIKE 'function:a%'").count() == 100 * 100
