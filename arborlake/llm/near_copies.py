@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from arborlake.llm.components import connected_components
 from arborlake.llm.simhash import RADIUS, SEED, _mark, majority, one_of_each, shard_links, shingle_hashes
 from arborlake.llm.texts import give_back, keep_marked, map_texts
-from arborlake.session import broadcast_if_small, checkpoint
+from arborlake.session import broadcast_if_small, written
 
 SHINGLE = 5
 #: The similarity as a fraction, so that all comparisons are of whole numbers.
@@ -169,7 +169,7 @@ def _common(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """
     shingles = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
     shift = 32 - min(24, max(0, int(np.ceil(np.log2(max(shingles, 1) / PART)))))
-    counted = checkpoint(_counts(docs, shift).withColumn("level", F.floor(4 * F.log2("n"))))
+    counted = written(_counts(docs, shift).withColumn("level", F.floor(4 * F.log2("n"))))
     level, total = 1 << 10, 0
     for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
         total += row["count"]
@@ -233,10 +233,12 @@ def _by_gram(rows: DataFrame, solve, schema: str) -> DataFrame:
 
 
 def _shared(frame: pd.DataFrame) -> pd.DataFrame:
-    """The rows whose gram has another key, once each, with the smallest key of the gram."""
+    """The rows whose gram has another key, once each, with the smallest key of the gram, and whether sizes and places leave the two similar if the gram is the first that they share."""
     frame = frame.drop_duplicates(["gram", "key"])
-    frame = frame[frame["gram"].duplicated(keep=False)]
-    return frame.assign(first=frame.groupby("gram")["key"].transform("min"))
+    frame = frame[frame["gram"].duplicated(keep=False)].sort_values(["gram", "key"], kind="stable")
+    least = frame.groupby("gram")[["key", "size", "pos"]].transform("first")
+    both = np.minimum(frame["size"] - frame["pos"], least["size"] - least["pos"])
+    return frame.assign(first=least["key"], fit=similar(frame["size"], least["size"], both))
 
 
 def _not_far(points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -294,16 +296,16 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
 
 def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
     """The pairs (a, b) of keys whose whole sets are similar. points names a row (at) for each key; repeated says whether rows are."""
-    pairs = checkpoint(_not_far(points, pairs))
+    pairs = written(_not_far(points, pairs))
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = points.join(keys, "key", "left_semi").select(F.col("at.doc_id").alias("_id"), F.col("at.mark").alias("_mark")).distinct()
-    wanted = broadcast_if_small(checkpoint(wanted), MOST)
+    wanted = broadcast_if_small(written(wanted), MOST)
     rows = docs.withColumn("mark", _mark())
     sets = _sets(rows.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi"))
-    sets = checkpoint(sets.dropDuplicates(["key"]) if repeated else sets)
+    sets = written(sets.dropDuplicates(["key"]) if repeated else sets)
 
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-    return checkpoint(both.where(similar(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")))).select("a", "b"))
+    return written(both.where(similar(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")))).select("a", "b"))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -312,24 +314,24 @@ def components(docs: DataFrame) -> DataFrame:
     Texts without a word are copies of each other. A doc_id with several texts has each in the group of that text.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    rows = checkpoint(prints(docs))
-    points = checkpoint(rows.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *[F.first(x).alias(x) for x in ("fp", "size", "vector", *_ODD)]))
+    rows = written(prints(docs))
+    points = written(rows.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("at"), *[F.first(x).alias(x) for x in ("fp", "size", "vector", *_ODD)]))
     repeated = not rows.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
     postings = rows.select("key", "size", F.posexplode("prefix").alias("pos", "gram"))
-    shared = checkpoint(_by_gram(postings, _shared, "key long, size long, pos int, gram long, first long"))
+    shared = written(_by_gram(postings, _shared, "key long, size long, pos int, gram long, first long, fit boolean"))
     # one key for each fingerprint stands for it in the trees, and is a candidate for the fingerprint's other keys
-    leaders = checkpoint(points.groupBy("fp").agg(F.min("key").alias("id")))
+    leaders = written(points.groupBy("fp").agg(F.min("key").alias("id")))
     near = shard_links(leaders, RADIUS).unionByName(points.select("key", "fp").join(leaders.repartition("fp", "id"), "fp").select(F.col("key").alias("a"), F.col("id").alias("b")))
-    pairs = near.unionByName(shared.select(F.col("first").alias("a"), F.col("key").alias("b"))).where("a <> b")
+    pairs = near.unionByName(shared.where("fit").select(F.col("first").alias("a"), F.col("key").alias("b"))).where("a <> b")
     links = confirmed(docs, points, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), repeated)
     parts = connected_components(links).withColumnRenamed("node", "key")
-    grouped = shared.drop("first").join(parts.repartition("component", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    grouped = shared.drop("first", "fit").join(parts.repartition("component", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     # only grams that several components share make pairs, and only their rows need parities
-    grouped = checkpoint(grouped)
+    grouped = written(grouped)
     mixed = grouped.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    grouped = grouped.join(broadcast_if_small(checkpoint(mixed)), "gram", "left_semi").join(broadcast_if_small(points.select("key", *_ODD)), "key")
+    grouped = grouped.join(broadcast_if_small(written(mixed)), "gram", "left_semi").join(broadcast_if_small(points.select("key", *_ODD)), "key")
     more = confirmed(docs, points, _by_gram(grouped, _across, "a long, b long"), repeated)
-    parts = checkpoint(connected_components(links.unionByName(more))).withColumnRenamed("node", "key")
+    parts = written(connected_components(links.unionByName(more))).withColumnRenamed("node", "key")
     named = points.select("key").join(parts, "key", "left").select("key", F.coalesce("component", "key").alias("group"))
     return rows.select("doc_id", "mark", "key").join(named.repartition("group", "key"), "key").select("doc_id", "mark", "group")
 
