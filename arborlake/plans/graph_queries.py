@@ -49,15 +49,15 @@ def _all(graph: g.Graph, *types: str) -> DataFrame:
 
 def call_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and parts within two steps of every customer, in one job."""
-    graph = saved(spark, sf_dir)
+    graph = saved(spark, sf_dir, "PLACED", "CONTAINS")
     return g.neighborhood(graph.edges, _all(graph, "Customer"), 2, ("PLACED", "CONTAINS"), "out")
 
 
-def _from_all(f, *types: str):
-    """A query that runs f(edges, targets) for all nodes of the types."""
+def _from_all(f, *types: str, edges: tuple[str, ...] = ()):
+    """A query that runs f(edges, targets) for all nodes of the types, over edges of some types or all."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        graph = saved(spark, sf_dir)
+        graph = saved(spark, sf_dir, *edges)
         return f(graph.edges, _all(graph, *types))
 
     return run
@@ -127,9 +127,8 @@ def _trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calls_d2(spark: SparkSession, sf_dir: str) -> tuple[g.Graph, DataFrame]:
     """What every customer and every order reach in two steps over orders and parts, with only the edges of those steps."""
-    graph = saved(spark, sf_dir)
-    graph = g.Graph(graph.nodes, graph.edges.where(F.col("type").isin("PLACED", "CONTAINS")))
-    return graph, written(g.neighborhood(graph.edges, _all(graph, "Customer", "Order"), 2, direction="out"))
+    graph = saved(spark, sf_dir, "PLACED", "CONTAINS")
+    return graph, g.neighborhood(graph.edges, _all(graph, "Customer", "Order"), 2, direction="out")
 
 
 def _limited_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +144,7 @@ def _trim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _path_lengths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps from every order's customer to each part of the order."""
-    edges = written(saved(spark, sf_dir).edges.where(F.col("type").isin("PLACED", "CONTAINS")))
+    edges = saved(spark, sf_dir, "PLACED", "CONTAINS").edges
     placed = edges.where("type = 'PLACED'").select(F.col("src").alias("source"), F.col("dst").alias("order"))
     held = edges.where("type = 'CONTAINS'").select(F.col("src").alias("order"), F.col("dst").alias("goal"))
     return g.path_lengths(edges, placed.join(held, "order").select("source", "goal"), 4, direction="out")
@@ -170,9 +169,9 @@ QUERIES = {
     "neighborhood_edges_d2": lambda s, d: (lambda x: g.neighborhood_edges(x[0].edges, x[1], 2))(_d2(s, d)),
     "neighborhood_induced_d2": lambda s, d: (lambda x: g.induced_edges(x[0].edges, x[1]))(_d2(s, d)),
     "neighborhood_limited": _limited,
-    "call_neighborhood_in": _from_all(lambda edges, targets: g.neighborhood(edges, targets, 2, ("PLACED", "CONTAINS"), "in"), "Part"),
-    "callers": _from_all(lambda edges, targets: g.callers(edges, targets, ("PLACED", "CONTAINS")), "Part", "Order"),
-    "callees": _from_all(lambda edges, targets: g.callees(edges, targets, ("PLACED", "CONTAINS")), "Customer", "Order", "Part"),
+    "call_neighborhood_in": _from_all(lambda edges, targets: g.neighborhood(edges, targets, 2, ("PLACED", "CONTAINS"), "in"), "Part", edges=("PLACED", "CONTAINS")),
+    "callers": _from_all(lambda edges, targets: g.callers(edges, targets, ("PLACED", "CONTAINS")), "Part", "Order", edges=("PLACED", "CONTAINS")),
+    "callees": _from_all(lambda edges, targets: g.callees(edges, targets, ("PLACED", "CONTAINS")), "Customer", "Order", "Part", edges=("PLACED", "CONTAINS")),
     "incident_edges": _from_all(g.incident_edges, "Customer", "Nation"),
     "variable_flow_fallback": _flow,
     "shortest_path_length": _path_lengths,
@@ -181,7 +180,7 @@ QUERIES = {
     # the same operators from whole tables of targets, which recursive SQL is too slow for
     "neighborhood_d2_all": lambda s, d: _calls_d2(s, d)[1],
     "neighborhood_edges_d2_all": lambda s, d: (lambda x: g.neighborhood_edges(x[0].edges, x[1], 2, direction="out"))(_calls_d2(s, d)),
-    "neighborhood_induced_d2_all": lambda s, d: (lambda x: g.induced_edges(x[0].edges, x[1]))(_calls_d2(s, d)),
+    "neighborhood_induced_d2_all": lambda s, d: (lambda x: g.induced_edges(x[0].edges, x[1], F.col("depth") < 2))(_calls_d2(s, d)),
     "neighborhood_limited_all": _limited_all,
     "slice_trim_topk_all": _trim_all,
     "shortest_path_length_all": _path_lengths_all,
