@@ -1,12 +1,14 @@
 """Near copies by exact similarity of word shingles, with SimHash links first.
 
 Two texts are near copies if the Jaccard similarity of their sets of SHINGLE-word shingles (as 64-bit hashes) is at
-least FOUR_FIFTHS. Candidates come from two sources. Each must pass a bound on the sets' difference, which no similar
+least FOUR_FIFTHS. Candidates come from three sources. Each must pass a bound on the sets' difference, which no similar
 pair fails, and is then confirmed on the whole sets before it links:
 
 1. Fingerprints of operator 4 within its radius, and for each shingle of a prefix its smallest text with each other
    one. Both give a number of candidates in proportion to the rows, also in dense groups.
-2. Of every prefix shingle, all pairs of texts that are not yet in one component.
+2. Of every prefix shingle, its texts in an order of its own, each with the next NEXT that are not yet in its component.
+   Texts that are all alike get as many random partners as they share shingles, so dense groups become one component.
+3. Of every prefix shingle, all pairs of texts that are not yet in one component.
 
 Under any one order of all shingles, two sets of similarity t or more share one of the first s - ceil(t * s) + 1
 shingles of each, s the set's size (prefix filter), so no pair is missed. The order puts shingles that are common last,
@@ -43,6 +45,8 @@ MOST = 1_000_000
 PARITIES = 8
 #: Pairs of one gram that are looked at together.
 PAIRS = 250_000
+#: With how many texts behind it a text is a candidate in the order of each of its shingles.
+NEXT = 2
 
 
 def hashes(text: str | None) -> np.ndarray:
@@ -262,16 +266,41 @@ def _not_far(points: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.where(F.lit(p + q) * vector_distance(F.col("x"), F.col("y")) <= F.lit(q - p) * (F.col("a_size") + F.col("b_size"))).select("a", "b")
 
 
+def _alike(frame: pd.DataFrame, left: np.ndarray, right: np.ndarray, both: np.ndarray) -> pd.DataFrame:
+    """The pairs (a, b) of keys at these rows that may be similar by parities and with `both` common members at most."""
+    p, q = FOUR_FIFTHS
+    key, size, odd = frame["key"].to_numpy(), frame["size"].to_numpy(), frame[_ODD].to_numpy(np.int64).view(np.uint64)
+    fit = similar(size[left], size[right], both)
+    left, right = left[fit], right[fit]
+    apart = np.bitwise_count(odd[left] ^ odd[right]).sum(axis=1, dtype=np.int64)
+    near = (p + q) * apart <= (q - p) * (size[left] + size[right])
+    a, b = key[left[near]], key[right[near]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def _next(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of keys of one gram and different components, NEXT for each row at most, that sizes and parities leave possible.
+
+    Every gram orders its keys anew, so that a key's partners differ from gram to gram.
+    """
+    mixed = (frame["key"].to_numpy(np.int64) ^ frame["gram"].to_numpy(np.int64)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    frame = frame.assign(at=mixed ^ (mixed >> np.uint64(32))).sort_values(["gram", "at"], kind="stable")
+    gram, part, size = (frame[c].to_numpy() for c in ("gram", "component", "size"))
+    out = []
+    for step in range(1, NEXT + 1):
+        left = np.flatnonzero((gram[:-step] == gram[step:]) & (part[:-step] != part[step:]))
+        out.append(_alike(frame, left, left + step, np.minimum(size[left], size[left + step])))
+    return pd.concat(out, ignore_index=True).drop_duplicates()
+
+
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
     """All pairs of keys of one gram that are of different components and of fitting sizes, places and parities.
 
     A gram at place i is the first that two sets have in common only if no more than size - i members are. Parities are
     compared here, so that a passage in many texts that are no copies makes few rows.
     """
-    p, q = FOUR_FIFTHS
     frame = frame[frame.groupby("gram")["component"].transform("nunique") > 1].sort_values(["gram", "component"], kind="stable")
     gram, part, key, size, place = (frame[c].to_numpy() for c in ("gram", "component", "key", "size", "pos"))
-    odd = frame[_ODD].to_numpy(np.int64).view(np.uint64)
     new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True]) if len(gram) else np.zeros(1, np.int64)
     end = np.repeat(new[1:], np.diff(new))
     # a row meets the rows of its gram behind the last one of its own component
@@ -284,12 +313,7 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
         n = count[low:high]
         left = np.repeat(np.arange(low, high), n)
         right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[low:high], n)
-        fit = similar(size[left], size[right], np.minimum(size[left] - place[left], size[right] - place[right]))
-        left, right = left[fit], right[fit]
-        apart = np.bitwise_count(odd[left] ^ odd[right]).sum(axis=1, dtype=np.int64)
-        near = (p + q) * apart <= (q - p) * (size[left] + size[right])
-        a, b = key[left[near]], key[right[near]]
-        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates())
+        out.append(_alike(frame, left, right, np.minimum(size[left] - place[left], size[right] - place[right])))
         low = high
     return pd.concat(out, ignore_index=True).drop_duplicates() if out else pd.DataFrame({"a": key[:0], "b": key[:0]})
 
@@ -308,6 +332,15 @@ def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame, repeated: bo
     return written(both.where(similar(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")))).select("a", "b"))
 
 
+def _mixed(points: DataFrame, shared: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of shared with component and parities, of the grams that several components share; only these make pairs."""
+    parts = connected_components(links).withColumnRenamed("node", "key")
+    grouped = shared.drop("first", "fit").join(parts.repartition("component", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    grouped = written(grouped)
+    mixed = grouped.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
+    return grouped.join(broadcast_if_small(written(mixed)), "gram", "left_semi").join(broadcast_if_small(points.select("key", *_ODD)), "key")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, group) for every row with a doc_id; rows of one group are linked. mark is a hash of the row's text.
 
@@ -324,14 +357,11 @@ def components(docs: DataFrame) -> DataFrame:
     near = shard_links(leaders, RADIUS).unionByName(points.select("key", "fp").join(leaders.repartition("fp", "id"), "fp").select(F.col("key").alias("a"), F.col("id").alias("b")))
     pairs = near.unionByName(shared.where("fit").select(F.col("first").alias("a"), F.col("key").alias("b"))).where("a <> b")
     links = confirmed(docs, points, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), repeated)
-    parts = connected_components(links).withColumnRenamed("node", "key")
-    grouped = shared.drop("first", "fit").join(parts.repartition("component", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    # only grams that several components share make pairs, and only their rows need parities
-    grouped = written(grouped)
-    mixed = grouped.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("gram")
-    grouped = grouped.join(broadcast_if_small(written(mixed)), "gram", "left_semi").join(broadcast_if_small(points.select("key", *_ODD)), "key")
-    more = confirmed(docs, points, _by_gram(grouped, _across, "a long, b long"), repeated)
-    parts = written(connected_components(links.unionByName(more))).withColumnRenamed("node", "key")
+    # first few candidates of each text, so that what is left for all pairs are hardly any texts that are alike
+    for solve in (_next, _across):
+        more = confirmed(docs, points, _by_gram(_mixed(points, shared, links), solve, "a long, b long"), repeated)
+        links = links.unionByName(more)
+    parts = written(connected_components(links)).withColumnRenamed("node", "key")
     named = points.select("key").join(parts, "key", "left").select("key", F.coalesce("component", "key").alias("group"))
     return rows.select("doc_id", "mark", "key").join(named.repartition("group", "key"), "key").select("doc_id", "mark", "group")
 

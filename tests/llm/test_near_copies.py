@@ -109,3 +109,24 @@ def test_passages_that_many_texts_share_make_no_copies(spark, monkeypatch):
     rows = list(enumerate(rows))
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(x["doc_id"] for x in out) == sorted(brute_keep(rows))
+
+
+def test_pairs_of_a_dense_group_are_few(spark, monkeypatch):
+    """Copies that no fingerprint and no first text has linked: candidates in all follow the texts, not their square."""
+    from arborlake.llm import near_copies
+
+    n, seen, confirmed, shared = 200, [], near_copies.confirmed, near_copies._shared
+
+    def tally(docs, points, pairs, repeated):
+        pairs = near_copies.written(pairs.distinct())
+        seen.append(pairs.count())
+        return confirmed(docs, points, pairs, repeated)
+
+    monkeypatch.setattr(near_copies, "confirmed", tally)
+    monkeypatch.setattr(near_copies, "_shared", lambda frame: shared(frame).assign(fit=False))
+    monkeypatch.setattr(near_copies, "shard_links", lambda leaders, radius: leaders.select(leaders.id.alias("a"), leaders.id.alias("b")).limit(0))
+    base = " ".join(f"w{i}" for i in range(29))
+    rows = [(i, f"{base} u{i}") for i in range(n)]
+    found = near_copies.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == n and len({x["group"] for x in found}) == 1
+    assert sum(seen) < 20 * n, seen
