@@ -6,6 +6,7 @@ Arrow batches.
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -25,9 +26,31 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _bound(a: str, b: str) -> float:
+    """What the ratio of two texts is at most: the characters that both hold, in any order."""
+    if not a or not b:
+        return 0.0 if a or b else 1.0
+    return 2.0 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))
+
+
+def best_ratio(pairs: list[tuple[str, str]]) -> float:
+    """The greatest plain ratio (nothing is junk) of the pairs.
+
+    A pair whose bound is no more than what another one reached is not compared, and a text that is a part of the other
+    is its longest match, so that its ratio follows from the lengths.
+    """
+    best = -1.0
+    for bound, a, b in sorted(((_bound(a, b), a, b) for a, b in dict.fromkeys(pairs)), reverse=True):
+        if bound <= best:
+            break
+        part = len(a) and len(b) and (a in b or b in a)
+        best = max(best, bound if part else SequenceMatcher(None, a, b, autojunk=False).ratio())
+    return best
+
+
 @F.pandas_udf(T.DoubleType())
-def _plain_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+def _best_ratio(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.Series:
+    return pd.Series([best_ratio([(x[i] or "", x[i + 1] or "") for i in (0, 2, 4)]) for x in zip(a, b, c, d, e, f, strict=True)], dtype="float64")
 
 
 def with_similarity(rows: DataFrame, a: str, b: str, name: str = "similarity", least: float = 0.0) -> DataFrame:
@@ -59,7 +82,7 @@ def validate_targets(rows: DataFrame, found: str = "found", wanted: str = "wante
     rows = rows.withColumns({"_exact": exact, "found_sha256": F.sha2(F.encode(a, "UTF-8"), 256), "wanted_sha256": F.sha2(F.encode(b, "UTF-8"), 256)})
     hard = F.col("_exact").eqNullSafe(False)
     give = lambda c: F.when(hard, c).otherwise("")
-    score = F.greatest(_plain_ratio(give(a), give(b)), _plain_ratio(give(squeeze(a)), give(squeeze(b))), _plain_ratio(give(tokens(a)), give(tokens(b))))
+    score = _best_ratio(give(a), give(b), give(squeeze(a)), give(squeeze(b)), give(tokens(a)), give(tokens(b)))
     rows = rows.withColumn("similarity", F.when(F.col("_exact"), 1.0).when(hard, score))
     status = F.when(a.isNull() | b.isNull(), "not_found").when(F.col("_exact"), "match_exact").when(F.col("similarity") >= NEAR, "match_near_exact").when(F.col("similarity") >= APPROXIMATE, "match_approximate").otherwise("body_mismatch")
     return rows.withColumn("status", status).drop("_exact")

@@ -152,3 +152,26 @@ def test_locate(spark):
     functions = spark.createDataFrame([("n1", "f", "a.c", "int f();"), ("n2", "g", "a.c", "int g(int x) { return x + 2; }")], "id string, name string, file string, code string")
     got = {r["sample_id"]: (r["node_id"], r["score"]) for r in similarity.locate_targets(samples, functions).collect()}
     assert got["1"] == ("n1", 1.0) and got["2"] == ("n1", 0.7) and got["3"][0] == "n2" and got["3"][1] > 0.9 and "4" not in got
+
+
+def test_best_ratio_compares_only_what_may_win(monkeypatch):
+    from difflib import SequenceMatcher
+    from random import Random
+
+    r, calls = Random(3), []
+    texts = ["", "a", *("".join(r.choices("ab c\n", k=r.randrange(1, 60))) for _ in range(120))]
+    plain = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+    def counted(*args, **options):
+        calls.append(args)
+        return SequenceMatcher(*args, **options)
+
+    monkeypatch.setattr(similarity, "SequenceMatcher", counted)
+    for _ in range(300):
+        pairs = [(x := r.choice(texts), r.choice((x[3:], x[:-2], r.choice(texts)))) for _ in range(3)]
+        assert similarity.best_ratio(pairs) == max(plain(a, b) for a, b in pairs)
+    assert len(calls) < 600
+    calls.clear()
+    long = "".join(r.choices("abcdefgh ", k=5000))
+    squeezed = long.replace(" ", "")
+    assert similarity.best_ratio([(long, long[9:]), (squeezed, squeezed[8:])]) == max(plain(long, long[9:]), plain(squeezed, squeezed[8:])) and not calls
