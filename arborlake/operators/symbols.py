@@ -22,6 +22,7 @@ MOST = 18
 #: Words by which a statement counts as a guard besides the safety words.
 GUARDS = ("LINESIZE", "sizeof", "contentlen")
 
+_WORD = r"^[A-Za-z_]\w*$"
 # stands for the symbol, so that patterns are the same for all rows
 _AT = "\x01"
 
@@ -32,17 +33,22 @@ def _calls(calls: Column, names: tuple[str, ...]) -> Column:
 
 def _asked(requests: DataFrame) -> DataFrame:
     """Requests whose symbol is an identifier; another one has no statement."""
-    return requests.where(F.col("symbol").rlike(r"^[A-Za-z_]\w*$")).select("request", "file", "fn", "symbol", "source_line")
+    return requests.where(F.col("symbol").rlike(_WORD)).select("request", "file", "fn", "symbol", "source_line")
 
 
-def _seen(statements: DataFrame, requests: DataFrame, **more: Column) -> DataFrame:
-    """Statements of each request's function that hold its symbol, with `text`, where the symbol is a mark. Words, calls and the columns of `more` are found once a statement, before it meets the requests."""
+def _marked() -> Column:
+    """The code with its symbol as a mark."""
+    word = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), F.col("symbol"), F.lit(r"(?![A-Za-z0-9_])"))
+    return F.regexp_replace(F.col("code"), word, F.lit(_AT))
+
+
+def _seen(statements: DataFrame, requests: DataFrame) -> DataFrame:
+    """Statements of each request's function that hold its symbol. Words and calls are found once a statement, before it meets the requests."""
     words = F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z0-9_]+"), 0))
-    rows = statements.select("file", "fn", "idx", "line", "code", o.called(F.col("code")).alias("calls"), words.alias("_words"), *[c.alias(n) for n, c in more.items()])
+    rows = statements.select("file", "fn", "idx", "line", "code", o.called(F.col("code")).alias("calls"), words.alias("_words"))
     asked = _asked(requests).withColumnsRenamed({"file": "_file", "fn": "_fn"})
     same = (F.col("file") == F.col("_file")) & (F.col("fn") == F.col("_fn")) & F.array_contains("_words", F.col("symbol"))
-    word = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), F.col("symbol"), F.lit(r"(?![A-Za-z0-9_])"))
-    return rows.join(asked, same).drop("_file", "_fn", "_words").withColumn("text", F.regexp_replace(F.col("code"), word, F.lit(_AT)))
+    return rows.join(asked, same).drop("_file", "_fn", "_words")
 
 
 def category(text: Column, code: Column, calls: Column, defines: Column) -> Column:
@@ -58,27 +64,30 @@ def category(text: Column, code: Column, calls: Column, defines: Column) -> Colu
     )
 
 
-def variable_statements(statements: DataFrame, variables: DataFrame, requests: DataFrame) -> DataFrame:
+def variable_statements(statements: DataFrame, variables: DataFrame, requests: DataFrame, budgets: bool = True) -> DataFrame:
     """(request, place, category, idx, line, code, declared_line): what a function's statements do to a variable, by category, then order.
 
     statements (file, fn, idx, line, code), variables (file, fn, name, line), requests (request, file, fn, symbol, source_line); a request names one
     function. The declaration meant is the last at or before source_line, else the first; without a source line, the first. Its statements end where
     the name is declared again, and for an inner declaration at the next closing brace. A variable itself is an item of idx -1. Each statement counts
-    in its first category, each category shows a fixed number and a request 18. A name that the function does not declare gives nothing.
+    in its first category. With budgets each category shows a fixed number and a request 18, without them all items are shown. A name that the
+    function does not declare gives nothing.
     """
     again = rf"(?:^|[;{{]\s*)\s*(?:[A-Za-z_]\w*\s+)+[*\s]+{_AT}(?:\s*\[[^\]]*\])?\s*[=;,]"
-    # a declaration is one of the unmarked code, as its name has to be an identifier
-    seen = _seen(statements, requests, declared=o.declared(F.col("code"))).withColumn("defines", F.coalesce(F.col("declared") == F.col("symbol"), F.lit(False)))
-    kind = category(F.col("text"), F.col("code"), F.col("calls"), F.col("defines"))
-    shown = ("request", "source_line", "idx", "line", "code")
-    rows = seen.select(*shown, F.translate("text", "\n", " ").rlike(again).alias("again"), "defines", kind.alias("kind"), F.lit(False).alias("closes"))
-    no = [F.lit(False).alias("again"), F.lit(False).alias("defines"), F.lit(None).cast("string").alias("kind")]
-    # a variable itself, and the braces that may end a declaration, hold no symbol
-    own = requests.select("request", "file", "fn", "symbol", "source_line").join(variables.select("file", "fn", F.col("name").alias("symbol"), "line"), ["file", "fn", "symbol"])
-    own = own.select("request", "source_line", F.lit(-1).alias("idx"), "line", F.col("symbol").alias("code"), *no, F.lit(False).alias("closes"))
-    braces = statements.where(F.ltrim("code").startswith("}")).select("file", "fn", "idx", "line").join(_asked(requests).where("source_line IS NOT NULL"), ["file", "fn"])
-    braces = braces.select("request", "source_line", "idx", "line", F.lit(None).cast("string").alias("code"), *no, F.lit(True).alias("closes"))
-    rows = rows.unionByName(own).unionByName(braces).withColumn("has", F.col("kind").isNotNull())
+    words = F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z0-9_]+"), 0))
+    # what is found in a statement is found once, before it meets the requests; a declaration is one of the unmarked code, as its name has to be an identifier
+    rows = statements.select("file", "fn", "idx", "line", "code", o.called(F.col("code")).alias("calls"), words.alias("words"), o.declared(F.col("code")).alias("declared"), F.ltrim("code").startswith("}").alias("brace"), F.lit(False).alias("own"))
+    none = F.array().cast("array<string>")
+    own = variables.select("file", "fn", F.lit(-1).alias("idx"), "line", F.col("name").alias("code"), none.alias("calls"), none.alias("words"), F.lit(None).cast("string").alias("declared"), F.lit(False).alias("brace"), F.lit(True).alias("own"))
+    asked = requests.select("request", F.col("file").alias("_file"), F.col("fn").alias("_fn"), "symbol", "source_line", F.coalesce(F.col("symbol").rlike(_WORD), F.lit(False)).alias("word"))
+    # one join finds the variables, the statements that hold the symbol, and the braces that may end a declaration
+    holds = F.col("word") & F.array_contains("words", F.col("symbol"))
+    closes = F.col("word") & F.col("brace") & F.col("source_line").isNotNull()
+    rows = rows.unionByName(own).join(asked, (F.col("file") == F.col("_file")) & (F.col("fn") == F.col("_fn")) & ((F.col("own") & (F.col("code") == F.col("symbol"))) | holds | closes))
+    rows = rows.select("request", "source_line", "idx", "line", "code", "calls", "symbol", holds.alias("has"), (holds & F.coalesce(F.col("declared") == F.col("symbol"), F.lit(False))).alias("defines"), F.coalesce(closes, F.lit(False)).alias("closes"))
+    rows = rows.withColumn("text", F.when(F.col("has"), _marked()))
+    kind = F.when(F.col("has"), category(F.col("text"), F.col("code"), F.col("calls"), F.col("defines")))
+    rows = rows.select("request", "source_line", "idx", "line", "code", F.coalesce(F.translate("text", "\n", " ").rlike(again), F.lit(False)).alias("again"), "defines", kind.alias("kind"), "closes", "has")
     whole = Window.partitionBy("request")
     is_declaration = (F.col("idx") == -1) | F.col("again") | F.col("defines")
     before = F.max(F.when(is_declaration & (F.col("line") <= F.col("source_line")), F.col("line"))).over(whole)
@@ -94,10 +103,12 @@ def variable_statements(statements: DataFrame, variables: DataFrame, requests: D
     declares = is_declaration & (F.col("line") == F.col("declared_line"))
     named = F.when(declares, "declaration").when(F.col("inside") | (~F.col("any") & F.col("has")), F.col("kind"))
     rank = F.create_map(*[F.lit(x) for i, (c, _) in enumerate(CATEGORIES) for x in (c, i)])
-    most = F.create_map(*[F.lit(x) for c, n in CATEGORIES for x in (c, n)])
-    rows = rows.withColumn("category", named).where("category IS NOT NULL").withColumns({"rank": rank[F.col("category")], "most": most[F.col("category")]})
-    shown = rows.withColumn("n", F.row_number().over(Window.partitionBy("request", "rank").orderBy("idx", "line"))).where("n <= most")
-    shown = shown.withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy("rank", "idx", "line"))).where(F.col("place") <= MOST)
+    rows = rows.withColumn("category", named).where("category IS NOT NULL").withColumn("rank", rank[F.col("category")])
+    if budgets:
+        most = F.create_map(*[F.lit(x) for c, n in CATEGORIES for x in (c, n)])
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("request", "rank").orderBy("idx", "line"))).where(F.col("n") <= most[F.col("category")])
+    shown = rows.withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy("rank", "idx", "line")))
+    shown = shown.where(F.col("place") <= MOST) if budgets else shown
     return shown.select("request", "place", "category", "idx", "line", "code", "declared_line")
 
 

@@ -31,9 +31,9 @@ def _requests(functions: DataFrame, *names: str | None) -> DataFrame:
 
 
 def _variables(spark: SparkSession, d: str) -> DataFrame:
-    """What each order's function does to four of its names, of which it declares three; n is asked for at line 10."""
+    """All that each order's function does to four of its names, of which it declares three; n is asked for at line 10."""
     statements, variables, functions = _tables(spark, d)
-    out = symbols.variable_statements(statements, variables, _requests(functions, "copy", "size", "n", "absent"))
+    out = symbols.variable_statements(statements, variables, _requests(functions, "copy", "size", "n", "absent"), budgets=False)
     return out.select("request", "place", "category", "idx", "line", "declared_line")
 
 

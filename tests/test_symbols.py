@@ -39,6 +39,29 @@ def test_categories_and_budgets(spark):
     assert got == [(1, "declaration", 0), (2, "allocation", 1), (3, "writes", 2), (4, "bounds_checks", 3), (5, "sinks", 4), (6, "lifetime", 5), (7, "uses", 6), (8, "uses", 7), (9, "uses", 8), (10, "uses", 9)]
 
 
+def test_all_items_without_budgets(spark):
+    """More items of each category than its budget, and far more than 18 together: without budgets each is there, in the same order."""
+    lines = ["int  v;", *[f"{call}(v{i % 2 * ', p'}, 1);" for call in ("memcpy", "printf", "delete", "use") for i in range(12)], *["if (v) {"] * 9, *["v = g();"] * 5]
+    rows = spark.createDataFrame([("x.c", 0, i, i + 1, c) for i, c in enumerate(lines)], "file string, fn int, idx int, line int, code string")
+    one = spark.createDataFrame([("r", "x.c", 0, "v", None)], "request string, file string, fn int, symbol string, source_line int")
+    variables = spark.createDataFrame([("x.c", 0, "v", 1)], "file string, fn int, name string, line int")
+    whole = [tuple(r) for r in symbols.variable_statements(rows, variables, one, budgets=False).orderBy("place").select("category", "idx").collect()]
+    spans = [("declaration", -1, 1), ("allocation", 58, 63), ("writes", 1, 13), ("bounds_checks", 49, 58), ("sinks", 13, 25), ("lifetime", 25, 37), ("uses", 37, 49)]
+    assert whole == [(kind, i) for kind, a, b in spans for i in range(a, b)]
+    shown = [tuple(r) for r in symbols.variable_statements(rows, variables, one).orderBy("place").select("category", "idx").collect()]
+    most = dict(symbols.CATEGORIES)
+    assert shown == [(kind, i) for kind, a, b in spans for i in list(range(a, b))[: most[kind]]][: symbols.MOST]
+
+
+def test_the_query_shows_all_items(spark, monkeypatch):
+    from arborlake.plans import symbol_queries
+
+    monkeypatch.setattr(symbols, "MOST", 1)
+    monkeypatch.setattr(symbols, "CATEGORIES", tuple((c, 1) for c, _ in symbols.CATEGORIES))
+    rows = symbol_queries.QUERIES["variable_statements"](spark, "/root/testdata/sf0.001")
+    assert rows.where("place > 1").count() > 0 and rows.groupBy("request", "category").count().where("count > 1").count() > 0
+
+
 def test_flagged_statements(spark):
     statements, _, requests = _tables(spark)
     of = lambda kind, most=12: sorted((r["request"], r["idx"]) for r in symbols.flagged_statements(statements, requests, kind, most).collect())
