@@ -207,3 +207,10 @@ def test_edges_are_distinct_before_they_are_multiplied(spark):
     assert sent(graph.edges) < 5_000
     rows = graph.edges.select("src", "dst", "type")
     assert rows.count() == rows.distinct().count() and graph.edges.where("type = 'CALLS' AND src LIKE 'function:a%'").count() == 100 * 100
+
+
+def test_edges_of_files_join_nothing(spark):
+    """What stands in a file is linked by one exchange, by the file, and by windows over it; statements know their function."""
+    files = spark.createDataFrame([("a.c", "int f(int a) {\n int v = a;\n g(v);\n}\n")], "path string, text string")
+    plan = outline_graph.file_links(outline_graph.scanned(files))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
